@@ -32,7 +32,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4_raw").parquet(path)
+    df.write.parquet(path)
     return spark.read.parquet(path)
 
 
