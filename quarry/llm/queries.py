@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, lm_scoring, matroska, mixing, sharding, simhash, toxicity, url_filter
+from quarry.llm import bpe, exact_dedup, lm_scoring, matroska, mixing, secrets, sharding, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, url_filter.rules_frame(spark)).drop("url")
@@ -59,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_matroska, op3_lm_scoring, op4_exact_dedup, op6_url_filters, op7_bpe, op8_mixing, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_matroska, op3_lm_scoring, op4_exact_dedup, op5_secret_scans, op6_url_filters, op7_bpe, op8_mixing, op9_simhash, op10_toxicity)}
 
 _HASH = "('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15))::bigint"
 _WORD = r"'[^\x20\x09-\x0D]+'"
