@@ -50,15 +50,17 @@ def hash60(c: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(c.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], n_rows: str) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], n_rows: str, total: int | None = None) -> DataFrame:
     """Left join to a table with one row per key, safe for keys that hold a large part of all rows.
 
     n_rows is right's count of left's rows per key. Keys with at least 1/HEAVY of all rows, of
     which there are at most HEAVY, are broadcast. Rows they serve take a salt that matches
     nothing, so the shuffle join that serves the rest deals them out evenly. Keys aren't null.
+    total is the number of left's rows, or somewhat more, where it is known.
     """
     values = [c for c in right.columns if c not in keys]
-    total = right.agg(F.sum(n_rows)).first()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(n_rows)).first()[0] or 0
     least = max(2, -(-total // HEAVY))
     heavy = right.where(F.col(n_rows) >= least).select(*keys, F.struct(*values).alias("_heavy"))
     rest = right.where(F.col(n_rows) < least).select(*keys, F.struct(*values).alias("_rest"), F.lit(0).alias("_salt"))

@@ -10,16 +10,14 @@ from quarry.llm.common import lookup, materialize
 MOST_ROUNDS = 60
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, total: int, small: bool) -> DataFrame:
     """One step over edges (u, v), each listed in both directions: neighbours of u go to u's least neighbour."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_n"))
-    out = lookup(edges, materialize(least, "least"), ["u"], "_n")
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
+    out = lookup(edges, least, ["u"], "_n", total)
+    moved = out.where("v <= u" if small else "v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if small:
-        own = least.select(F.col("u").alias("a"), F.col("m").alias("b"))
-        down = out.where("v <= u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(own)
-    else:
-        down = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return down.where("a <> b").distinct()
+        moved = moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return moved.where("a <> b").distinct()
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -29,19 +27,20 @@ def _both(pairs: DataFrame) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """pairs (a, b) of longs -> (node, component) for every node that has a link; component is the least node reachable.
 
-    Each round is two aggregations over the links; the number of rounds grows with the logarithm
-    of a component's diameter. A table without links gives an empty result.
+    Each round is a large-star and a small-star step; the number of rounds grows with the
+    logarithm of a component's diameter. A table without links gives an empty result.
     """
     now = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    mark = None
-    for _ in range(MOST_ROUNDS):
-        now = materialize(_star(_both(now), small=False), "large")
-        now = materialize(_star(_both(now), small=True), "small")
-        seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if seen == mark:
+    digest = (F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x"))
+    seen = now.agg(*digest).first()
+    for _ in range(MOST_ROUNDS if seen["n"] else 0):
+        large = _star(_both(now), 2 * seen["n"], small=False)
+        now = materialize(_star(_both(large), 2 * seen["n"], small=True), "star")
+        before, seen = seen, now.agg(*digest).first()
+        if seen == before:
             break
-        mark = seen
     else:
-        raise RuntimeError("components did not settle")
+        if seen["n"]:
+            raise RuntimeError("components did not settle")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

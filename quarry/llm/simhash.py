@@ -47,24 +47,44 @@ def codeword_index(words: np.ndarray) -> np.ndarray:
     return (words ^ _ERROR[syndrome]) >> 11
 
 
-def fuzzy_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): keys of each fingerprint such that any two within 3 bits share a key.
-
-    Of three segments, the two with the fewest errors have at most 2 together; then some vector
-    lies within 1 bit of both fingerprints there. So a fingerprint's keys are the codeword index
-    pairs of all vectors within 1 bit, for each pair of segments: about 30 keys of 24 bits.
+def _new(keys: np.ndarray, not_in: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the distinct keys in each row of a matrix, without the row's own value in not_in."""
+    keys = np.sort(keys, axis=1)
+    fresh = np.column_stack([np.ones(len(keys), bool), keys[:, 1:] != keys[:, :-1]]) & (keys != not_in[:, None])
+    row, col = np.nonzero(fresh)
+    return row, keys[row, col]
+
+
+def fuzzy_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, role): keys of each fingerprint such that any two within 3 bits share one, in roles that meet.
+
+    Keys are codeword indices, 12 bits a segment. Three errors either leave two segments with at
+    most one error together: then one fingerprint's own index pair (role 0) is among the other's
+    pairs of vectors within 1 bit (roles 0 and 1). Or each segment has one error: then one
+    fingerprint with its first segment's bit flipped (role 1) equals the other with the two
+    other bits flipped (role 2), in all 36 bits. About 60 keys in all.
     """
     segment = [(fingerprints >> np.uint64(at)).astype(np.int64) & ((1 << bits) - 1) for at, bits in SEGMENTS]
-    ball = [np.column_stack([codeword_index(s), *[codeword_index(s ^ (1 << i)) for i in range(bits)]]) for s, (_, bits) in zip(segment, SEGMENTS, strict=True)]
-    rows, keys = [], []
-    for n, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        both = np.column_stack([(ball[i] << 12) | ball[j][:, :1], (ball[i][:, :1] << 12) | ball[j][:, 1:]])
-        both.sort(axis=1)
-        new = np.column_stack([np.ones(len(both), bool), both[:, 1:] != both[:, :-1]])
-        row, col = np.nonzero(new)
+    own = [codeword_index(s) for s in segment]
+    ball = [np.column_stack([codeword_index(s ^ (1 << i)) for i in range(bits)]) for s, (_, bits) in zip(segment, SEGMENTS, strict=True)]
+    every = np.arange(len(fingerprints))
+    rows, keys, roles = [], [], []
+
+    def add(kind: int, role: int, row: np.ndarray, key: np.ndarray) -> None:
         rows.append(row)
-        keys.append((n << 24) | both[row, col])
-    return np.concatenate(rows), np.concatenate(keys)
+        keys.append((kind << 36) | key)
+        roles.append(np.full(len(row), role, np.int8))
+
+    for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+        center = (own[i] << 12) | own[j]
+        add(kind, 0, every, center)
+        add(kind, 1, *_new(np.column_stack([(ball[i] << 12) | own[j][:, None], (own[i][:, None] << 12) | ball[j]]), center))
+    center = (own[0] << 24) | (own[1] << 12) | own[2]
+    add(3, 0, every, center)
+    add(3, 1, *_new((ball[0] << 24) | (own[1] << 12)[:, None] | own[2][:, None], center))
+    two = (ball[1][:, :, None] << 12) | ball[2][:, None, :]
+    add(3, 2, *_new((own[0] << 24)[:, None] | two.reshape(len(every), -1), center))
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(roles)
 
 
 def fingerprint(text: str) -> int:
@@ -106,17 +126,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def _keyed(fps: DataFrame) -> DataFrame:
-    """(key, fp) for every key of every distinct fingerprint."""
+    """(key, role, fp) for every key of every distinct fingerprint."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = batch["fp"].to_numpy(np.int64)
-            for at in range(0, len(own), 1 << 14):
-                part = own[at : at + (1 << 14)]
-                row, key = fuzzy_keys(part.view(np.uint64))
-                yield pd.DataFrame({"key": key.astype(np.int32), "fp": part[row]})
+            for at in range(0, len(own), 1 << 12):
+                part = own[at : at + (1 << 12)]
+                row, key, role = fuzzy_keys(part.view(np.uint64))
+                yield pd.DataFrame({"key": key, "role": role, "fp": part[row]})
 
-    return fps.select("fp").mapInPandas(run, "key int, fp long")
+    return fps.select("fp").mapInPandas(run, "key long, role byte, fp long")
 
 
 def _ball(fps: DataFrame, radius: int) -> DataFrame:
@@ -143,14 +163,15 @@ def _dense_links(keys: DataFrame, dense: DataFrame, heavy: DataFrame) -> DataFra
     fps = materialize(member.select("fp").distinct(), "densefp")
     near = materialize(_ball(fps, 1), "ball1")
     least = near.groupBy("z").agg(F.min("fp").alias("b"), F.count("*").alias("_n"))
-    links = materialize(near.join(least.where("_n > 1"), "z").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct(), "links2")
+    links = materialize(near.join(least.where("_n > 1").hint("merge"), "z").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct(), "links2")
     part = materialize(components(links), "parts")
     own = fps.join(part, fps["fp"] == part["node"], "left").select("fp", F.coalesce("component", "fp").alias("part"), F.lit(1).alias("_one"))
     times = member.groupBy("fp").agg(F.count("*").alias("_times"))
     placed = materialize(member.join(own.join(times, "fp"), "fp").select("key", "fp", "part"), "placed")
     main = placed.groupBy("key", "part").agg(F.count("*").alias("_c")).groupBy("key").agg(F.max_by("part", F.struct("_c", "part")).alias("_main"), F.sum("_c").alias("_n"))
     odd = lookup(placed, materialize(main, "main"), ["key"], "_n").where("part <> _main").select("fp").distinct()
-    far = _ball(materialize(odd, "odd"), 2).join(least.select("z", "b"), "z").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    # merge: the rows of a ball are many more than the planner expects, too many to broadcast
+    far = _ball(materialize(odd, "odd"), 2).join(least.select("z", "b").hint("merge"), "z").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return links.unionByName(far.distinct())
 
 
@@ -165,22 +186,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     rows = materialize(fingerprints(docs, id_col, text), "fingerprints")
     groups = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("_least"), F.count("*").alias("_rows")), "groups")
     keys = materialize(_keyed(groups), "keys")
-    count = keys.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
+    n_role = [F.count(F.when(F.col("role") == r, 1)) for r in range(3)]
+    count = keys.groupBy("key").agg(F.count("*").alias("_n"), *[c.alias(f"_n{r}") for r, c in enumerate(n_role)])
+    count = materialize(count.where("_n > 1 and (_n0 > 0 or (_n1 > 0 and _n2 > 0))").select("key", "_n"), "shared")
     total = groups.count()
-    dense = materialize(count.where(F.col("_n") > DENSE), "densekeys")
-    # keys that hold 1/HEAVY of the fingerprints: each fingerprint has at most 135 keys, so there are at most 135 x HEAVY
-    heavy = dense.where(F.col("_n") >= max(DENSE + 1, -(-total // HEAVY))).select("key")
+    dense = count.where(F.col("_n") > DENSE)
+    # buckets with at least 1/HEAVY of all fingerprints: a fingerprint has at most 74 keys, so there are at most 74 x HEAVY
+    heavy = materialize(dense.where(F.col("_n") >= max(DENSE + 1, -(-total // HEAVY))).select("key"), "heavykeys")
     few = keys.join(F.broadcast(heavy), "key", "left_anti").join(count.where(F.col("_n") <= DENSE), "key", "left_semi")
     few = materialize(few, "few")
     a, b = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
     links = a.join(b, "key").where(f"a < b and bit_count(a ^ b) <= {DISTANCE}").select("a", "b").distinct()
     if dense.limit(1).count():
-        links = links.unionByName(_dense_links(keys, dense.select("key"), heavy))
+        links = links.unionByName(_dense_links(keys.drop("role"), dense.select("key"), heavy))
     part = components(links)
     known = groups.join(part, groups["fp"] == part["node"], "left").select("fp", "_least", "_rows", F.coalesce("component", "fp").alias("_part"))
     known = materialize(known, "known")
     least = known.groupBy("_part").agg(F.min("_least").alias("component_id"), F.count("*").alias("_fps"))
-    named = lookup(known.select("_part", "fp", "_rows"), materialize(least, "named"), ["_part"], "_fps").select("fp", "component_id", "_rows")
+    named = lookup(known.select("_part", "fp", "_rows"), least, ["_part"], "_fps", total).select("fp", "component_id", "_rows")
     out = lookup(rows, materialize(named, "final"), ["fp"], "_rows")
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
