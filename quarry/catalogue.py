@@ -1,6 +1,673 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine over the test tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import encoding, geo, text
+from quarry.functions import vectors as V
+from quarry.operators import conditions as C
+from quarry.operators import graph_algorithms as A
+from quarry.operators import relational as R
+from quarry.operators import services, unified
+from quarry.operators import vector_search as S
+from quarry.operators.graph import BOTH, IN, OUT, EdgePattern, Graph, NodePattern, Pattern
+from quarry.plans.engine import Engine
+from quarry.sources import store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with SQL where it can be expressed."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# relational
+
+_SEGMENTS = """SELECT c_mktsegment, COUNT(*) AS n, SUM(o_totalprice) AS total FROM customer JOIN orders ON c_custkey = o_custkey
+WHERE o_totalprice > 100000 GROUP BY c_mktsegment HAVING COUNT(*) > 10 ORDER BY c_mktsegment"""
+
+
+@query("select c_mktsegment, n, round(total, 2) as total from (" + _SEGMENTS + ")")
+def rel_join_group_having(spark, d):
+    e = Engine(spark)
+    for t in ("customer", "orders"):
+        e.register(t, table(spark, d, t))
+    return rounded(e.execute(_SEGMENTS), "total", digits=2)
+
+
+@query("select l_orderkey, l_linenumber, l_quantity from lineitem where (l_quantity >= 45 and l_discount < 0.03) or l_returnflag = 'R' and l_quantity <= 2")
+def rel_filter_and_or(spark, d):
+    cond = (C.ge("l_quantity", 45) & C.lt("l_discount", 0.03)) | (C.eq("l_returnflag", "R") & C.le("l_quantity", 2))
+    return R.select(table(spark, d, "lineitem"), cond, ["l_orderkey", "l_linenumber", "l_quantity", "no_such_column"])
+
+
+@query("select id, optional, optional is not distinct from null as is_null, optional is distinct from 10 as not_ten, coalesce(optional > 50, false) as big from (select i as id, case when i % 3 = 0 then null else i * 10 end as optional from range(20) t(i))")
+def rel_null_safe_filter(spark, d):
+    df = spark.range(20).withColumn("optional", F.when(F.col("id") % 3 != 0, F.col("id") * 10))
+    k = C.compile_condition
+    return df.select("id", "optional", k(C.eq("optional", None)).alias("is_null"), k(C.ne("optional", 10)).alias("not_ten"), k(C.gt("optional", 50)).alias("big"))
+
+
+@query("select p_partkey, p_size from part where p_name like '%a%' and p_size in (1, 5, 9) and p_retailprice between 900 and 1500 and p_brand is not null")
+def rel_like_in_between(spark, d):
+    df = table(spark, d, "part")
+    return df.where(F.col("p_name").like("%a%") & F.col("p_size").isin(1, 5, 9) & F.col("p_retailprice").between(900, 1500) & F.col("p_brand").isNotNull()).select("p_partkey", "p_size")
+
+
+_CASE = """SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'small' END AS class,
+CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS filled, CAST(o_totalprice AS BIGINT) % 7 + o_orderkey * 2 AS m FROM orders"""
+
+
+@query(_CASE.replace("CAST(o_totalprice AS BIGINT)", "CAST(trunc(o_totalprice) AS BIGINT)"))
+def rel_case_cast(spark, d):
+    e = Engine(spark)
+    e.register("orders", table(spark, d, "orders"))
+    return e.execute(_CASE)
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25 offset 10")
+def rel_projection_topn_offset(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return R.page(df, [F.col("o_totalprice").desc(), "o_orderkey"], 10, 25)[0]
+
+
+@query("select o_orderkey, o_custkey from orders where o_orderkey > 100 order by o_orderkey limit 50")
+def rel_keyset_page(spark, d):
+    return R.after_key(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 100, 50)
+
+
+def _join(how: str, sql_how: str, extra: str = ""):
+    name = f"rel_join_{how}"
+
+    def run(spark, d):
+        a = table(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_nationkey")
+        b = table(spark, d, "orders").where("o_custkey % 3 = 0").select("o_orderkey", "o_custkey")
+        return R.join(a, b, [("c_custkey", "o_custkey")], how)
+
+    run.__name__ = name
+    sql = f"select c_custkey, c_nationkey, o_orderkey, o_custkey from (select * from customer where c_custkey % 2 = 0) {sql_how} join (select * from orders where o_custkey % 3 = 0) on c_custkey is not distinct from o_custkey"
+    return query(sql)(run)
+
+
+for _how, _sql in (("inner", "inner"), ("left", "left"), ("right", "right"), ("full", "full")):
+    _join(_how, _sql)
+
+
+@query("select n_name, r_name from nation cross join region")
+def rel_join_cross(spark, d):
+    return R.join(table(spark, d, "nation"), table(spark, d, "region"), how="cross").select("n_name", "r_name")
+
+
+@query("select regionkey, n_name, r_name from (select n_regionkey as regionkey, n_name from nation) natural join (select r_regionkey as regionkey, r_name from region)")
+def rel_join_natural(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("regionkey"), "n_name")
+    return R.join(n, table(spark, d, "region").select(F.col("r_regionkey").alias("regionkey"), "r_name"), how="natural").select("regionkey", "n_name", "r_name")
+
+
+_EXISTS = "SELECT c_custkey FROM customer WHERE {} EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)"
+
+
+@query(_EXISTS.format(""))
+def rel_semi_exists(spark, d):
+    big = table(spark, d, "orders").where("o_totalprice > 150000")
+    return table(spark, d, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@query(_EXISTS.format("NOT"))
+def rel_anti_not_exists(spark, d):
+    big = table(spark, d, "orders").where("o_totalprice > 150000")
+    return table(spark, d, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+_SCALAR = "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > (SELECT AVG(s_acctbal) FROM supplier)"
+
+
+@query(_SCALAR)
+def rel_scalar_subquery(spark, d):
+    e = Engine(spark)
+    e.register("supplier", table(spark, d, "supplier"))
+    return e.execute(_SCALAR)
+
+
+_DERIVED = "SELECT t.k, COUNT(DISTINCT t.p) AS parts FROM (SELECT l_suppkey AS k, l_partkey AS p FROM lineitem WHERE l_tax >= 0.04) t GROUP BY t.k"
+
+
+@query(_DERIVED)
+def rel_derived_distinct(spark, d):
+    e = Engine(spark)
+    e.register("lineitem", table(spark, d, "lineitem"))
+    return e.execute(_DERIVED)
+
+
+@query("select l_returnflag, l_linestatus, count(*) as count_all, round(sum(l_quantity), 2) as sum_l_quantity, round(avg(l_discount), 6) as avg_l_discount, min(l_tax) as min_l_tax, max(l_extendedprice) as max_l_extendedprice from lineitem where l_quantity > 5 group by all having count(*) > 10")
+def rel_group_having(spark, d):
+    calls = [("count_all", None), ("sum", "l_quantity"), ("avg", "l_discount"), ("min", "l_tax"), ("max", "l_extendedprice")]
+    out = R.group_by(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], calls, C.gt("l_quantity", 5), C.gt("count_all", 10), ordered=False)
+    return rounded(rounded(out, "sum_l_quantity", digits=2), "avg_l_discount")
+
+
+@query("select 7 as count_all, 0 as count_x, 0.0::double as sum_x, null::double as avg_x, null::bigint as min_x, null::bigint as max_x")
+def rel_sum_empty_zero(spark, d):
+    df = spark.range(7).select(F.lit(None).cast("long").alias("x"))
+    return R.aggregate(df, [("count_all", None), ("count", "x"), ("sum", "x"), ("avg", "x"), ("min", "x"), ("max", "x")])
+
+
+@query("select o_orderkey, o_custkey, o_orderstatus from (select *, row_number() over (partition by o_custkey, o_orderstatus order by o_orderkey) as r from orders) where r = 1")
+def rel_distinct_first_row(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return R.distinct_first(df, ["o_custkey", "o_orderstatus"], ["o_orderkey"])
+
+
+@query("select o_custkey, count(*) as n from orders group by o_custkey having count(*) > 1")
+def rel_constraint_unique(spark, d):
+    return R.violates_unique(table(spark, d, "orders"), ["o_custkey"])
+
+
+@query("select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_nationkey < 20)")
+def rel_constraint_foreign_key(spark, d):
+    parents = table(spark, d, "customer").where("c_nationkey < 20")
+    return R.violates_foreign_key(table(spark, d, "orders"), parents, [("o_custkey", "c_custkey")]).select("o_orderkey")
+
+
+@query("select p_partkey, case when p_size > 40 then 40 else p_size end as p_size, case when p_size > 40 then 'capped' else p_brand end as p_brand from part")
+def rel_copy_on_write_update(spark, d):
+    df = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+    return R.update(df, C.gt("p_size", 40), {"p_size": F.lit(40), "p_brand": F.lit("capped")})
+
+
+@query("select p_partkey from part where not (p_size < 10 or p_retailprice > 1800)")
+def rel_copy_on_write_delete(spark, d):
+    return R.delete(table(spark, d, "part"), C.lt("p_size", 10) | C.gt("p_retailprice", 1800.0)).select("p_partkey")
+
+
+@query("select n_nationkey as k from nation union all select r_regionkey from region")
+def rel_union(spark, d):
+    return R.union(table(spark, d, "nation").select(F.col("n_nationkey").alias("k")), table(spark, d, "region").select(F.col("r_regionkey").alias("k")))
+
+
+@query("(select s_nationkey as k from supplier intersect select c_nationkey from customer) except select r_regionkey from region")
+def rel_intersect_except(spark, d):
+    a, b = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), table(spark, d, "customer").select(F.col("c_nationkey").alias("k"))
+    return R.except_(R.intersect(a, b), table(spark, d, "region").select(F.col("r_regionkey").alias("k")))
+
+
+# graph: suppliers that both delivered large lines of one order
+
+_EDGES = "select distinct a.l_suppkey as src, b.l_suppkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey where a.l_suppkey < b.l_suppkey and a.l_quantity >= {q} and b.l_quantity >= {q}"
+_E = f"e as ({_EDGES.format(q=49)}), u as (select src, dst from e union select dst, src from e), deg as (select src as id, count(*) as d from u group by src)"
+
+
+def supplier_graph(spark: SparkSession, d: str, q: int = 49, directed: bool = False) -> Graph:
+    line = table(spark, d, "lineitem").where(F.col("l_quantity") >= q)
+    a, b = line.select("l_orderkey", F.col("l_suppkey").alias("src")), line.select("l_orderkey", F.col("l_suppkey").alias("dst"))
+    edges = a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
+    edges = edges.select((F.col("src") * 1_000_000 + F.col("dst")).alias("id"), "src", "dst", F.lit("with").alias("type"), F.lit(directed).alias("directed"), ((F.col("src") + F.col("dst")) % 7 + 1).cast("double").alias("weight"))
+    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.lit("supplier"), F.concat(F.lit("n"), "s_nationkey")).alias("labels"), F.col("s_acctbal").alias("balance"), "s_nationkey")
+    return Graph(nodes, edges)
+
+
+@query(f"with {_E} select id, d as degree from deg")
+def graph_degree(spark, d):
+    return supplier_graph(spark, d).degrees(BOTH)
+
+
+@query(f"with {_E} select dst as id, count(*) as degree from e group by dst")
+def graph_in_degree(spark, d):
+    return supplier_graph(spark, d, directed=True).degrees(IN)
+
+
+@query(f"with {_E}, s as (select min(src) as s from e) select distinct dst as id from u, s where src = s")
+def graph_neighbors(spark, d):
+    g = supplier_graph(spark, d)
+    start = g.edges.agg(F.min("src")).first()[0]
+    return g.neighbours(start).select("id")
+
+
+@query("select sum(s_acctbal) is not null as has_sum, count(s_acctbal) as count_balance, round(avg(s_acctbal), 6) as avg_balance, min(s_acctbal) as min_balance, max(s_acctbal) as max_balance from supplier where s_nationkey = 7")
+def graph_property_agg(spark, d):
+    out = supplier_graph(spark, d).node_aggregate("balance", ["sum", "count", "avg", "min", "max"], label="n7")
+    return rounded(out.select(F.col("sum_balance").isNotNull().alias("has_sum"), "count_balance", "avg_balance", "min_balance", "max_balance"), "avg_balance")
+
+
+@query(f"with {_E} select count(*) as count_weight, round(sum((src + dst) % 7 + 1), 6)::double as sum_weight from e where (src + dst) % 7 + 1 > 2")
+def graph_edge_agg(spark, d):
+    return supplier_graph(spark, d).edge_aggregate("weight", ["count", "sum"], C.gt("weight", 2.0), "with")
+
+
+@query("select label, count(*) as n from (select unnest(['supplier', 'n' || s_nationkey]) as label from supplier) group by label")
+def graph_labels(spark, d):
+    return supplier_graph(spark, d).labels()
+
+
+@query(f"with {_E} select a.src as a, a.dst as b, b.dst as c from u a join u b on a.dst = b.src")
+def graph_two_hop_pattern(spark, d):
+    g = supplier_graph(spark, d)
+    return g.match(Pattern([NodePattern("a"), NodePattern("b"), NodePattern("c")], [EdgePattern(), EdgePattern()]), None)
+
+
+@query(f"with {_E} select a.src as a, b.dst as b, [a.src, a.dst, b.dst] as p from u a join u b on a.dst = b.src where a.src <> b.dst union all select src, dst, [src, dst] from u")
+def graph_variable_length(spark, d):
+    g = supplier_graph(spark, d)
+    return g.match(Pattern([NodePattern("a"), NodePattern("b")], [EdgePattern("p", least=1, most=2)]), None)
+
+
+_BFS = f"""with recursive {_E}, s as (select min(src) as s from e),
+r as (select s as id, 0 as depth from s union select u.dst, depth + 1 from r join u on u.src = r.id where depth < 4)
+select id, min(depth) as depth from r group by id"""
+
+
+@query(_BFS)
+def graph_bfs_distance(spark, d):
+    g = supplier_graph(spark, d)
+    start = g.edges.agg(F.min("src")).first()[0]
+    return g.distances([start], BOTH, 4).select("id", "depth")
+
+
+@query(f"""with recursive {_E}, s as (select min(src) as s from e), w as (select src, dst, ((src + dst) % 7 + 1)::double as w from u),
+r as (select s as id, 0.0::double as dist, 0 as hop from s union select w.dst, r.dist + w.w, hop + 1 from r join w on w.src = r.id where hop < 6 and r.dist + w.w <= 12)
+select id, min(dist) as distance from r group by id""")
+def graph_weighted_distance(spark, d):
+    g = supplier_graph(spark, d)
+    start = g.edges.agg(F.min("src")).first()[0]
+    # weights are at least 1; paths to nodes within 12 that the SQL finds have at most 6 hops, so compare these
+    near = g.distances([start], OUT, 6).select("id")
+    return g.weighted_distances(start).where("distance <= 12").join(near, "id", "left_semi").select("id", "distance")
+
+
+def _pagerank_sql(rounds: int) -> str:
+    parts = [_E, "n as (select count(*) as n from supplier)", "p0 as (select s_suppkey as id, 1.0 / n as score from supplier, n)"]
+    for k in range(rounds):
+        parts.append(
+            f"p{k + 1} as (select p.id, 0.15 / n + 0.85 * (coalesce(g.got, 0) + lost / n) as score from p{k} p cross join n cross join (select coalesce(sum(score), 0) as lost from p{k} where id not in (select id from deg)) "
+            f"left join (select u.dst as id, sum(q.score / deg.d) as got from u join p{k} q on q.id = u.src join deg on deg.id = u.src group by u.dst) g on g.id = p.id)"
+        )
+    return "with " + ", ".join(parts) + f" select id, round(score, 8) as score from p{rounds}"
+
+
+@query(_pagerank_sql(8))
+def graph_pagerank(spark, d):
+    return rounded(A.pagerank(supplier_graph(spark, d), tolerance=0, rounds=8), "score", digits=8)
+
+
+@query(f"""with recursive {_E}, r as (select s_suppkey as id, s_suppkey as root from supplier union select u.dst, r.root from r join u on u.src = r.id)
+select id, min(root) as component from r group by id""")
+def graph_components(spark, d):
+    return A.connected_components(supplier_graph(spark, d))
+
+
+_TRI = "t as (select x.src as a, x.dst as b, y.dst as c from e x join e y on x.dst = y.src join e z on z.src = x.src and z.dst = y.dst)"
+
+
+@query(f"with e as ({_EDGES.format(q=47)}), {_TRI} select a, b, c from t")
+def graph_triangles(spark, d):
+    return A.triangles(supplier_graph(spark, d, 47))
+
+
+@query(f"""with e as ({_EDGES.format(q=47)}), {_TRI}, u as (select src, dst from e union select dst, src from e), deg as (select src as id, count(*) as d from u group by src),
+k as (select id, count(*) as n from (select unnest([a, b, c]) as id from t) group by id)
+select s_suppkey as id, coalesce(n, 0) as triangles, round(case when d > 1 then coalesce(n, 0) / (d * (d - 1) / 2) else 0 end, 6) as coefficient from supplier left join k on k.id = s_suppkey left join deg on deg.id = s_suppkey""")
+def graph_clustering(spark, d):
+    return rounded(A.clustering(supplier_graph(spark, d, 47)), "coefficient")
+
+
+def _similarity(metric: str, sql: str):
+    name = f"graph_{metric}"
+
+    def run(spark, d):
+        return rounded(A.neighbour_similarity(supplier_graph(spark, d), metric), "score")
+
+    run.__name__ = name
+    query(
+        f"with {_E} select x.dst as a, y.dst as b, round({sql}, 6)::double as score from u x join u y on x.src = y.src and x.dst < y.dst join deg h on h.id = x.src "
+        f"join deg da on da.id = x.dst join deg db on db.id = y.dst group by x.dst, y.dst, da.d, db.d having {sql} > 0"
+    )(run)
+
+
+for _m, _s in (
+    ("jaccard", "count(*) / (da.d + db.d - count(*))"), ("cosine", "count(*) / sqrt(da.d * db.d)"), ("common", "count(*)"),
+    ("adamic_adar", "coalesce(sum(case when h.d > 1 then 1 / ln(h.d) end), 0)"), ("resource_allocation", "sum(1 / h.d)"), ("preferential_attachment", "(da.d * db.d)"),
+):
+    _similarity(_m, _s)
+
+
+@query(f"""with recursive {_E}, r as (select id as source, id, 0 as depth from deg union select r.source, u.dst, depth + 1 from r join u on u.src = r.id where depth < 3),
+m as (select source, id, min(depth) as depth from r group by all)
+select source as id, count(*) as reached, round(sum(case when depth > 0 then 1 / depth else 0 end), 6) as harmonic from m group by source""")
+def graph_harmonic_within_3(spark, d):
+    g = supplier_graph(spark, d)
+    out = g.distances(g.degrees().select("id"), BOTH, 3).groupBy(F.col("source").alias("id"))
+    return rounded(out.agg(F.count(F.lit(1)).alias("reached"), F.sum(F.when(F.col("depth") > 0, 1 / F.col("depth")).otherwise(0.0)).alias("harmonic")), "harmonic")
+
+
+@query()
+def graph_closeness(spark, d):
+    return A.closeness(supplier_graph(spark, d), sample=50)
+
+
+@query()
+def graph_betweenness(spark, d):
+    return A.betweenness(supplier_graph(spark, d), sample=25)
+
+
+@query()
+def graph_eigenvector(spark, d):
+    return A.eigenvector(supplier_graph(spark, d), rounds=10)
+
+
+@query()
+def graph_label_propagation(spark, d):
+    return A.label_propagation(supplier_graph(spark, d), 6)
+
+
+@query()
+def graph_louvain(spark, d):
+    return A.louvain(supplier_graph(spark, d), "weight")
+
+
+@query()
+def graph_core_numbers(spark, d):
+    return A.core_numbers(supplier_graph(spark, d))
+
+
+@query()
+def graph_spanning_forest(spark, d):
+    return A.spanning_forest(supplier_graph(spark, d))
+
+
+@query()
+def graph_strongly_connected(spark, d):
+    return A.strongly_connected(supplier_graph(spark, d, directed=True))
+
+
+@query()
+def graph_biconnected(spark, d):
+    return A.biconnected(supplier_graph(spark, d))
+
+
+# vectors: the query is the vector of row 1
+
+_Q = "(select embedding from embeddings where vec_id = 1)"
+
+
+def _vec(spark, d):
+    rows = table(spark, d, "embeddings")
+    q = list(rows.where("vec_id = 1").first()["embedding"])
+    return rows, q
+
+
+def _vector_query(name: str, metric: str, sql: str):
+    def run(spark, d):
+        rows, q = _vec(spark, d)
+        return rounded(S.search(rows, q, 20, metric, key="vec_id").select("vec_id", "score"), "score")
+
+    run.__name__ = name
+    query(f"select vec_id, round({sql}, 6) as score from (select vec_id, embedding::double[] as v, {_Q}::double[] as q from embeddings) order by {sql} desc, vec_id limit 20")(run)
+
+
+_COS = "list_cosine_similarity(v, q)"
+_JAC = "(len(list_filter(list_transform(range(len(v)), lambda i: v[i + 1] <> 0 and q[i + 1] <> 0), lambda x: x)) / len(list_filter(list_transform(range(len(v)), lambda i: v[i + 1] <> 0 or q[i + 1] <> 0), lambda x: x)))"
+_DIST = "list_distance(v, q)"
+_MAN = "list_sum(list_transform(range(len(v)), lambda i: abs(v[i + 1] - q[i + 1])))"
+for _n, _metric, _s in (
+    ("vec_topk_cosine", "cosine", _COS), ("vec_topk_dot", "dot_product", "list_inner_product(v, q)"), ("vec_topk_euclidean", "euclidean", f"1 / (1 + {_DIST})"),
+    ("vec_angular", "angular", f"(1 - acos(least(1, greatest(-1, {_COS}))) / pi())"), ("vec_manhattan", "manhattan", f"1 / (1 + {_MAN})"), ("vec_jaccard", "jaccard", _JAC),
+    ("vec_weighted_jaccard", "weighted_jaccard", "(list_sum(list_transform(range(len(v)), lambda i: least(abs(v[i + 1]), abs(q[i + 1])))) / list_sum(list_transform(range(len(v)), lambda i: greatest(abs(v[i + 1]), abs(q[i + 1])))))"),
+    ("vec_composite", "composite", f"(0.5 * ({_COS} + 1) / 2 + 0.3 * {_JAC} + 0.2 / (1 + {_DIST}))"),
+):
+    _vector_query(_n, _metric, _s)
+
+
+@query(f"select vec_id, round({_COS}, 6) as score from (select vec_id, label, embedding::double[] as v, {_Q}::double[] as q from embeddings) where label in (2, 3) and label <> 3 order by {_COS} desc, vec_id limit 10")
+def vec_topk_filtered(spark, d):
+    rows, q = _vec(spark, d)
+    return rounded(S.search(rows, q, 10, "cosine", C.is_in("label", [2, 3]) & C.ne("label", 3), key="vec_id").select("vec_id", "score"), "score")
+
+
+@query(f"select label, vec_id, rank from (select label, vec_id, row_number() over (partition by label order by {_COS} desc, vec_id) as rank from (select label, vec_id, embedding::double[] as v, {_Q}::double[] as q from embeddings)) where rank <= 3")
+def vec_topk_per_label(spark, d):
+    rows, q = _vec(spark, d)
+    return S.top_per_group(rows, q, 3, "label", key="vec_id").select("label", "vec_id", "rank")
+
+
+@query(f"select count(*) as n from embeddings where label in (1, 2)")
+def vec_count_filtered(spark, d):
+    return table(spark, d, "embeddings").where(C.compile_condition(C.is_in("label", [1, 2]), "meta")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select vec_id, len(list_filter(embedding, lambda x: x = 0)) / len(embedding) as sparsity, round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) as norm from embeddings")
+def vec_sparsity(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", V.sparsity(F.col("embedding")).alias("sparsity"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query("select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.35")
+def vec_near_duplicates(spark, d):
+    return rounded(S.near_pairs(table(spark, d, "embeddings"), 0.35, key="vec_id", block="label"), "score")
+
+
+@query("select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double)), 5) as total from embeddings")
+def vec_sparse_round_trip(spark, d):
+    sparse = V.to_sparse(F.col("embedding"))
+    rows = table(spark, d, "embeddings").withColumn("s", sparse).withColumn("back", V.to_dense(V.sparse_subtract(V.sparse_scale(F.col("s"), 3.0), V.sparse_add(F.col("s"), F.col("s")))))
+    return rows.select("vec_id", F.round(V.total(F.col("back")), 5).alias("total"))
+
+
+@query()
+def vec_quantized(spark, d):
+    rows = table(spark, d, "embeddings")
+    back = V.dequantize_u8(V.quantize_u8(F.col("embedding")))
+    return rows.select("vec_id", F.round(V.cosine(F.col("embedding"), back), 3).alias("kept"), V.binary_code(F.col("embedding")).alias("code"))
+
+
+@query()
+def vec_inverted_file(spark, d):
+    rows, q = _vec(spark, d)
+    return S.inverted_file(rows, 8, key="vec_id").search(q, 10, nprobe=4).select("vec_id", "score")
+
+
+@query()
+def vec_product_quantizer(spark, d):
+    rows, q = _vec(spark, d)
+    pq = S.ProductQuantizer.train(rows, 4, 8)
+    coded = pq.encode(rows)
+    return coded.withColumn("distance", pq.distance(q, F.col("codes"))).orderBy("distance", "vec_id").limit(10).select("vec_id", "distance")
+
+
+# text and geo
+
+
+@query(r"select doc_id from (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from documents) where list_has_all(w, ['the', 'and', 'in'])")
+def text_search_and(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.where(text.has_all(text.tokens(F.col("text")), ["the", "and", "in"])).select("doc_id")
+
+
+@query(r"select doc_id from (select doc_id, regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') as w from documents) where len(list_filter(w, lambda x: starts_with(x, 'thing'))) > 0")
+def text_search_prefix(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.where(text.has_prefix(text.tokens(F.col("text")), "thing")).select("doc_id")
+
+
+@query(r"select doc_id from (select doc_id, list_distinct(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as w from documents) where len(list_filter(w, lambda x: x <> '' and levenshtein(x, 'ander') <= 1)) > 0")
+def text_search_fuzzy(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.where(text.has_near(text.tokens(F.col("text")), "ander", 1)).select("doc_id")
+
+
+@query("select doc_id, ceil(strlen(text) / 4)::bigint as estimate, 'sha256:' || sha256(text) as hash from documents")
+def text_estimates(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).cast("long").alias("estimate"), text.content_hash(F.col("text")).alias("hash"))
+
+
+_POINT = "select c_custkey as id, ((c_custkey * 37) % 180 - 90)::double as lat, ((c_custkey * 73) % 360 - 180)::double as lon from customer"
+_HAV = "2 * 6371.0 * asin(sqrt(least(1.0, power(sin(radians(lat - 10) / 2), 2) + cos(radians(10)) * cos(radians(lat)) * power(sin(radians(lon - 20) / 2), 2))))"
+
+
+def _points(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(k.alias("id"), ((k * 37) % 180 - 90).cast("double").alias("lat"), ((k * 73) % 360 - 180).cast("double").alias("lon"))
+
+
+@query(f"select id, round({_HAV}, 4) as distance_km from ({_POINT}) where {_HAV} <= 1500")
+def geo_radius(spark, d):
+    return rounded(geo.within_radius(_points(spark, d), "lat", "lon", (10.0, 20.0), 1500).select("id", "distance_km"), "distance_km", digits=4)
+
+
+@query(f"select id from ({_POINT}) where lat between -10 and 30 and lon between 0 and 45")
+def geo_box(spark, d):
+    return _points(spark, d).where(geo.in_box(F.col("lat"), F.col("lon"), -10, 0, 30, 45)).select("id")
+
+
+@query(f"select id, round({_HAV}, 4) as distance_km from ({_POINT}) order by {_HAV}, id limit 15")
+def geo_nearest(spark, d):
+    return rounded(geo.nearest(_points(spark, d), "lat", "lon", (10.0, 20.0), 15, "id").select("id", "distance_km"), "distance_km", digits=4)
+
+
+# unified: entities are the vectors, each linked to (7 i + 3) mod n
+
+_LINKS = "n as (select count(*) as n from embeddings), l as (select vec_id as a, (vec_id * 7 + 3) % n as b from embeddings, n), near as (select b as id from l where a = 1 union select a from l where b = 1 union select b from l where a in (select b from l where a = 1))"
+
+
+def _entities(spark, d):
+    rows = table(spark, d, "embeddings")
+    n = rows.count()
+    links = rows.select(F.col("vec_id").alias("src_key"), ((F.col("vec_id") * 7 + 3) % n).alias("dst_key"), F.lit("next").alias("type"), F.lit(True).alias("directed"))
+    hop = links.join(links.where("src_key = 1").select(F.col("dst_key").alias("_m")), F.col("src_key") == F.col("_m")).select(F.lit(1).cast("long").alias("src_key"), "dst_key", "type", "directed")
+    return rows.select(F.col("vec_id").alias("key"), "embedding", "label"), links.unionByName(hop)
+
+
+@query(f"with {_LINKS} select vec_id as key, round({_COS}, 6) as score from (select vec_id, embedding::double[] as v, {_Q}::double[] as q from embeddings where vec_id in (select id from near)) order by {_COS} desc, key limit 5")
+def uni_similar_connected(spark, d):
+    rows, links = _entities(spark, d)
+    q = list(rows.where("key = 1").first()["embedding"])
+    return rounded(unified.similar_connected(rows, links, q, 1, 5).select("key", "score"), "score")
+
+
+@query(f"with {_LINKS} select vec_id as key, round({_COS}, 6) as score from (select vec_id, embedding::double[] as v, {_Q}::double[] as q from embeddings where vec_id in (select id from near) and vec_id <> 1) order by {_COS} desc, key limit 5")
+def uni_neighbors_by_similarity(spark, d):
+    rows, links = _entities(spark, d)
+    return rounded(unified.neighbours_by_similarity(rows, links, 1, None, 5).select("key", "score"), "score")
+
+
+@query("select 'relational:nation' as source, n_nationkey::varchar as id, n_name as name from nation where n_regionkey = 2")
+def uni_find_rows(spark, d):
+    found = unified.find_rows(table(spark, d, "nation"), "nation", "n_nationkey", C.eq("n_regionkey", 2))
+    return found.select("source", "id", F.col("data")["n_name"].alias("name"))
+
+
+@query("select 'graph' as source, s_suppkey::varchar as id, s_nationkey::varchar as nation from supplier where s_nationkey = 7 and s_acctbal > 0")
+def uni_find_nodes(spark, d):
+    found = unified.find_nodes(supplier_graph(spark, d), "n7", C.gt("balance", 0.0))
+    return found.select("source", "id", F.col("data")["s_nationkey"].alias("nation"))
+
+
+# services, snapshots, encodings
+
+
+@query("""select user_id, event_type, date_trunc('day', ts) as bucket, count(*) as n from events group by all""")
+def svc_access_buckets(spark, d):
+    return services.access_buckets(table(spark, d, "events"), "1 day", "ts", "user_id", "event_type")
+
+
+@query("""with c as (select doc_id, unnest(range(0, greatest(1, ceil(strlen(text) / 4096)::bigint))) as seq, encode(text) as b from documents),
+k as (select doc_id, sha256(b[(seq * 4096 + 1):(seq * 4096 + 4096)]) as h, octet_length(b[(seq * 4096 + 1):(seq * 4096 + 4096)]) as size from c)
+select count(distinct doc_id) as artifacts, count(*) as chunks, sum(size)::bigint as bytes, count(distinct h) as stored_chunks from k""")
+def svc_blob_dedup(spark, d):
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "utf-8").alias("content"))
+    return services.blob_stats(services.chunked(files, 4096)).select("artifacts", "chunks", "bytes", "stored_chunks")
+
+
+@query("select layer, count(*) as n from (select case when p.text is null then 'miss' else 'exact' end as layer from conversations c left join (select distinct text from conversations where turn = 0) p on p.text = c.text) group by layer")
+def svc_cache_layers(spark, d):
+    turns = table(spark, d, "conversations")
+    cached = turns.where("turn = 0").select(F.col("text").alias("prompt")).distinct()
+    looked = turns.join(cached, F.col("text") == F.col("prompt"), "left").withColumn("layer", F.when(F.col("prompt").isNull(), "miss").otherwise("exact"))
+    return services.cache_stats(looked)
+
+
+def _versions(spark, d):
+    old = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), "s_name", F.round("s_acctbal", 2).alias("bal"))
+    new = old.where("key % 10 <> 3").withColumn("bal", F.when(F.col("key") % 4 == 0, F.lit(0.0)).otherwise(F.col("bal")))
+    return old, new.unionByName(spark.createDataFrame([(10_000_001, "new", 5.0)], "key long, s_name string, bal double"))
+
+
+@query("""with o as (select s_suppkey as key, s_name, round(s_acctbal, 2) as bal from supplier), n as (select key, s_name, case when key % 4 = 0 then 0.0 else bal end as bal from o where key % 10 <> 3 union all select 10000001, 'new', 5.0)
+select coalesce(n.key, o.key) as key, case when n.key is null then 'removed' when o.key is null then 'added' else 'changed' end as was, n.bal as bal from o full join n on o.key = n.key where n.key is null or o.key is null or o.bal <> n.bal""")
+def svc_snapshot_diff(spark, d):
+    return store.diff(*_versions(spark, d)).select("key", "was", "bal")
+
+
+@query("""with o as (select s_suppkey as key, s_name, round(s_acctbal, 2) as bal from supplier)
+select key, s_name, case when key % 4 = 0 then 0.0 else bal end as bal from o where key % 10 <> 3 union all select 10000001, 'new', 5.0""")
+def svc_snapshot_delta(spark, d):
+    old, new = _versions(spark, d)
+    return store.apply_delta(old, store.diff(old, new))
+
+
+@query("""select o_custkey, run, o_orderstatus, count(*) as run_length, min(o_orderkey) as run_start from (
+select *, sum(new) over (partition by o_custkey order by o_orderkey) - 1 as run from (
+select *, case when lag(o_orderstatus) over (partition by o_custkey order by o_orderkey) = o_orderstatus then 0 else 1 end as new from orders)) group by all""")
+def svc_run_lengths(spark, d):
+    return encoding.run_lengths(table(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_orderstatus")
+
+
+@query("select o_custkey, o_orderkey, o_orderkey - coalesce(lag(o_orderkey) over (partition by o_custkey order by o_orderkey), 0) as delta from orders")
+def svc_delta_encode(spark, d):
+    return encoding.delta_encode(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey", "o_orderkey")
+
+
+@query("select before, after, count(*) as n from (select lag(event_type) over (partition by user_id order by event_id) as before, event_type as after from events) where before is not null group by all")
+def svc_code_transitions(spark, d):
+    return services.code_transitions(table(spark, d, "events"), "user_id", "event_id", "event_type")
+
+
+@query("select event_id, ts from events where ts >= timestamp '2024-01-20 00:00:00' and event_type like 'p%e'")
+def svc_audit_since(spark, d):
+    since = services.audit_since(table(spark, d, "events"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    return services.by_glob(since, "event_type", "p*e").select("event_id", "ts")
+
+
+@query("select e.user_id, e.event_id from (select user_id, max(event_id) as event_id from events group by user_id) e")
+def svc_last_write_wins(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_id")
+    return S.upsert(rows.limit(0), rows, "user_id", "event_id")
+
+
+@query()
+def svc_heat_diffusion(spark, d):
+    g = supplier_graph(spark, d)
+    start = g.edges.agg(F.min("src").alias("id")).withColumn("value", F.lit(1.0))
+    return services.diffusion(g, start, degree=5)
+
+
+@query()
+def enc_varint_round_trip(spark, d):
+    ids = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
+    coded = ids.withColumn("code", encoding.varint(F.col("ids")))
+    return coded.select("o_custkey", F.octet_length("code").alias("bytes"), (encoding.unvarint(F.col("code")) == F.col("ids")).alias("same"))
+
+
+@query()
+def enc_tensor_train(spark, d):
+    rows = table(spark, d, "embeddings").withColumn("t", encoding.tt_compressed(F.col("embedding"), (4, 4, 4), 4))
+    return rows.select("vec_id", "t.kept", F.round(V.cosine(F.col("embedding"), F.col("t.approx")), 4).alias("similarity"))
