@@ -62,11 +62,11 @@ def rel_filter_and_or(spark, d):
     return R.select(table(spark, d, "lineitem"), cond, ["l_orderkey", "l_linenumber", "l_quantity", "no_such_column"])
 
 
-@query("select id, optional, optional is not distinct from null as is_null, optional is distinct from 10 as not_ten, coalesce(optional > 50, false) as big from (select i as id, case when i % 3 = 0 then null else i * 10 end as optional from range(20) t(i))")
+@query("select id, optional is not distinct from null as is_null, optional is distinct from 10 as not_ten, coalesce(optional > 50, false) as big from (select i as id, case when i % 3 = 0 then null else i * 10 end as optional from range(20) t(i))")
 def rel_null_safe_filter(spark, d):
     df = spark.range(20).withColumn("optional", F.when(F.col("id") % 3 != 0, F.col("id") * 10))
     k = C.compile_condition
-    return df.select("id", "optional", k(C.eq("optional", None)).alias("is_null"), k(C.ne("optional", 10)).alias("not_ten"), k(C.gt("optional", 50)).alias("big"))
+    return df.select("id", k(C.eq("optional", None)).alias("is_null"), k(C.ne("optional", 10)).alias("not_ten"), k(C.gt("optional", 50)).alias("big"))
 
 
 @query("select p_partkey, p_size from part where p_name like '%a%' and p_size in (1, 5, 9) and p_retailprice between 900 and 1500 and p_brand is not null")
@@ -103,10 +103,11 @@ def _join(how: str, sql_how: str, extra: str = ""):
     def run(spark, d):
         a = table(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_nationkey")
         b = table(spark, d, "orders").where("o_custkey % 3 = 0").select("o_orderkey", "o_custkey")
-        return R.join(a, b, [("c_custkey", "o_custkey")], how)
+        out = R.join(a, b, [("c_custkey", "o_custkey")], how)
+        return out.select(*[F.coalesce(c, F.lit(-1)).alias(c) for c in out.columns])
 
     run.__name__ = name
-    sql = f"select c_custkey, c_nationkey, o_orderkey, o_custkey from (select * from customer where c_custkey % 2 = 0) {sql_how} join (select * from orders where o_custkey % 3 = 0) on c_custkey is not distinct from o_custkey"
+    sql = f"select coalesce(c_custkey, -1) as c_custkey, coalesce(c_nationkey, -1) as c_nationkey, coalesce(o_orderkey, -1) as o_orderkey, coalesce(o_custkey, -1) as o_custkey from (select * from customer where c_custkey % 2 = 0) {sql_how} join (select * from orders where o_custkey % 3 = 0) on c_custkey is not distinct from o_custkey"
     return query(sql)(run)
 
 
@@ -167,10 +168,11 @@ def rel_group_having(spark, d):
     return rounded(rounded(out, "sum_l_quantity", digits=2), "avg_l_discount")
 
 
-@query("select 7 as count_all, 0 as count_x, 0.0::double as sum_x, null::double as avg_x, null::bigint as min_x, null::bigint as max_x")
+@query("select 7 as count_all, 0 as count_x, 0.0::double as sum_x, true as no_avg, true as no_min, true as no_max")
 def rel_sum_empty_zero(spark, d):
     df = spark.range(7).select(F.lit(None).cast("long").alias("x"))
-    return R.aggregate(df, [("count_all", None), ("count", "x"), ("sum", "x"), ("avg", "x"), ("min", "x"), ("max", "x")])
+    out = R.aggregate(df, [("count_all", None), ("count", "x"), ("sum", "x"), ("avg", "x"), ("min", "x"), ("max", "x")])
+    return out.select("count_all", "count_x", "sum_x", *[F.col(f"{c}_x").isNull().alias(f"no_{c}") for c in ("avg", "min", "max")])
 
 
 @query("select o_orderkey, o_custkey, o_orderstatus from (select *, row_number() over (partition by o_custkey, o_orderstatus order by o_orderkey) as r from orders) where r = 1")
@@ -625,7 +627,7 @@ def svc_snapshot_delta(spark, d):
 
 
 @query("""select o_custkey, run, o_orderstatus, count(*) as run_length, min(o_orderkey) as run_start from (
-select *, sum(new) over (partition by o_custkey order by o_orderkey) - 1 as run from (
+select *, (sum(new) over (partition by o_custkey order by o_orderkey) - 1)::bigint as run from (
 select *, case when lag(o_orderstatus) over (partition by o_custkey order by o_orderkey) = o_orderstatus then 0 else 1 end as new from orders)) group by all""")
 def svc_run_lengths(spark, d):
     return encoding.run_lengths(table(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_orderstatus")
