@@ -82,3 +82,27 @@ def running_sum(df: DataFrame, group: str, bucket: str, order: list[str], value:
     within = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = df.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
     return inner.join(base, [group, bucket]).withColumn(out, F.col("_base") + F.col("_within")).drop("_base", "_within")
+
+
+#: Bits of a bitmap filter, as powers of 2; the largest is 32 MB whatever the input.
+LEAST_BITS, MOST_BITS = 18, 28
+_PAGE = 32768
+
+
+def bitmap_bits(n: int) -> int:
+    """The power of 2 of at least n bits, within the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, max(1, n).bit_length()))
+
+
+def bitmap(keys: DataFrame, key: Column, bits: int) -> DataFrame:
+    """Pages of a bitmap over the keys modulo 2^bits; a table of at most 2^bits / 8 bytes, fit to broadcast."""
+    k = keys.select(F.pmod(key, F.lit(1 << bits)).alias("_k"))
+    return k.groupBy(F.expr(f"_k div {_PAGE}").alias("_page")).agg(F.expr(f"bitmap_construct_agg(cast(pmod(_k, {_PAGE}) as int))").alias("_bitmap"))
+
+
+def in_bitmap(df: DataFrame, key: Column, pages: DataFrame, bits: int, name: str) -> DataFrame:
+    """df with the boolean name: false only for keys that aren't in the bitmap; some others are true too."""
+    df = df.withColumn("_k", F.pmod(key, F.lit(1 << bits))).withColumn("_page", F.expr(f"_k div {_PAGE}"))
+    byte = F.expr(f"cast(conv(hex(substring(_bitmap, cast(pmod(_k, {_PAGE}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = F.coalesce(F.call_function("bit_get", byte, F.expr("cast(pmod(_k, 8) as int)")), F.lit(0).cast("byte"))
+    return df.join(F.broadcast(pages), "_page", "left").withColumn(name, bit == 1).drop("_k", "_page", "_bitmap")

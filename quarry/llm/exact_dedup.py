@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WS, lookup, materialize, text_or_empty
+from quarry.llm.common import WS, bitmap, bitmap_bits, in_bitmap, lookup, materialize, text_or_empty
 
 PREFIX_CHARS = 128
-#: Bits of the survivor filters: 8 a row, within these bounds; the largest is 32 MB whatever the input.
-LEAST_BITS, MOST_BITS = 18, 28
-_PAGE = 32768
 
 
 def normalised(c: Column) -> Column:
@@ -19,18 +16,9 @@ def normalised(c: Column) -> Column:
 
 
 def _repeated(df: DataFrame, key: Column, bits: int) -> DataFrame:
-    """Bitmap pages over hashes of the keys that more than one row has; a broadcastable table of at most 2^bits / 8 bytes."""
+    """Bitmap of the hashes of keys that more than one row has."""
     twice = df.groupBy(F.pmod(key, F.lit(1 << bits)).alias("_k")).agg(F.count("*").alias("_n")).where("_n > 1")
-    page = F.expr(f"_k div {_PAGE}").alias("_page")
-    return twice.groupBy(page).agg(F.expr(f"bitmap_construct_agg(cast(pmod(_k, {_PAGE}) as int))").alias("_bitmap"))
-
-
-def _with_survivors(df: DataFrame, key: Column, pages: DataFrame, bits: int, name: str) -> DataFrame:
-    """Mark rows whose key may repeat. A false mark only costs one more hash; a repeated key is never missed."""
-    df = df.withColumn("_k", F.pmod(key, F.lit(1 << bits))).withColumn("_page", F.expr(f"_k div {_PAGE}"))
-    byte = F.expr(f"cast(conv(hex(substring(_bitmap, cast(pmod(_k, {_PAGE}) div 8 as int) + 1, 1)), 16, 10) as int)")
-    bit = F.coalesce(F.call_function("bit_get", byte, F.expr("cast(pmod(_k, 8) as int)")), F.lit(0).cast("byte"))
-    return df.join(F.broadcast(pages), "_page", "left").withColumn(name, bit == 1).drop("_k", "_page", "_bitmap")
+    return bitmap(twice, F.col("_k"), bits)
 
 
 def content_keys(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -43,14 +31,14 @@ def content_keys(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     norm = docs.withColumn("_norm", normalised(text_or_empty(text))).withColumn("_len", F.octet_length("_norm").cast("long"))
     n = docs.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (8 * max(1, n)).bit_length()))
+    bits = bitmap_bits(8 * n)
     by_length = F.xxhash64("_len")
     lengths = _repeated(norm.select("_len"), by_length, bits)
-    one = _with_survivors(norm, by_length, materialize(lengths, "lengths"), bits, "_one")
+    one = in_bitmap(norm, by_length, materialize(lengths, "lengths"), bits, "_one")
     prefix = F.when(F.col("_one"), F.xxhash64("_len", F.substring("_norm", 1, PREFIX_CHARS)))
     one = one.withColumn("_prefix", prefix)
     pairs = _repeated(one.where("_one").select("_prefix"), F.col("_prefix"), bits)
-    two = _with_survivors(one, F.col("_prefix"), materialize(pairs, "prefixes"), bits, "_two")
+    two = in_bitmap(one, F.col("_prefix"), materialize(pairs, "prefixes"), bits, "_two")
     two = two.withColumn("_two", F.coalesce(F.col("_two"), F.lit(False)))
     key = F.when(F.col("_two"), F.sha2("_norm", 256)).when(F.col("_one"), F.concat(F.col("_len").cast("string"), F.lit(":"), F.col("_prefix").cast("string"))).otherwise(F.concat(F.lit("len:"), F.col("_len").cast("string")))
     return two.withColumn("group_key", key).drop("_one", "_two", "_prefix", "_len")

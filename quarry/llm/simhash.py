@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import HEAVY, lookup, materialize, text_or_empty
+from quarry.llm.common import HEAVY, bitmap, bitmap_bits, in_bitmap, lookup, materialize, text_or_empty
 from quarry.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -170,8 +170,10 @@ def _dense_links(keys: DataFrame, dense: DataFrame, heavy: DataFrame) -> DataFra
     placed = materialize(member.join(own.join(times, "fp"), "fp").select("key", "fp", "part"), "placed")
     main = placed.groupBy("key", "part").agg(F.count("*").alias("_c")).groupBy("key").agg(F.max_by("part", F.struct("_c", "part")).alias("_main"), F.sum("_c").alias("_n"))
     odd = lookup(placed, materialize(main, "main"), ["key"], "_n").where("part <> _main").select("fp").distinct()
-    # merge: the rows of a ball are many more than the planner expects, too many to broadcast
-    far = _ball(materialize(odd, "odd"), 2).join(least.select("z", "b").hint("merge"), "z").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    # a bitmap of all z drops most of a ball before the shuffle; merge, as the planner takes the exploded rows for few
+    bits = bitmap_bits(16 * 65 * fps.count())
+    far = in_bitmap(_ball(materialize(odd, "odd"), 2), F.xxhash64("z"), materialize(bitmap(least, F.xxhash64("z"), bits), "bits"), bits, "_may").where("_may")
+    far = far.join(least.select("z", "b").hint("merge"), "z").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return links.unionByName(far.distinct())
 
 
