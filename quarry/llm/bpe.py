@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_or_empty
+from quarry.llm.common import id_as_text, id_back, text_or_empty
 
 #: Fixed value: the pre-tokenisation pattern of the byte-level tokenizer file.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -231,8 +231,6 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "tex
     Null texts count as empty: 0 tokens. Rows aren't compared with each other, so repeated rows
     give repeated results; an empty table gives an empty result; other columns are left out.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
         for batch in batches:
@@ -244,8 +242,8 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "tex
                 back = back.decode("utf-8", "replace").encode()
                 rows.append((len(numbers), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, id_col, batch["_id"].to_numpy())
+            out.insert(0, "_id", batch["_id"].to_numpy())
             yield out
 
-    narrow = docs.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("text"))
-    return narrow.mapInPandas(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    narrow = docs.select(id_as_text(id_col), text_or_empty(text).alias("text"))
+    return id_back(narrow.mapInPandas(run, "_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"), docs, id_col)

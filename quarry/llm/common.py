@@ -50,6 +50,16 @@ def hash60(c: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(c.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
+def id_as_text(id_col: str) -> Column:
+    """The id for a trip through pandas, where a null would turn whole numbers into floats."""
+    return F.col(id_col).cast("string").alias("_id")
+
+
+def id_back(df: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
+    """df with _id as docs has it under id_col, in first place."""
+    return df.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), *[c for c in df.columns if c != "_id"])
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], n_rows: str, total: int | None = None) -> DataFrame:
     """Left join to a table with one row per key, safe for keys that hold a large part of all rows.
 

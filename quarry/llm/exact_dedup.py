@@ -66,11 +66,12 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns unchanged; see decide() for ties and nulls."""
-    sha, chars = F.sha2(normalised(text_or_empty(text)), 256), F.length(text_or_empty(text)).cast("long")
+    sha, chars = F.sha2(normalised(text_or_empty(text)), 256), F.length(text_or_empty(text))
     decided = materialize(decide(docs, id_col, text), "decided")
     keep = decided.where("kept").select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha"))
-    out = docs.withColumn("_own", sha).join(keep, docs[id_col].eqNullSafe(F.col("_keep")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    repeated = decided.groupBy(id_col, "text_sha256").count().where("count > 1").limit(1).count()
-    if repeated:  # the same id more than once in a group: the longest stays, once
-        out = out.withColumn("_rank", F.row_number().over(Window.partitionBy(id_col, "_own").orderBy(chars.desc()))).where("_rank = 1").drop("_rank")
-    return out.drop("_own")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), sha.alias("_own"), chars.alias("_chars"))
+    out = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    if not decided.groupBy(id_col, "text_sha256").count().where("count > 1").isEmpty():  # the same id more than once in a group: the longest stays, once
+        first = Window.partitionBy("_id", "_own").orderBy(F.col("_chars").desc())
+        out = out.withColumn("_rank", F.row_number().over(first)).where("_rank = 1")
+    return out.select("_row.*")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import gru
-from quarry.llm.common import materialize, text_or_empty
+from quarry.llm.common import id_as_text, id_back, materialize, text_or_empty
 
 FOLDS, SMOOTH = 10, 0.1
 #: The end of a text; no word holds a space.
@@ -170,12 +170,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     and both scores follow from smoothing and untrained weights. Repeated rows are scored alike and
     counted as often as they occur; a null id hashes as the empty string.
     """
-    narrow = docs.select(F.col(id_col).alias("_id"), held_out(F.col(id_col)).alias("held_out"), text_or_empty(text).alias("text"))
+    narrow = docs.select(id_as_text(id_col), held_out(F.col(id_col)).alias("held_out"), text_or_empty(text).alias("text"))
     learn = narrow.where(~F.col("held_out"))
     counts = materialize(count_tokens(learn), "counts")
     lex = lexicon(counts)
     weights = tuple(fit(learn, lex, "_id"))
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         params = gru.Params(*weights)
@@ -188,12 +187,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             out["base"] = [float(lex.base[x[3]].sum()) for x in held]
             out["model"] = [float(s + lex.rest[x[3]].sum()) for s, x in zip(ll, held, strict=True)]
             out["far"] = [[{"token": w, "k": k, "mass": 0.0 if w == END else float(lex.bucket_log[bucket(w)])} for w, k in x[4].items()] for x in held]
-            return out.astype({"_id": object})
+            return out
 
         held, n = [], 0
         for batch in batches:
             for key, flag, t in zip(batch["_id"], batch["held_out"], batch["text"], strict=True):
-                held.append((None if pd.isna(key) else key, flag, *_units(lex, tokens(t))))
+                held.append((key, flag, *_units(lex, tokens(t))))
                 n += len(held[-1][2])
                 if n > MOST_TOKENS:
                     yield done(held)
@@ -201,7 +200,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         if held:
             yield done(held)
 
-    schema = f"_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, far array<struct<token:binary,k:long,mass:double>>"
+    schema = "_id string, held_out boolean, n_tokens long, known long, base double, model double, far array<struct<token:binary,k:long,mass:double>>"
     scored = narrow.mapInPandas(run, schema).withColumn("_row", F.monotonically_increasing_id())
     scored = materialize(scored, "scored")
     far = scored.select("_row", F.explode("far").alias("f")).select("_row", "f.token", "f.k", "f.mass")
@@ -213,7 +212,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         F.sum(F.when(F.col("token") == F.lit(END), 0.0).otherwise(F.col("k") * (log - F.col("mass")))).alias("_model"),
     )
     zero = F.lit(0.0)
-    return scored.join(sums, "_row", "left").select(
-        F.col("_id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("_known", F.lit(0).cast("long"))).alias("n_known"),
+    out = scored.join(sums, "_row", "left").select(
+        "_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("_known", F.lit(0).cast("long"))).alias("n_known"),
         F.lit(lex.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("_base", zero)).alias("base_score"), (F.col("model") + F.coalesce("_model", zero)).alias("score"),
     )
+    return id_back(out, docs, id_col)

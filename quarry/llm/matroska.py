@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_or_empty
+from quarry.llm.common import id_as_text, id_back, text_or_empty
 
 # Element identifiers of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -266,13 +266,12 @@ def feature(payload: bytes, parsed: Parsed) -> str:
 
 def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, media: each row's text as a Matroska file. Null counts as empty; an empty text is 64 zero samples."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({id_col: batch["_id"], "media": [mux(payload_of(t.encode("utf-8", "surrogatepass"))) for t in batch["text"]]})
+            yield pd.DataFrame({"_id": batch["_id"], "media": [mux(payload_of(t.encode("utf-8", "surrogatepass"))) for t in batch["text"]]})
 
-    return docs.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("text")).mapInPandas(run, f"{id_col} {kind}, media binary")
+    narrow = docs.select(id_as_text(id_col), text_or_empty(text).alias("text"))
+    return id_back(narrow.mapInPandas(run, "_id string, media binary"), docs, id_col)
 
 
 PACKETS = "track int, timestamp_ns long, offset long, size long, cluster int, block int, lace int, keyframe boolean"
@@ -284,10 +283,8 @@ def packets(media: DataFrame, id_col: str = "doc_id", column: str = "media") ->
     A damaged file gives its packets up to the damage, then one row with error set and the rest
     null; so does a null or empty value. Other columns are left out.
     """
-    kind = media.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [id_col, *Packet._fields, "error"]
+        names = ["_id", *Packet._fields, "error"]
         for batch in batches:
             rows = []
             for key, data in zip(batch["_id"], batch["media"], strict=True):
@@ -300,7 +297,8 @@ def packets(media: DataFrame, id_col: str = "doc_id", column: str = "media") ->
                     rows = []
             yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    return media.select(F.col(id_col).alias("_id"), F.col(column).alias("media")).mapInPandas(run, f"{id_col} {kind}, {PACKETS}, error string")
+    narrow = media.select(id_as_text(id_col), F.col(column).alias("media"))
+    return id_back(narrow.mapInPandas(run, f"_id string, {PACKETS}, error string"), media, id_col)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,8 +306,6 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 
     Null counts as empty; equal texts give equal values; an empty table gives an empty result.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for batch in batches:
@@ -323,8 +319,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
                 back = read_back(media, parsed)
                 rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature(back, parsed)))
             out = pd.DataFrame(rows, columns=names)
-            out.insert(0, id_col, batch["_id"].to_numpy())
+            out.insert(0, "_id", batch["_id"].to_numpy())
             yield out
 
-    narrow = docs.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("text"))
-    return narrow.mapInPandas(run, f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    narrow = docs.select(id_as_text(id_col), text_or_empty(text).alias("text"))
+    schema = "_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return id_back(narrow.mapInPandas(run, schema), docs, id_col)

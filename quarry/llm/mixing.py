@@ -108,12 +108,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", seed: str = "") -> tuple[DataFr
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The mix as rows with the columns of docs: a document appears once per full pass, and once cut to its first words for a part."""
-    documents = mix(docs, id_col)[0].where("taken > 0").select(F.col(id_col).alias("_id"), "taken", F.col("size").alias("_size"), F.col("source").alias("_source"))
-    both = docs.join(documents, docs[id_col].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (F.regexp_count(text_or_empty(text), F.lit(WORD)) == F.col("_size")))
+    documents = mix(docs.withColumn("text", F.col(text)), id_col)[0].where("taken > 0")
+    documents = documents.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken")
+    size = F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), F.col("source").alias("_s"), size.alias("_n"), F.lit(1).alias("_k"))
+    documents = materialize(documents.withColumn("_j", F.lit(1)), "mixed")
+    if not documents.groupBy("_id", "_source", "_size").count().where("count > 1").isEmpty():  # rows that repeat an id: one each
+        rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_i", "_s", "_n").orderBy(F.xxhash64(f"_row.{text}"))))
+        documents = documents.withColumn("_j", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.col("taken").desc())))
+    same = F.col("_i").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_k") == F.col("_j"))
+    both = rows.join(documents, same)
     both = both.withColumn("_words", F.explode(F.expr("transform(sequence(0L, (taken - 1) div _size), p -> least(_size, taken - p * _size))")))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"[{WS}]*{WORD}"), F.lit(0)), 1, F.col("_words").cast("int")), "")
-    new = F.when(F.col("_words") == F.col("_size"), F.col(text)).otherwise(cut)
-    out = both.withColumn(text, new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    whole = F.col(f"_row.{text}")
+    cut = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(f"[{WS}]*{WORD}"), F.lit(0)), 1, F.col("_words").cast("int")), "")
+    new = F.when(F.col("_words") == F.col("_size"), whole).otherwise(cut)
+    out = both.select(*[new.alias(text) if c == text else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    return out

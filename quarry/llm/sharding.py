@@ -57,7 +57,7 @@ def shard(df: DataFrame, key: Column, n_bytes: Column, max_bytes: int = MAX_BYTE
     if max_bytes < 1:
         raise ValueError("max_bytes must be positive")
     made = ["shard", "depth", "shard_rows", "shard_bytes"]
-    rows = df.drop(*made).withColumns({"_h": hash60(key), "_n": F.coalesce(n_bytes.cast("long"), F.lit(0).cast("long"))})
+    rows = df.select(F.struct(*[c for c in df.columns if c not in made]).alias("_row"), hash60(key).alias("_h"), F.coalesce(n_bytes.cast("long"), F.lit(0).cast("long")).alias("_n"))
     total = rows.agg(F.sum("_n")).first()[0] or 0
     low, high = 0, min(BITS, max(SLACK_BITS, math.ceil(math.log2(max(1, total / max_bytes))) + SLACK_BITS))
     pending, parts = rows.select("_h", "_n"), []
@@ -82,9 +82,9 @@ def shard(df: DataFrame, key: Column, n_bytes: Column, max_bytes: int = MAX_BYTE
     out = out.withColumn("_d", F.coalesce(*[F.col(f"_d{k}") for k in range(len(parts))]))
     prefix = F.when(F.col("_d.depth") == 0, "").otherwise(F.expr("lpad(bin(_d._node), _d.depth, '0')"))
     out = out.withColumns({"shard": prefix, "depth": F.col("_d.depth"), "shard_rows": F.col("_d.bucket_rows"), "shard_bytes": F.col("_d.bucket_bytes")})
-    out = out.select(*[c for c in df.columns if c not in made], *made, "_h", "_n")
+    out = out.select("_row", *made, "_h", "_n")
     full = [d.where((F.col("bucket_bytes") > max_bytes) & (F.col("bucket_rows") > 1)).limit(1).count() for _, d, _ in parts]
-    return _overflow(out, max_bytes).drop("_h", "_n") if any(full) else out.drop("_h", "_n")
+    return (_overflow(out, max_bytes) if any(full) else out).select("_row.*", *made)
 
 
 def _overflow(out: DataFrame, max_bytes: int) -> DataFrame:

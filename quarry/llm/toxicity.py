@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_or_empty
+from quarry.llm.common import id_as_text, id_back, text_or_empty
 
 FOLDS = 5
 #: Bounds of what the classifier is fitted on: labelled rows of each class, in the order of a hash of their id, and bytes of a row.
@@ -188,17 +188,16 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "t
     share of label 1 (0 without labels). Equal texts have equal scores; an empty table gives an
     empty result; other columns are left out.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     plain = tuple(model)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(Model(*plain)) if len(plain[4]) else None
         for batch in batches:
             s = np.array([scorer.score(t) if scorer else plain[5] for t in batch["text"]], float)
-            yield pd.DataFrame({id_col: batch["_id"], "held_out": batch["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+            yield pd.DataFrame({"_id": batch["_id"], "held_out": batch["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    narrow = docs.select(F.col(id_col).alias("_id"), held_out(F.col(id_col)).alias("held_out"), text_or_empty(text).alias("text"))
-    return narrow.mapInPandas(run, f"{id_col} {kind}, held_out boolean, score double, predicted int")
+    narrow = docs.select(id_as_text(id_col), held_out(F.col(id_col)).alias("held_out"), text_or_empty(text).alias("text"))
+    return id_back(narrow.mapInPandas(run, "_id string, held_out boolean, score double, predicted int"), docs, id_col)
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

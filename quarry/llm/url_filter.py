@@ -53,7 +53,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str =
     without '://' have empty host and path and no rule; empty tables give empty results.
     """
     made = ["host", "path", "rule", "verdict"]
-    pages = pages.withColumns({"_host": split_url(F.col(url))["host"], "_path": split_url(F.col(url))["path"]})
+    parts = split_url(F.col(url))
+    pages = pages.select(F.struct(*[c for c in pages.columns if c not in made]).alias("_row"), parts["host"].alias("_host"), parts["path"].alias("_path"))
     pairs = materialize(pages.groupBy("_host", "_path").agg(F.count("*").alias("_n")), "urls")
     rules = rules.select(ascii_lower(F.col("host")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("rule_host <> ''")
     rules = rules.groupBy("rule_host", "path").agg(F.max("verdict").alias("verdict"))
@@ -78,8 +79,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str =
     best = best.groupBy("_host", "_path").agg(F.max_by("_rule", F.struct("_rule.chars", "_rule.host_chars")).alias("_rule"))
     judged = materialize(pairs.join(best, ["_host", "_path"], "left").select("_host", "_path", "_n", F.col("_rule.rule").alias("_r"), F.col("_rule.verdict").alias("_v")), "judged")
     out = lookup(pages, judged, ["_host", "_path"], "_n")
-    kept = [c for c in pages.columns if c not in [*made, "_host", "_path"]]
-    return out.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_r").alias("rule"), F.coalesce("_v", F.lit(default)).alias("verdict"))
+    return out.select("_row.*", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_r").alias("rule"), F.coalesce("_v", F.lit(default)).alias("verdict"))
 
 
 def rules_frame(spark, rules=RULES) -> DataFrame:
