@@ -6,10 +6,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import HEAVY, bitmap, bitmap_bits, in_bitmap, lookup, materialize, text_or_empty
+from quarry.llm.common import HEAVY, bitmap, bitmap_bits, id_as_text, id_back, in_bitmap, lookup, materialize, text_or_empty
 from quarry.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -114,15 +114,13 @@ def fingerprint(text: str) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id and fp (the fingerprint as a signed long) for every row of docs."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({id_col: batch["_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"_id": batch["_id"], "fp": fp.view(np.int64)})
 
-    narrow = docs.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("text"))
-    return narrow.mapInPandas(run, f"{id_col} {kind}, fp long")
+    narrow = docs.select(id_as_text(id_col), text_or_empty(text).alias("text"))
+    return id_back(narrow.mapInPandas(run, "_id string, fp long"), docs, id_col)
 
 
 def _keyed(fps: DataFrame) -> DataFrame:
@@ -188,19 +186,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     rows = materialize(fingerprints(docs, id_col, text), "fingerprints")
     groups = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("_least"), F.count("*").alias("_rows")), "groups")
     keys = materialize(_keyed(groups), "keys")
-    n_role = [F.count(F.when(F.col("role") == r, 1)) for r in range(3)]
-    count = keys.groupBy("key").agg(F.count("*").alias("_n"), *[c.alias(f"_n{r}") for r, c in enumerate(n_role)])
-    count = materialize(count.where("_n > 1 and (_n0 > 0 or (_n1 > 0 and _n2 > 0))").select("key", "_n"), "shared")
-    total = groups.count()
+    roles = F.expr("bit_or(shiftleft(1, cast(role as int)))").alias("_roles")
+    count = keys.groupBy("key").agg(F.count("*").alias("_n"), roles)
+    # shared by two fingerprints in roles that meet: 0 with any, or 1 with 2
+    count = materialize(count.where("_n > 1 and ((_roles & 1) = 1 or _roles >= 6)").select("key", "_n"), "shared")
+    total, n_shared = groups.count(), count.count()
+    # a bitmap of the shared keys drops the others, nearly all, before any join shuffles them
+    bits = bitmap_bits(64 * n_shared)
+    pages = materialize(bitmap(count, F.xxhash64("key"), bits), "pages")
+    hits = materialize(in_bitmap(keys.select("key", "fp"), F.xxhash64("key"), pages, bits, "_may").where("_may").drop("_may"), "hits")
     dense = count.where(F.col("_n") > DENSE)
     # buckets with at least 1/HEAVY of all fingerprints: a fingerprint has at most 74 keys, so there are at most 74 x HEAVY
     heavy = materialize(dense.where(F.col("_n") >= max(DENSE + 1, -(-total // HEAVY))).select("key"), "heavykeys")
-    few = keys.join(F.broadcast(heavy), "key", "left_anti").join(count.where(F.col("_n") <= DENSE), "key", "left_semi")
+    few = hits.join(F.broadcast(heavy), "key", "left_anti").join(count.where(F.col("_n") <= DENSE), "key", "left_semi")
     few = materialize(few, "few")
     a, b = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
     links = a.join(b, "key").where(f"a < b and bit_count(a ^ b) <= {DISTANCE}").select("a", "b").distinct()
     if dense.limit(1).count():
-        links = links.unionByName(_dense_links(keys.drop("role"), dense.select("key"), heavy))
+        links = links.unionByName(_dense_links(hits, dense.select("key"), heavy))
     part = components(links)
     known = groups.join(part, groups["fp"] == part["node"], "left").select("fp", "_least", "_rows", F.coalesce("component", "fp").alias("_part"))
     known = materialize(known, "known")
@@ -211,7 +214,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's smallest; a row with a null id stays."""
-    found = near_duplicates(docs, id_col, text).where(f"{id_col} = component_id").select(F.col(id_col).alias("_keep")).distinct()
+    """The rows of docs whose id is their component's smallest; a row with a null id stays. Of rows that repeat an id within a component one stays."""
+    named = docs.where(F.col(id_col).isNotNull())
+    found = materialize(near_duplicates(named, id_col, text).where(f"{id_col} = component_id").select(F.col(id_col).alias("_keep"), F.col("fp").alias("_fp")), "kept")
     alone = docs.where(F.col(id_col).isNull())
-    return docs.join(found, docs[id_col] == found["_keep"], "left_semi").unionByName(alone)
+    if found.groupBy("_keep").count().where("count > 1").isEmpty() and named.groupBy(id_col).count().where("count > 1").isEmpty():
+        return named.join(found, named[id_col] == found["_keep"], "left_semi").unionByName(alone)
+
+    @F.pandas_udf("long")
+    def own(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+
+    rows = named.select(F.struct("*").alias("_row"), F.col(id_col).alias("_keep"), own(text_or_empty(text)).alias("_fp"))
+    rows = rows.join(found.distinct(), ["_keep", "_fp"], "left_semi")
+    first = Window.partitionBy("_keep").orderBy("_fp")
+    return rows.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").select("_row.*").unionByName(alone)
