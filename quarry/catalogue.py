@@ -12,7 +12,7 @@ from quarry.functions import vectors as V
 from quarry.operators import conditions as C
 from quarry.operators import graph_algorithms as A
 from quarry.operators import relational as R
-from quarry.operators import services, unified
+from quarry.operators import partitioning, services, unified
 from quarry.operators import vector_search as S
 from quarry.operators.graph import BOTH, IN, OUT, EdgePattern, Graph, NodePattern, Pattern
 from quarry.plans.engine import Engine
@@ -673,3 +673,22 @@ def enc_varint_round_trip(spark, d):
 def enc_tensor_train(spark, d):
     rows = table(spark, d, "embeddings").withColumn("t", encoding.tt_compressed(F.col("embedding"), (4, 4, 4), 4))
     return rows.select("vec_id", "t.kept", F.round(V.cosine(F.col("embedding"), F.col("t.approx")), 4).alias("similarity"))
+
+
+@query(f"with {_E}, p as (select s_suppkey as id, s_suppkey % 4 as shard from supplier) select count(*) as edges, count(case when a.shard <> b.shard then 1 end) as cut, count(case when a.shard <> b.shard then 1 end) / count(*) as share from e join p a on a.id = e.src join p b on b.id = e.dst")
+def dis_edge_cut(spark, d):
+    g = supplier_graph(spark, d)
+    return partitioning.edge_cut(g.edges, partitioning.shard_of(g.nodes, "modular", 4, "id"))
+
+
+@query("""with s as (select case when l_suppkey < 20 then 0 when l_suppkey < 60 then 1 else 2 end as shard, count(*) as n from lineitem group by 1)
+select sum(n)::bigint as rows, max(n) as largest, sum(n) / 3 as mean, max(n) / (sum(n) / 3) as skew from s""")
+def dis_range_skew(spark, d):
+    sharded = partitioning.shard_of(table(spark, d, "lineitem"), "range", 3, "l_suppkey", [20, 60])
+    return partitioning.skew(sharded, 3)
+
+
+@query("select token, count(distinct doc_id) as docs from (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as token from documents) where strlen(token) >= 3 group by token having count(distinct doc_id) >= 20")
+def text_token_index(spark, d):
+    docs = table(spark, d, "documents")
+    return text.token_index(docs, "doc_id", "text", 3).groupBy("token").agg(F.count_distinct("doc_id").alias("docs")).where("docs >= 20")

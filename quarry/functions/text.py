@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Stop words that the index leaves out.
@@ -46,3 +46,8 @@ def display(c: Column, kind: str) -> Column:
     if kind == "binary":
         return F.coalesce(F.concat(F.lit("<"), F.octet_length(c).cast("string"), F.lit(" bytes>")), F.lit("null"))
     return F.coalesce(c.cast("string"), F.lit("null"))
+
+
+def token_index(df: DataFrame, id_col: str, column: str, least_bytes: int = 1, stop_words: list[str] | None = None) -> DataFrame:
+    """(token, id): an inverted index of a text property; write it bucketed by token where it is used often."""
+    return df.select(F.explode(F.array_distinct(tokens(F.col(column), least_bytes, stop_words))).alias("token"), id_col)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import graph_algorithms as A
 from quarry.operators import relational as R
+from quarry.operators import services as B
 from quarry.operators import unified as U
 from quarry.operators import vector_search as S
 from quarry.operators.graph import Graph
@@ -22,7 +23,10 @@ NODES = "id long, labels array<string>"
 EDGES = "id long, src long, dst long, type string, directed boolean"
 LINKS = "src_key string, dst_key string, type string, directed boolean"
 EMBEDDINGS = "key string, embedding array<float>, collection string"
-MOST_NAME = 255
+CACHE = "key string, prompt string, response string, embedding array<float>, created_at timestamp, expires_at timestamp, hits long, last_hit timestamp, cost double"
+ARTIFACTS = "id string, content_type string, created_by string, tags array<string>, links array<string>, chunks array<string>, size long"
+CHUNKS = "hash string, data binary, size long"
+MOST_NAME, CHUNK_BYTES, TTL_SECONDS = 255, 1 << 20, 86_400
 
 
 class CatalogError(ValueError):
@@ -40,6 +44,8 @@ class Engine:
         empty = lambda schema: spark.createDataFrame([], schema)
         self.nodes, self.edges, self.links, self.embeddings, self.entities = (empty(x) for x in (NODES, EDGES, LINKS, EMBEDDINGS, "key string"))
         self.checkpoints = Checkpoints(spark, root) if root else None
+        self.graph_constraints: dict[str, tuple] = {}
+        self.cache, self.artifacts, self.chunks = empty(CACHE), empty(ARTIFACTS), empty(CHUNKS)
 
     # catalog
 
@@ -221,7 +227,7 @@ class Engine:
 
     def _node_create(self, label: str, props: dict) -> DataFrame:
         n = self._next(self.nodes)
-        self.nodes = settle(self.nodes.unionByName(self._typed({"id": (n, "bigint"), "labels": ([label], "array<string>")}, props), allowMissingColumns=True), "nodes")
+        self._put_nodes(self._typed({"id": (n, "bigint"), "labels": ([label], "array<string>")}, props))
         return self.spark.createDataFrame([(n,)], "id long")
 
     def _node_get(self, id: Any) -> DataFrame:
@@ -431,3 +437,159 @@ class Engine:
 
     def _checkpoints(self, limit: int | None) -> DataFrame:
         return self._versions().list(limit)
+
+    # graph constraints and batches
+
+    def _violations(self, g: Graph, rule: tuple) -> DataFrame:
+        label, prop, kind, type_ = rule
+        if prop not in g.nodes.columns:
+            return (g.with_label(label) if label else g.nodes) if kind == "exists" else g.nodes.limit(0)
+        return {"unique": lambda: g.violates_unique(prop, label), "exists": lambda: g.violates_exists(prop, label), "type": lambda: g.violates_type(prop, type_, label)}[kind]()
+
+    def _put_nodes(self, rows: DataFrame) -> None:
+        new = settle(self.nodes.unionByName(rows, allowMissingColumns=True), "nodes")
+        for name, rule in self.graph_constraints.items():
+            if not self._violations(Graph(new, self.edges), rule).isEmpty():
+                raise CatalogError(f"graph constraint {name} is violated")
+        self.nodes = new
+
+    def _constraint_create(self, name: str, label: str | None, property: str, kind: str, type_: str | None) -> DataFrame:
+        rule = (label, property, kind, type_)
+        if not self._violations(self.graph, rule).isEmpty():
+            raise CatalogError(f"graph constraint {name} is violated")
+        self.graph_constraints[name] = rule
+        return self._done()
+
+    def _constraint_drop(self, name: str) -> DataFrame:
+        if self.graph_constraints.pop(name, None) is None:
+            raise CatalogError(f"no graph constraint {name}")
+        return self._done()
+
+    def _constraint_list(self) -> DataFrame:
+        return self.spark.createDataFrame([(k, *v) for k, v in self.graph_constraints.items()], "name string, label string, property string, kind string, type string")
+
+    def _batch_nodes(self, rows: list) -> DataFrame:
+        n, made = self._next(self.nodes), None
+        for k, (label, props) in enumerate(rows):
+            one = self._typed({"id": (n + k, "bigint"), "labels": ([label], "array<string>")}, props)
+            made = one if made is None else made.unionByName(one, allowMissingColumns=True)
+        if made is not None:
+            self._put_nodes(made)
+        return self._done(len(rows))
+
+    def _batch_edges(self, rows: list) -> DataFrame:
+        """Edges with a missing end are left out; the count tells how many were added."""
+        n, made = self._next(self.edges), None
+        for k, (a, b, kind, props) in enumerate(rows):
+            one = self._typed({"id": (n + k, "bigint"), "src": (a, "bigint"), "dst": (b, "bigint"), "type": (kind, "string"), "directed": (True, "boolean")}, props)
+            made = one if made is None else made.unionByName(one, allowMissingColumns=True)
+        before = self.edges.count()
+        if made is not None:
+            self.edges = settle(self.graph.add_edges(made).edges, "edges")
+        return self._done(self.edges.count() - before)
+
+    def _batch_delete(self, what: str, ids: list[int]) -> DataFrame:
+        rows = self.spark.createDataFrame([(i,) for i in ids], "id long")
+        before = getattr(self, what).count()
+        g = self.graph.delete_nodes(rows) if what == "nodes" else Graph(self.nodes, self.edges.join(rows, "id", "left_anti"))
+        self.nodes, self.edges = settle(g.nodes, "nodes"), settle(g.edges.select(*self.edges.columns), "edges")
+        return self._done(before - getattr(self, what).count())
+
+    # prompt cache
+
+    def _cache_init(self) -> DataFrame:
+        return self._done()
+
+    def _cache_clear(self) -> DataFrame:
+        n = self.cache.count()
+        self.cache = self.spark.createDataFrame([], CACHE)
+        return self._done(n)
+
+    def _cache_put(self, prompt: str, response: str) -> DataFrame:
+        return self._cache_semantic_put(prompt, response, None)
+
+    def _cache_semantic_put(self, prompt: str, response: str, embedding: list | None) -> DataFrame:
+        now = F.current_timestamp()
+        row = self.spark.createDataFrame([(prompt, prompt, response, embedding)], "key string, prompt string, response string, embedding array<float>")
+        row = row.withColumns({"created_at": now, "hits": F.lit(0).cast("long"), "last_hit": now, "cost": F.lit(0.0)})
+        self.cache = settle(B.cache_put(self.cache, row, TTL_SECONDS, now), "cache")
+        return self._done(1)
+
+    def _cache_get(self, prompt: str) -> DataFrame:
+        found = B.cache_live(self.cache, F.current_timestamp()).where(F.col("prompt") == prompt)
+        hit = (F.col("prompt") == prompt)
+        self.cache = settle(R.update(self.cache, hit, {"hits": F.col("hits") + 1, "last_hit": F.current_timestamp()}), "cache")
+        return found.select("prompt", "response")
+
+    def _cache_semantic_get(self, prompt: str, embedding: list, threshold: float = 0.9) -> DataFrame:
+        return B.cache_get(self.cache, prompt, embedding, F.current_timestamp(), threshold).select("prompt", "response", "score", "layer")
+
+    def _cache_evict(self, n: int) -> DataFrame:
+        before = self.cache.count()
+        self.cache = settle(B.cache_evict(self.cache, n, "hybrid", F.current_timestamp()), "cache")
+        return self._done(before - self.cache.count())
+
+    def _cache_stats(self) -> DataFrame:
+        return self.cache.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
+
+    # blobs
+
+    def _blob_init(self) -> DataFrame:
+        return self._done()
+
+    def _blob_put(self, name: str, data: str, content_type: str | None, tags: list, by: str | None, link: str | None) -> DataFrame:
+        self.put_blob(name, data.encode(), content_type, tags, by, [link] if link else [])
+        return self._done(1)
+
+    def put_blob(self, name: str, data: bytes, content_type: str | None = None, tags: list | None = None, by: str | None = None, links: list | None = None) -> None:
+        """Store bytes under a name, in chunks addressed by content; a chunk that is there isn't stored again."""
+        file = self.spark.createDataFrame([(name, bytearray(data))], "id string, content binary")
+        parts = settle(B.chunked(file, CHUNK_BYTES), "parts")
+        hashes = [r["hash"] for r in parts.orderBy("seq").select("hash").collect()]
+        new = parts.select("hash", "data", "size").dropDuplicates(["hash"]).join(self.chunks, "hash", "left_anti")
+        self.chunks = settle(self.chunks.unionByName(new), "chunks")
+        row = self.spark.createDataFrame([(name, content_type, by, tags or [], links or [], hashes, len(data))], ARTIFACTS)
+        self.artifacts = settle(self.artifacts.where(F.col("id") != name).unionByName(row), "artifacts")
+
+    def _blob_get(self, name: str) -> DataFrame:
+        parts = self.artifacts.where(F.col("id") == name).select("id", F.posexplode("chunks").alias("seq", "hash")).join(self.chunks, "hash")
+        return parts.select("id", "seq", "data").orderBy("seq")
+
+    def _blob_info(self, name: str) -> DataFrame:
+        return self.artifacts.where(F.col("id") == name)
+
+    def _blob_delete(self, name: str) -> DataFrame:
+        before = self.artifacts.count()
+        self.artifacts = settle(self.artifacts.where(F.col("id") != name), "artifacts")
+        return self._done(before - self.artifacts.count())
+
+    def _blob_mark(self, verb: str, name: str, value: str) -> DataFrame:
+        column = "links" if "link" in verb else "tags"
+        new = F.array_remove(column, value) if verb.startswith("un") else F.array_union(column, F.array(F.lit(value)))
+        self.artifacts = settle(R.update(self.artifacts, F.col("id") == name, {column: new}), "artifacts")
+        return self._done(1)
+
+    def _blob_verify(self, name: str) -> DataFrame:
+        parts = self.artifacts.where(F.col("id") == name).select(F.explode("chunks").alias("hash")).join(self.chunks, "hash", "left")
+        whole = F.coalesce(F.concat(F.lit("sha256:"), F.sha2("data", 256)) == F.col("hash"), F.lit(False))
+        return parts.agg(F.count(F.lit(1)).alias("chunks"), F.count(F.when(~whole, 1)).alias("damaged"))
+
+    def _blob_gc(self) -> DataFrame:
+        before = self.chunks.count()
+        self.chunks = settle(B.collect_garbage(self.artifacts, self.chunks), "chunks")
+        return self._done(before - self.chunks.count())
+
+    def _blob_repair(self) -> DataFrame:
+        """Chunk references that are missing or damaged."""
+        used = self.artifacts.select("id", F.explode("chunks").alias("hash"))
+        bad = B.damaged_chunks(self.chunks).select("hash")
+        return used.join(self.chunks.select("hash").join(bad, "hash", "left_anti"), "hash", "left_anti")
+
+    def _blob_stats(self) -> DataFrame:
+        used = self.artifacts.select("id", F.explode("chunks").alias("hash")).join(self.chunks.select("hash", "size"), "hash")
+        return B.blob_stats(used)
+
+    def _blobs(self, by: str, value: str) -> DataFrame:
+        pick = {"link": B.linked_to, "tag": B.by_tag, "type": B.by_type}.get(by)
+        found = pick(self.artifacts, value) if pick else B.by_glob(self.artifacts, "id", value)
+        return found.select("id", "content_type", "size").orderBy("id")

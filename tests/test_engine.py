@@ -89,6 +89,48 @@ def test_graph_and_vectors(engine):
     assert rows(engine.execute("COUNT EMBEDDINGS")) == [(2,)]
 
 
+def test_graph_constraints_and_batches(engine):
+    engine.execute("BATCH CREATE NODES [person { name: 'A', age: 1 }, person { name: 'B' }, team { name: 'T' }]")
+    assert rows(engine.execute("BATCH CREATE EDGES [1 -> 2 : knows, 2 -> 3 : member { weight: 2.0 }, 2 -> 77 : lost]")) == [(2,)]
+    engine.execute("CONSTRAINT CREATE one ON PROPERTY name UNIQUE")
+    with pytest.raises(CatalogError):
+        engine.execute("NODE CREATE person { name: 'A' }")
+    with pytest.raises(CatalogError):
+        engine.execute("CONSTRAINT CREATE two ON PROPERTY age EXISTS")
+    assert engine.execute("CONSTRAINT LIST").count() == 1
+    engine.execute("CONSTRAINT DROP one")
+    engine.execute("NODE CREATE person { name: 'A' }")
+    assert rows(engine.execute("BATCH DELETE NODES [1, 2]")) == [(2,)]
+    assert engine.execute("EDGE LIST").count() == 0
+
+
+def test_cache_statements(engine):
+    engine.execute("CACHE PUT 'hello' 'world'")
+    engine.execute("CACHE SEMANTIC PUT 'hi' 'there' [1, 0]")
+    assert rows(engine.execute("CACHE GET 'hello'")) == [("hello", "world")]
+    found = engine.execute("CACHE SEMANTIC GET 'greetings' [0.9, 0.1] THRESHOLD 0.8").first()
+    assert (found["response"], found["layer"]) == ("there", "semantic")
+    assert rows(engine.execute("CACHE STATS")) == [(2, 1)]
+    assert rows(engine.execute("CACHE EVICT 1")) == [(1,)]
+    assert engine.execute("CACHE CLEAR").first()[0] == 1
+
+
+def test_blob_statements(engine):
+    engine.execute("BLOB PUT notes 'some text' TYPE 'text/plain' TAG draft BY ann LINK user:1")
+    engine.execute("BLOB PUT copy 'some text'")
+    assert bytes(engine.execute("BLOB GET notes").first()["data"]) == b"some text"
+    assert engine.execute("BLOB STATS").first()["stored_chunks"] == 1
+    assert [r["id"] for r in engine.execute("BLOBS FOR user:1").collect()] == ["notes"]
+    engine.execute("BLOB TAG copy draft")
+    assert [r["id"] for r in engine.execute("BLOBS BY TAG draft").collect()] == ["copy", "notes"]
+    assert [r["id"] for r in engine.execute("BLOBS 'no*'").collect()] == ["notes"]
+    assert rows(engine.execute("BLOB VERIFY notes")) == [(1, 0)]
+    engine.execute("BLOB DELETE notes")
+    assert rows(engine.execute("BLOB GC")) == [(0,)]
+    engine.execute("BLOB DELETE copy")
+    assert rows(engine.execute("BLOB GC")) == [(1,)]
+
+
 def test_deltas(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "key long, v string")
     new = spark.createDataFrame([(1, "a"), (2, "B"), (4, "d")], "key long, v string")
