@@ -10,6 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +21,15 @@ FOLDS, SMOOTH = 10, 0.1
 #: The end of a text; no word holds a space.
 END = b" end"
 #: Most frequent tokens whose counts every worker holds (about 30 MB); counts of all others are joined.
-HEAD = 200_000
+HEAD, HEAD_STEPS = 200_000, 8
 #: Units for words outside the model's vocabulary, by the word's beginning and closing mark.
 BUCKETS = 128
 #: Documents and characters of the first training on the driver, in hash order of their ids.
 SEED_DOCS, SEED_CHARS = 1500, 20_000
 #: One training document in this many takes part in the distributed round, by a hash of its id; 1 takes all.
-ROUND_PART, ROUND_RATE = 16, 0.003
+ROUND_PART, ROUND_RATE = 32, 0.003
 #: Tokens that a task holds before it counts, trains or scores them, and words it counts at once.
-MOST_TOKENS, MOST_WORDS = 1_000_000, 500_000
+MOST_TOKENS, MOST_WORDS = 500_000, 500_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -47,17 +48,20 @@ def bucket(word: bytes) -> int:
 def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """token, c: counts of all tokens of all rows; tasks add up before the shuffle."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table(own: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], ["token", "c"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Counter = Counter()
         for batch in batches:
-            for t in batch["text"]:
-                own.update(tokens(t))
+            for t in batch.column(0):
+                own.update(tokens(t.as_py()))
                 if len(own) > MOST_WORDS:
-                    yield pd.DataFrame({"token": list(own.keys()), "c": list(own.values())})
+                    yield table(own)
                     own.clear()
-        yield pd.DataFrame({"token": list(own.keys()), "c": list(own.values())})
+        yield table(own)
 
-    found = docs.select(text_or_empty(text).alias("text")).mapInPandas(run, "token binary, c long")
+    found = docs.select(text_or_empty(text).alias("text")).mapInArrow(run, "token binary, c long")
     return found.groupBy("token").agg(F.sum("c").alias("c"))
 
 
@@ -81,8 +85,19 @@ def lexicon(counts: DataFrame) -> Lexicon:
     """Totals over all counts; the HEAD most frequent tokens and the buckets' masses come to the driver, nothing else."""
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
     n, v = n or 0, v or 0
-    head = counts.orderBy(F.col("c").desc(), "token").limit(HEAD).toPandas()
-    words, c = [bytes(w) for w in head["token"]], head["c"].to_numpy(np.int64)
+    # the least count that at most HEAD tokens reach, from a histogram of under 600 steps: no sort, and no task sends more
+    step = F.floor(F.log2("c") * HEAD_STEPS).cast("int")
+    histogram = dict(map(tuple, counts.groupBy(step.alias("s")).count().collect()))
+    least, room = 1 << 30, HEAD
+    for s in sorted(histogram, reverse=True):
+        room -= histogram[s]
+        if room < 0:
+            break
+        least = s
+    head = counts.where(step >= least).toArrow()
+    words, c = [bytes(w) for w in head.column("token").to_pylist()], head.column("c").to_numpy().astype(np.int64)
+    by_count = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
+    words, c = [words[i] for i in by_count], c[by_count]
     room = gru.UNITS - BUCKETS - 1
     vocabulary = [w for w in words[: room + 1] if w != END][:room]
     known = frozenset(vocabulary) | {END}
@@ -119,7 +134,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
 def _units(lex: Lexicon, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, Counter]:
     """(units, head indices, counts of the words outside the head) of a document."""
     get = lex.index.get
-    index = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+    index = np.array([get(w, -1) for w in words], np.int64)
     unit = lex.unit[index] if len(lex.unit) else np.zeros(len(words), np.int32)
     far = np.nonzero(index < 0)[0]
     for i in far:
@@ -176,23 +191,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     lex = lexicon(counts)
     weights = tuple(fit(learn, lex, "_id"))
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    mass = [float(x) for x in lex.bucket_log]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params = gru.Params(*weights)
 
-        def done(held: list) -> pd.DataFrame:
+        def done(held: list) -> pa.RecordBatch:
             ll = gru.log_likelihoods(params, [x[2] for x in held], lex.end) / math.log(10)
-            out = pd.DataFrame({"_id": [x[0] for x in held], "held_out": [x[1] for x in held]})
-            out["n_tokens"] = [len(x[2]) for x in held]
-            out["known"] = [len(x[3]) for x in held]
-            out["base"] = [float(lex.base[x[3]].sum()) for x in held]
-            out["model"] = [float(s + lex.rest[x[3]].sum()) for s, x in zip(ll, held, strict=True)]
-            out["far"] = [[{"token": w, "k": k, "mass": 0.0 if w == END else float(lex.bucket_log[bucket(w)])} for w, k in x[4].items()] for x in held]
-            return out
+            base = [float(lex.base[x[3]].sum()) for x in held]
+            model = [float(s + lex.rest[x[3]].sum()) for s, x in zip(ll, held, strict=True)]
+            far = [w for x in held for w in x[4]]
+            entry = [pa.array(far, pa.binary()), pa.array([k for x in held for k in x[4].values()], pa.int64()), pa.array([0.0 if w == END else mass[bucket(w)] for w in far], pa.float64())]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[4]) for x in held])]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(entry, ["token", "k", "mass"]))
+            sizes = [pa.array([len(x[k]) for x in held], pa.int64()) for k in (2, 3)]
+            columns = [pa.array([x[0] for x in held], pa.string()), pa.array([x[1] for x in held], pa.bool_()), *sizes, pa.array(base, pa.float64()), pa.array(model, pa.float64()), lists]
+            return pa.RecordBatch.from_arrays(columns, ["_id", "held_out", "n_tokens", "known", "base", "model", "far"])
 
         held, n = [], 0
         for batch in batches:
-            for key, flag, t in zip(batch["_id"], batch["held_out"], batch["text"], strict=True):
-                held.append((key, flag, *_units(lex, tokens(t))))
+            for key, flag, t in zip(*(batch.column(k) for k in range(3)), strict=True):
+                held.append((key.as_py(), flag.as_py(), *_units(lex, tokens(t.as_py()))))
                 n += len(held[-1][2])
                 if n > MOST_TOKENS:
                     yield done(held)
@@ -201,7 +220,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             yield done(held)
 
     schema = "_id string, held_out boolean, n_tokens long, known long, base double, model double, far array<struct<token:binary,k:long,mass:double>>"
-    scored = narrow.mapInPandas(run, schema).withColumn("_row", F.monotonically_increasing_id())
+    scored = narrow.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
     scored = materialize(scored, "scored")
     far = scored.select("_row", F.explode("far").alias("f")).select("_row", "f.token", "f.k", "f.mass")
     joined = far.join(counts, "token", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
