@@ -1,13 +1,12 @@
-"""Helpers shared by the training-data operators: shared-folder tables, skew-safe lookups, distributed prefix sums."""
+"""Helpers shared by the training-data operators: skew-safe lookups, distributed prefix sums, bitmaps; materialize is quarry.shared.settle."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.shared import settle as materialize  # noqa: F401
+
 #: The six ASCII white-space characters that separate words, as a regular-expression class body.
 WS = r"\x20\x09-\x0D"
 WORD = f"[^{WS}]+"
@@ -16,26 +15,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEAVY = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a plain local session may lack it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quarry-"))
-    return spark.conf.get("spark.checkpoint.dir")
-
-
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)
