@@ -16,6 +16,7 @@ from quarry.operators import unified as U
 from quarry.operators import vector_search as S
 from quarry.operators.graph import Graph
 from quarry.plans.parser import Statement, parse, split_script
+from quarry.session import ship
 from quarry.shared import settle
 from quarry.sources.store import Checkpoints
 
@@ -37,6 +38,7 @@ class Engine:
     """Tables, constraints, graph and embeddings of one session; every change is a new version written once."""
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
+        ship(spark)
         self.spark = spark
         self.tables: dict[str, DataFrame] = {}
         self.constraints: dict[str, list[tuple]] = {}
