@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import gru
-from quarry.llm.common import id_as_text, id_back, materialize, text_or_empty
+from quarry.llm.common import hash60, id_as_text, id_back, materialize, text_or_empty
 
 FOLDS, SMOOTH = 10, 0.1
 #: The end of a text; no word holds a space.
@@ -24,7 +24,7 @@ END = b" end"
 HEAD, HEAD_STEPS = 200_000, 8
 #: Units for words outside the model's vocabulary, by the word's beginning and closing mark.
 BUCKETS = 128
-#: Documents and characters of the first training on the driver, in hash order of their ids.
+#: Documents (about, and twice as many at most) and characters of each in the first training on the driver, picked by a hash of their ids.
 SEED_DOCS, SEED_CHARS = 1500, 20_000
 #: One training document in this many takes part in the distributed round, by a hash of its id; 1 takes all.
 ROUND_PART, ROUND_RATE = 32, 0.003
@@ -148,8 +148,11 @@ def fit(train_docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text: str =
     The round's tasks train on their own documents from the common start; their weights are added
     up on the executors, so what is gathered grows with the number of tasks, not the driver's share.
     """
-    h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    seeds = train_docs.orderBy(h, id_col).select(h.alias("_h"), F.substring(text_or_empty(text), 1, SEED_CHARS).alias("text")).limit(SEED_DOCS).toPandas()
+    # a bound on the hash instead of a sort: no task sends more than its part of the sample
+    n_docs = int(lex.counts[lex.end])
+    h = hash60(F.col(id_col))
+    chosen = train_docs.where(h < int(2**60 * min(1.0, SEED_DOCS / max(1, n_docs)))) if n_docs > SEED_DOCS else train_docs
+    seeds = chosen.select(h.alias("_h"), F.substring(text_or_empty(text), 1, SEED_CHARS).alias("text")).limit(2 * SEED_DOCS).toPandas()
     docs = [_units(lex, tokens(t))[0] for t in seeds.sort_values(["_h", "text"])["text"]]
     first, _ = gru.train(gru.start(lex.counts), docs, lex.end)
     start = gru.flat(first)
