@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from quarry.llm.common import materialize
 from quarry.llm.queries import tokenizer_path
+from quarry.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on labelled rows of docs, doesn't predict toxic."""
+    ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.train(docs, labels))
 
@@ -22,6 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of linked fingerprints."""
+    ship(spark)
     return simhash.one_of_each(docs)
 
 
@@ -32,6 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of the mix."""
+    ship(spark)
     return bpe.digests(docs, tokenizer_path())
 
 
