@@ -12,13 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_as_text, id_back, text_or_empty
+from quarry.llm.common import hash60, id_as_text, id_back, text_or_empty
 
 FOLDS = 5
 #: Bounds of what the classifier is fitted on: labelled rows of each class, in the order of a hash of their id, and bytes of a row.
 MOST_ROWS, MOST_BYTES = {1: 2500, 0: 5000}, 65_536
-#: Bytes of a window, of the ordinary dictionary, of the lead that every window is compressed behind; toxic segments.
-WINDOW, ORDINARY_BYTES, LEAD, SEGMENTS = 64, 1024, 128, 16
+#: Bytes of a window, of the ordinary dictionary, of the lead that every window is compressed behind.
+WINDOW, ORDINARY_BYTES, LEAD = 64, 1024, 128
+#: Most toxic segments; a segment's least value as a part of the best one's, and least ratio of its shares of toxic and ordinary texts.
+SEGMENTS, LEAST_VALUE, LEAST_RATIO = 48, 0.15, 4.0
 LEVEL, LEAST_MATCH = 6, 4
 _LONGEST, _LEAST_SEEN = 12, 5
 
@@ -106,18 +108,30 @@ def _pieces(text: str) -> Counter:
 
 
 def toxic_segments(texts: list[str], labels: list[int]) -> list[bytes]:
-    """Pieces of toxic text that ordinary text lacks, by surplus in texts and in occurrences; none begins another."""
+    """Pieces of toxic text that ordinary text lacks, by surplus in texts and in occurrences; none begins another. Equal texts count once."""
+    pairs = list(dict.fromkeys(zip(texts, labels, strict=True)))
+    seen: Counter = Counter()
+    for t, y in pairs:
+        if y:
+            seen.update(_pieces(t).keys())
+    seldom = max(1, min(_LEAST_SEEN, sum(y for _, y in pairs) // 10))
+    wanted = {p for p, c in seen.items() if c >= seldom}
+    del seen
     docs, hits, n_docs, n_hits = ({0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}, Counter(), Counter())
-    for t, y in zip(texts, labels, strict=True):
+    for t, y in pairs:
         own = _pieces(t)
-        docs[y].update(own.keys())
-        hits[y].update(own)
         n_docs[y] += 1
         n_hits[y] += sum(own.values())
-    value = {p: math.sqrt(_surplus(docs[1][p], docs[0][p], n_docs[1], n_docs[0]) * _surplus(hits[1][p], hits[0][p], n_hits[1], n_hits[0])) for p, c in docs[1].items() if c >= _LEAST_SEEN}
+        for p in own.keys() & wanted:
+            docs[y][p] += 1
+            hits[y][p] += own[p]
+    value = {p: math.sqrt(_surplus(docs[1][p], docs[0][p], n_docs[1], n_docs[0]) * _surplus(hits[1][p], hits[0][p], n_hits[1], n_hits[0])) for p in docs[1]}
+    often = {p: docs[1][p] * n_docs[0] >= LEAST_RATIO * docs[0][p] * n_docs[1] for p in value}
+    value = {p: v for p, v in value.items() if often[p]}
+    least = LEAST_VALUE * max(value.values(), default=0.0)
     out: list[bytes] = []
     for p in sorted(value, key=lambda p: (round(value[p], 6), len(p), p), reverse=True):
-        if value[p] <= 0 or len(out) == SEGMENTS:
+        if value[p] <= 0 or value[p] < least or len(out) == SEGMENTS:
             break
         if not any(p.startswith(o.rstrip()) or o.startswith(p.rstrip()) for o in out):
             out.append(p)
@@ -172,10 +186,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str
     """Fit on at most MOST_ROWS labelled rows of each class outside the held-out fold, taken in hash order of their ids."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(id_col)))
     known = known.groupBy(id_col).agg(F.max(label).cast("int").alias("_label")).withColumn("_h", F.md5(F.col(id_col).cast("string")))
-    chosen = [known.where(F.col("_label") == y).orderBy("_h", id_col).limit(n) for y, n in MOST_ROWS.items()]
+    sizes = dict(map(tuple, known.groupBy("_label").count().collect()))
+    # a bound on the hash leaves little more than the rows that are taken, so the sort is small
+    near = {y: int(2**60 * min(1.0, (1.2 * n + 100) / max(1, sizes.get(y, 0)))) for y, n in MOST_ROWS.items()}
+    own = [known.where((F.col("_label") == y) & (hash60(F.col(id_col)) <= near[y])) for y in MOST_ROWS]
+    chosen = [rows.orderBy("_h", id_col).limit(n) for rows, n in zip(own, MOST_ROWS.values(), strict=True)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 7,500 rows
     rows = docs.select(id_col, F.substring(text_or_empty(text), 1, MOST_BYTES).alias("_text")).join(ids, id_col)
-    share = known.agg(F.avg("_label")).first()[0]
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     found = rows.toPandas().sort_values(["_h", id_col, "_text"])
     return fit(found["_text"].tolist(), found["_label"].tolist(), share)
 
