@@ -692,3 +692,40 @@ def dis_range_skew(spark, d):
 def text_token_index(spark, d):
     docs = table(spark, d, "documents")
     return text.token_index(docs, "doc_id", "text", 3).groupBy("token").agg(F.count_distinct("doc_id").alias("docs")).where("docs >= 20")
+
+
+@query(f"""with recursive {_E}, s as (select min(src) as s from e),
+r as (select s as id, 0 as depth from s union select u.dst, depth + 1 from r join u on u.src = r.id where depth < 3),
+m as (select id, min(depth) as depth from r group by id), goal as (select min(id) as g from m where depth = 3),
+p as (select s as id, [s] as path, 0 as depth from s union all select u.dst, list_append(path, u.dst), p.depth + 1 from p join u on u.src = p.id join m on m.id = u.dst where m.depth = p.depth + 1 and p.depth < 3)
+select path from p, goal where id = g and depth = 3""")
+def graph_all_shortest_paths(spark, d):
+    g = supplier_graph(spark, d)
+    start = g.edges.agg(F.min("src")).first()[0]
+    goal = g.distances([start], BOTH, 3).where("depth = 3").agg(F.min("id")).first()[0]
+    return g.shortest_paths(start, goal, BOTH)
+
+
+@query(f"with {_E} select s_suppkey as a, list_sort(list(distinct u.dst)) as neighbours from supplier join u on u.src = s_suppkey group by s_suppkey")
+def uni_entity_view(spark, d):
+    g = supplier_graph(spark, d)
+    links = g.edges.select(F.col("src").alias("src_key"), F.col("dst").alias("dst_key"))
+    entities = g.nodes.select(F.col("id").alias("key"))
+    view = unified.entity_view(entities, links, entities.withColumn("embedding", F.array(F.lit(0.0))))
+    return view.where("neighbours is not null").select(F.col("key").alias("a"), "neighbours")
+
+
+_PAIR = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
+
+
+@query(f"""with p as (select a.vec_id as x, b.vec_id as y, {_PAIR} as s from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id),
+m as (select x, arg_max(y, s) as y, max(s) as s from p group by x) select distinct least(x, y) as a, greatest(x, y) as b, round(s, 6) as score from m where s >= 0.3""")
+def svc_nearest_other(spark, d):
+    return rounded(services.nearest_other(table(spark, d, "embeddings"), 0.3, "label", "vec_id"), "score")
+
+
+@query(f"""select case when c >= 0.99 then 'Identical' when c <= -0.95 then 'Opposite' when abs(c) < 0.1 and false then 'Orthogonal' when k and abs(c) >= 0.5 then 'Conflicting' when abs(c) >= 0.3 then 'Ambiguous' else 'LowConflict' end as class, count(*) as n
+from (select {_PAIR} as c, a.vec_id % 5 = b.vec_id % 5 as k from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id) group by 1""")
+def svc_conflict_classes(spark, d):
+    deltas = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.array(F.col("vec_id") % 5).alias("keys"))
+    return services.delta_conflicts(deltas, "label").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
