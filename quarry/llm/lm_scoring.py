@@ -28,8 +28,8 @@ BUCKETS = 128
 SEED_DOCS, SEED_CHARS = 1500, 20_000
 #: One training document in this many takes part in the distributed round, by a hash of its id; 1 takes all.
 ROUND_PART, ROUND_RATE = 32, 0.003
-#: Tokens that a task holds before it counts, trains or scores them, and words it counts at once.
-MOST_TOKENS, MOST_WORDS = 500_000, 500_000
+#: Tokens that a task holds before it trains on or scores them (three times as many of long documents), and words it counts at once.
+MOST_TOKENS, LONG_TOKENS, MOST_WORDS = 500_000, 2048, 500_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -211,16 +211,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             columns = [pa.array([x[0] for x in held], pa.string()), pa.array([x[1] for x in held], pa.bool_()), *sizes, pa.array(base, pa.float64()), pa.array(model, pa.float64()), lists]
             return pa.RecordBatch.from_arrays(columns, ["_id", "held_out", "n_tokens", "known", "base", "model", "far"])
 
-        held, n = [], 0
+        # long documents wait for each other: beside short ones they would walk on in few streams
+        held: dict[bool, list] = {False: [], True: []}
+        n = {False: 0, True: 0}
         for batch in batches:
             for key, flag, t in zip(*(batch.column(k) for k in range(3)), strict=True):
-                held.append((key.as_py(), flag.as_py(), *_units(lex, tokens(t.as_py()))))
-                n += len(held[-1][2])
-                if n > MOST_TOKENS:
-                    yield done(held)
-                    held, n = [], 0
-        if held:
-            yield done(held)
+                row = (key.as_py(), flag.as_py(), *_units(lex, tokens(t.as_py())))
+                long = len(row[2]) > LONG_TOKENS
+                held[long].append(row)
+                n[long] += len(row[2])
+                if n[long] > MOST_TOKENS * (3 if long else 1):
+                    yield done(held[long])
+                    held[long], n[long] = [], 0
+        yield from (done(rows) for rows in held.values() if rows)
 
     schema = "_id string, held_out boolean, n_tokens long, known long, base double, model double, far array<struct<token:binary,k:long,mass:double>>"
     scored = narrow.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
