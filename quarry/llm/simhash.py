@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,13 +115,13 @@ def fingerprint(text: str) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id and fp (the fingerprint as a signed long) for every row of docs."""
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"_id": batch["_id"], "fp": fp.view(np.int64)})
+            fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["_id", "fp"])
 
     narrow = docs.select(id_as_text(id_col), text_or_empty(text).alias("text"))
-    return id_back(narrow.mapInPandas(run, "_id string, fp long"), docs, id_col)
+    return id_back(narrow.mapInArrow(run, "_id string, fp long"), docs, id_col)
 
 
 def _keyed(fps: DataFrame) -> DataFrame:
