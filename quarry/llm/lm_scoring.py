@@ -26,8 +26,8 @@ HEAD, HEAD_STEPS = 200_000, 8
 BUCKETS = 128
 #: Documents (about, and twice as many at most) and characters of each in the first training on the driver, picked by a hash of their ids.
 SEED_DOCS, SEED_CHARS = 1500, 20_000
-#: One training document in this many takes part in the distributed round, by a hash of its id; 1 takes all.
-ROUND_PART, ROUND_RATE = 32, 0.003
+#: Rate of the distributed round, in which all training documents take part.
+ROUND_RATE = 0.003
 #: Tokens that a task holds before it trains on or scores them (three times as many of long documents), and words it counts at once.
 MOST_TOKENS, LONG_TOKENS, MOST_WORDS = 500_000, 2048, 500_000
 
@@ -143,9 +143,9 @@ def _units(lex: Lexicon, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, Co
 
 
 def fit(train_docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text: str = "text") -> gru.Params:
-    """Weights from a first training on a bounded sample, then one round of training in every task, averaged by tokens.
+    """Weights from a first training on a bounded sample, then one round of training over all documents, averaged by tokens.
 
-    The round's tasks train on their own documents from the common start; their weights are added
+    The round's tasks train on all of their own documents from the common start; their weights are added
     up on the executors, so what is gathered grows with the number of tasks, not the driver's share.
     """
     # a bound on the hash instead of a sort: no task sends more than its part of the sample
@@ -171,8 +171,7 @@ def fit(train_docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text: str =
         if total:
             yield pd.DataFrame({"i": np.arange(len(start), dtype=np.int32), "w": gru.flat(params).astype(np.float64) * total, "n": np.full(len(start), total)})
 
-    part = train_docs.where(F.pmod(F.xxhash64(id_col, F.lit("round")), F.lit(ROUND_PART)) == 0)
-    tuned = part.select(text_or_empty(text).alias("text")).mapInPandas(run, "i int, w double, n long")
+    tuned = train_docs.select(text_or_empty(text).alias("text")).mapInPandas(run, "i int, w double, n long")
     mean = tuned.groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
     out = start.astype(np.float64)
     out[mean["i"]] = mean["w"]

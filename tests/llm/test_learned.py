@@ -151,6 +151,16 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     assert p.score.sum() / p.n_tokens.sum() > p.base_score.sum() / p.n_tokens.sum() + 0.2
 
 
+def test_every_training_document_takes_part_in_the_round(spark, monkeypatch):
+    rows = [(str(i), f"alpha beta{i % 7} gamma delta{i % 5} " * 20) for i in range(40)]
+    frame = lambda data: spark.createDataFrame(data, "doc_id string, text string").coalesce(1)
+    lex = lm_scoring.lexicon(lm_scoring.count_tokens(frame(rows)))
+    monkeypatch.setattr(gru, "train", lambda p, docs, end, *_: (p, 0))
+    whole = gru.flat(lm_scoring.fit(frame(rows), lex))
+    for k in (0, 13, 39):
+        assert not np.array_equal(whole, gru.flat(lm_scoring.fit(frame(rows[:k] + rows[k + 1 :]), lex)))
+
+
 def test_scoring_of_nothing(empty_docs):
     assert lm_scoring.score(empty_docs).count() == 0
 
