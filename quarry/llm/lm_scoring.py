@@ -24,8 +24,8 @@ END = b" end"
 HEAD, HEAD_STEPS = 200_000, 8
 #: Units for words outside the model's vocabulary, by the word's beginning and closing mark.
 BUCKETS = 128
-#: Documents (about, and twice as many at most) and characters of each in the first training on the driver, picked by a hash of their ids.
-SEED_DOCS, SEED_CHARS = 1500, 20_000
+#: Documents (about, and twice as many at most) of the driver's training that only initialises the round, picked by a hash of their ids.
+SEED_DOCS = 1500
 #: Rate of the distributed round, in which all training documents take part.
 ROUND_RATE = 0.003
 #: Tokens that a task holds before it trains on or scores them (three times as many of long documents), and words it counts at once.
@@ -143,7 +143,7 @@ def _units(lex: Lexicon, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, Co
 
 
 def fit(train_docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text: str = "text") -> gru.Params:
-    """Weights from a first training on a bounded sample, then one round of training over all documents, averaged by tokens.
+    """Weights that start from a training on whole texts of a bounded sample, then one round of training over all documents, averaged by tokens.
 
     The round's tasks train on all of their own documents from the common start; their weights are added
     up on the executors, so what is gathered grows with the number of tasks, not the driver's share.
@@ -152,8 +152,16 @@ def fit(train_docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text: str =
     n_docs = int(lex.counts[lex.end])
     h = hash60(F.col(id_col))
     chosen = train_docs.where(h < int(2**60 * min(1.0, SEED_DOCS / max(1, n_docs)))) if n_docs > SEED_DOCS else train_docs
-    seeds = chosen.select(h.alias("_h"), F.substring(text_or_empty(text), 1, SEED_CHARS).alias("text")).limit(2 * SEED_DOCS).toPandas()
-    docs = [_units(lex, tokens(t))[0] for t in seeds.sort_values(["_h", "text"])["text"]]
+    body = text_or_empty(text)
+    seeds = chosen.select(h.alias("_h"), F.xxhash64(body).alias("_x"), body.alias("text")).limit(2 * SEED_DOCS)
+
+    def in_units(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"h": batch["_h"], "x": batch["_x"], "u": [_units(lex, tokens(t))[0] for t in batch["text"]]})
+
+    # whole texts, as units: four bytes a word in the driver
+    found = seeds.mapInPandas(in_units, "h long, x long, u array<int>").toPandas()
+    docs = [np.asarray(u, np.int32) for u in found.sort_values(["h", "x"])["u"]]
     first, _ = gru.train(gru.start(lex.counts), docs, lex.end)
     start = gru.flat(first)
 

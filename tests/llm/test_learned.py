@@ -161,6 +161,15 @@ def test_every_training_document_takes_part_in_the_round(spark, monkeypatch):
         assert not np.array_equal(whole, gru.flat(lm_scoring.fit(frame(rows[:k] + rows[k + 1 :]), lex)))
 
 
+def test_first_training_reads_whole_texts(spark, monkeypatch):
+    df = spark.createDataFrame([("1", "head " * 9000 + "tail " * 3000), ("2", "head tail")], "doc_id string, text string")
+    lex = lm_scoring.lexicon(lm_scoring.count_tokens(df))
+    seen = []
+    monkeypatch.setattr(gru, "train", lambda p, docs, end, *_: (seen.extend(docs), (p, 0))[1])
+    lm_scoring.fit(df, lex)
+    assert sorted(len(d) for d in seen) == [3, 12_001]
+
+
 def test_scoring_of_nothing(empty_docs):
     assert lm_scoring.score(empty_docs).count() == 0
 
