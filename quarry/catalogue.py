@@ -364,12 +364,12 @@ def graph_harmonic_within_3(spark, d):
 
 @query()
 def graph_closeness(spark, d):
-    return A.closeness(supplier_graph(spark, d), sample=50)
+    return A.closeness(supplier_graph(spark, d))
 
 
 @query()
 def graph_betweenness(spark, d):
-    return A.betweenness(supplier_graph(spark, d), sample=25)
+    return A.betweenness(supplier_graph(spark, d))
 
 
 @query()

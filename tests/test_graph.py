@@ -107,3 +107,13 @@ def test_communities_stay_within_components(g):
 def test_neighbour_similarity(g):
     scores = {(a, b): s for a, b, s in rows(A.neighbour_similarity(g, "common"))}
     assert scores[1, 2] == 1 and (1, 6) not in scores
+
+
+def test_registered_centralities_take_all_sources(spark):
+    from quarry import catalogue as Q
+
+    d = "/root/testdata/sf0.01"
+    g = Q.supplier_graph(spark, d)
+    closeness, between = dict(rows(Q.QUERIES["graph_closeness"](spark, d))), dict(rows(Q.QUERIES["graph_betweenness"](spark, d)))
+    assert set(closeness) == set(between) == {r["id"] for r in g.nodes.select("id").collect()}
+    assert between == pytest.approx(dict(rows(A.betweenness(g))))
