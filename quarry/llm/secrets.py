@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import text_or_empty
 
-#: A candidate: a run of at least 12 characters of the alphabets of keys and digests with a letter and a digit in it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,200}[0-9])(?=[0-9+/_\-]{0,200}[A-Za-z])[A-Za-z0-9+/_\-]{12,}(?:\.[A-Za-z0-9_\-]{8,}){0,2}={0,2}"
 LEFT, RIGHT = 48, 24
 TREES, DEPTH, SEED = 30, 6, 7
 
@@ -22,6 +20,15 @@ TREES, DEPTH, SEED = 30, 6, 7
 SECRET_WORDS = ["password", "passwd", "pwd", "passphrase", "secret", "token", "api[_-]?key", "apikey", "access[_-]?key", "auth", "bearer", "credential", "private[_-]?key"]
 HARMLESS_WORDS = ["uuid", "guid", "sha1", "sha256", "md5", "commit", "checksum", "digest", "etag", "hash", "revision", "version", "isbn", "build", "serial", "order", "invoice", "example", "sample", "file", "image", "path"]
 PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk_live_", "rk_live_", "xox[abp]-", "AIza", "eyJ", "glpat-", "npm_", "SG\\."]
+#: A run of at least 12 characters of the alphabets of keys and digests with a letter and a digit in it, or a key in three parts behind SG.
+KEY = r"(?<![A-Za-z0-9+/_\-])(?:SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|(?=[A-Za-z+/_\-]*+[0-9])(?=[0-9+/_\-]*+[A-Za-z])[A-Za-z0-9+/_\-]{12,}(?:\.[A-Za-z0-9_\-]{8,}){0,2}={0,2})"
+#: What is assigned to a secret word: any run of at least 4 characters without space or quote, up to closing punctuation or the next assignment behind & , or ;
+ASSIGNED = (
+    r"(?<=[=:>\s\"'])(?=[^\s\"']{4})(?<=(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,3}(?:=>|:=|==?|:|\bis\b)\s{0,3}[\"']?)"
+    r"[^\s\"'&,;]*(?:[&,;](?![\w\-]{1,40}[=:])[^\s\"'&,;]*){0,8}(?<![\s\"'.,;)\]}])"
+)
+#: A candidate; the assigned value comes first, as it may go on where a key's alphabet ends.
+CANDIDATE = f"{ASSIGNED}|{KEY}"
 DICTIONARY = (
     "about access account after again admin also and any archive are asset back base been before build button but cache can change check class client cluster code common component config content "
     "control could count data date default demo did document does down each error even event example file final find first folder for from function get give good group handle has have header help her "
@@ -34,7 +41,7 @@ DICTIONARY = (
 #: The most frequent letter pairs of running text.
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce".split()
 
-FEATURES = ["n", "transitions", "pairs", "distinct", "digits", "upper", "lower", "symbols", "hex", "coverage", "prefixed", "in_path", "extension", "secret_word", "assigned", "harmless_word", "quoted", "neighbours", "dashes"]
+FEATURES = ["n", "transitions", "pairs", "distinct", "digits", "upper", "lower", "symbols", "hex", "coverage", "prefixed", "in_path", "extension", "secret_word", "assigned", "harmless_word", "quoted", "neighbours", "dashes", "placeholder", "assigned_mixed", "assigned_parts"]
 
 
 def _share(c: Column, pattern: str) -> Column:
@@ -46,6 +53,8 @@ def features(candidates: DataFrame) -> DataFrame:
     c, left, right = (F.coalesce(F.col(x), F.lit("")) for x in ("candidate", "left", "right"))
     low, n = F.lower(c), F.greatest(F.length(c), F.lit(1))
     words = f"(?i)({'|'.join(SECRET_WORDS)})"
+    assigned = left.rlike(f"{words}[\"']?\\s*(?:[:=]|=>|:=|is)\\s*[\"']?$")
+    placeholder = c.rlike(r"(?i)^(?:your|example|changeme|placeholder|self\.|[<$*{%(])")
     covered = F.regexp_replace(low, "|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=len, reverse=True)), "")
     made = {
         "n": F.length(c),
@@ -59,11 +68,14 @@ def features(candidates: DataFrame) -> DataFrame:
         "in_path": left.rlike(r"(?:://\S*|[/\\.@])$") | right.rlike(r"^[/\\@]") | c.rlike("^/|/.*/"),
         "extension": right.rlike(r"^\.[A-Za-z]{2,4}\b"),
         "secret_word": left.rlike(words),
-        "assigned": left.rlike(f"{words}[\"']?\\s*(?:[:=]|=>|:=|is)\\s*[\"']?$"),
+        "assigned": assigned,
         "harmless_word": left.rlike(f"(?i)\\b({'|'.join(HARMLESS_WORDS)})\\b"),
         "quoted": left.rlike("[\"']$") & right.rlike("^[\"']"),
         "neighbours": F.regexp_count(left, F.lit(r"\b[A-Za-z]{2,}\b")) + F.regexp_count(right, F.lit(r"\b[A-Za-z]{2,}\b")),
         "dashes": c.rlike("^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"),
+        "placeholder": placeholder,
+        "assigned_mixed": assigned & ~placeholder & c.rlike("[A-Za-z]") & c.rlike("[^A-Za-z._-]"),
+        "assigned_parts": F.when(assigned & ~placeholder, F.regexp_count(c, F.lit("[A-Za-z][-._]+(?=[A-Za-z])"))).otherwise(0),
     }
     return candidates.withColumns({k: made[k].cast("double") for k in FEATURES})
 
@@ -116,9 +128,23 @@ def labelled_findings(spark: SparkSession, n: int = 1500, seed: int = 11) -> Dat
         key = r.choice(["password", "passwd", "token", "secret", "api_key", "access_key", "auth", "pwd", "client_secret"])
         q = r.choice(["", "", '"', "'"])
         join = r.choice(["=", " = ", ": ", ":", " is "])
-        kind = r.randrange(6)
+        kind = r.randrange(11)
+        if kind > 5:
+            key = r.choice(["password", "passwd", "pwd", "passphrase", "secret"])
+        if kind == 6:
+            return pick(string.ascii_lowercase, r.randint(3, 8)) + pick(string.digits, r.randint(1, 4)) + pick(string.ascii_lowercase, r.randint(0, 3)), f"{prose(4)} {key}{join}{q}", q + " " + prose(2)
+        if kind == 7:
+            w = list(word().capitalize() + word())
+            for i in range(len(w)):
+                if r.random() < 0.3:
+                    w[i] = {"a": "@", "o": "0", "e": "3", "s": "$", "i": "1"}.get(w[i], w[i])
+            return "".join(w) + pick("!#$%*?@+", r.randint(1, 2)) + pick(string.digits, r.randint(1, 4)) + r.choice(["", "", "!"]), f"{prose(4)} {key}{join}{q}", q + " " + prose(2)
+        if kind >= 8:
+            return r.choice("-._").join(word() for _ in range(r.randint(4, 6))), f"{prose(4)} {key}{join}{q}", q + " " + prose(2)
         if kind == 0:
             return "AKIA" + pick(upper, 16), prose(4) + " ", " " + prose(2)
+        if kind == 1 and r.random() < 0.2:
+            return f"SG.{pick(alnum, 22)}.{pick(alnum, 43)}", prose(4) + r.choice([" ", ' "', " key "]), " " + prose(2)
         if kind == 1:
             return r.choice(["ghp_", "sk_live_", "glpat-", "npm_", "AIza"]) + pick(alnum, r.choice([24, 36])), prose(4) + r.choice([" ", ' "', " key: "]), " " + prose(2)
         if kind == 2:
@@ -127,7 +153,11 @@ def labelled_findings(spark: SparkSession, n: int = 1500, seed: int = 11) -> Dat
         return body, f"{prose(4)} {key}{join}{q}", q + " " + prose(2)
 
     def harmless() -> tuple[str, str, str]:
-        kind = r.randrange(9)
+        kind = r.randrange(11)
+        if kind > 8:
+            q = r.choice(["", "", '"'])
+            plain = r.choice([word, word, lambda: r.choice(["required", "missing", "invalid", "none", "null", "true", "false", "string", "expired", "optional", "****"]), lambda: "self." + word(), lambda: "<your_" + word() + ">", lambda: "${" + word().upper() + "}", lambda: str(r.randint(1000, 9999))])()
+            return plain, prose(3) + r.choice([" password", " token", " secret", " auth", " api_key"]) + r.choice([" is ", " is ", ": ", "=", " = "]) + q, q + " " + prose(2)
         if kind == 0:
             u = pick(hexes, 32)
             return f"{u[:8]}-{u[8:12]}-{u[12:16]}-{u[16:20]}-{u[20:]}", prose(3) + r.choice([" id ", " uuid: ", " "]), " " + prose(2)

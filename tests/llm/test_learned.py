@@ -278,6 +278,19 @@ def test_planted_secrets_are_found_at_their_place(spark, forest, edge_docs, empt
     assert secrets.scan(edge_docs.unionByName(edge_docs), forest).count() == 2 * secrets.scan(edge_docs, forest).count()
 
 
+def test_values_of_secret_words_and_long_runs_are_candidates(spark, forest):
+    values = ["hunter2abc", "Sommer!2024", "P@ssw0rd!99", "correct-horse-battery-staple"]
+    texts = [f"note password={values[0]} here", f'the passwd: "{values[1]}" here', f"our password is {values[2]}.", f"a passphrase={values[3]} there"]
+    values += ["SG." + "aB3dE6gH9jK2" * 2 + "." + "xY4zW7vU1tS8" * 3, "a" * 300 + "1" + "b" * 20]
+    texts += [f"key {v} end" for v in values[4:]]
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), forest).collect()
+    assert {(r["doc_id"], r["candidate"]) for r in found} == set(enumerate(values))
+    assert all(r["is_secret"] for r in found if r["doc_id"] < 5)
+    assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["candidate"] for r in found)
+    plain = spark.createDataFrame([(1, "the password is required here"), (2, "a token: string of text")], "doc_id long, text string")
+    assert not [r for r in secrets.scan(plain, forest).collect() if r["is_secret"]]
+
+
 # the pipeline
 
 
