@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, WS, hash60, materialize, running_sum, text_or_empty
+from quarry.llm.common import WORD, hash60, materialize, running_sum, text_or_empty
 
 #: Weights by rank of the source, repeating; the mix's size as a part of the corpus; most passes over a source.
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
-#: A block has at most BLOCK_WORDS words, and fewer where the mix would have under 2^SLOT_BITS blocks.
-BLOCK_WORDS, SLOT_BITS = 2048, 17
+#: Slots of the schedule. A block has the mix's words / SLOTS, rounded up, so that a source misses its target by the same small part at every size.
+SLOTS = 1 << 17
 GOLDEN = 0.6180339887498949
 #: Cells of [0, 1) by which schedule points meet the sources' intervals.
 CELLS = 4096
 ROWS_PER_BUCKET = 20_000
+#: Tables of at most this many sources or slots (a few MB) are broadcast.
+MOST_BROADCAST = 1 << 18
+_SPACES = " \t\n\x0b\x0c\r"
+
+
+def _along(df: DataFrame, order: list, sums: dict[str, str], rank: str | None = None) -> DataFrame:
+    """df with running sums (name: column) and the rank along order, the row itself included; no window holds the whole table.
+
+    Rows are range-partitioned by order; sums within a part start from the sums of the parts before it.
+    """
+    placed = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "placed")
+    sums = dict(sums) | ({rank: "_one"} if rank else {})
+    placed = placed.withColumn("_one", F.lit(1).cast("long"))
+    parts = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    parts = parts.select("_part", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumns({f"_w_{k}": F.sum(c).over(own) for k, c in sums.items()}).join(F.broadcast(parts), "_part")
+    return out.select(*df.columns, *[(F.col(f"_b_{k}") + F.col(f"_w_{k}")).alias(k) for k in sums])
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
@@ -23,104 +42,115 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int
     Sources rank by code point, null last. In order of cap / weight the sources that reach their
     cap come first, so one pass finds the level at which resharing ends. One row per source.
     """
-    rank = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("source_rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.withColumn("source_rank", F.row_number().over(rank)).withColumn("_w", w).withColumn("_cap", F.col("source_size") * float(passes))
-    by = Window.orderBy(F.col("_cap") / F.col("_w"), "source_rank").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    s = s.withColumns({"_total": F.sum("source_size").over(every) * float(share), "_wsum": F.sum("_w").over(every)})
-    s = s.withColumns({"_cb": F.coalesce(F.sum("_cap").over(by), F.lit(0.0)), "_wb": F.coalesce(F.sum("_w").over(by), F.lit(0.0))})
-    s = s.withColumn("_full", (F.col("_total") - F.col("_cb")) / (F.col("_wsum") - F.col("_wb")) >= F.col("_cap") / F.col("_w"))
-    s = s.withColumns({
-        "_rest": F.col("_total") - F.sum(F.when(F.col("_full"), F.col("_cap")).otherwise(0.0)).over(every),
-        "_open": F.sum(F.when(F.col("_full"), 0.0).otherwise(F.col("_w"))).over(every),
-    })
-    target = F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_w") * F.col("_rest") / F.nullif(F.col("_open"), F.lit(0.0)))
-    return s.select("source", "source_rank", "source_size", target.alias("target"))
-
-
-def schedule(sources: DataFrame, block: int) -> DataFrame:
-    """Slots of the mix in order: slot, source_rank, r (the slot's rank in its source).
-
-    Point k x golden ratio mod 1 falls into a source's interval of cumulative targets; the slots
-    of a source are ranked by k. A source whose points fall short of its target by the schedule's
-    small discrepancy gets the missing slots at the end; surplus ones are dropped.
+    s = _along(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], {}, "source_rank")
+    s = s.withColumn("_w", w).withColumn("_cap", F.col("source_size") * float(passes))
+    s = _along(s, [(F.col("_cap") / F.col("_w")).asc(), F.col("source_rank").asc()], {"_ca": "_cap", "_wa": "_w"})
+    s = materialize(s, "levels")
+    total, w_sum = s.agg(F.sum("source_size") * float(share), F.sum("_w")).first()
+    rest, open_ = F.lit(total or 0.0) - (F.col("_ca") - F.col("_cap")), F.lit(w_sum or 0.0) - (F.col("_wa") - F.col("_w"))
+    s = s.withColumn("_full", rest / open_ >= F.col("_cap") / F.col("_w"))
+    used, w_open = s.agg(F.sum(F.when(F.col("_full"), F.col("_cap")).otherwise(0.0)), F.sum(F.when(F.col("_full"), 0.0).otherwise(F.col("_w")))).first()
+    share_of = F.col("_w") * F.lit((total or 0.0) - (used or 0.0)) / F.nullif(F.lit(w_open or 0.0), F.lit(0.0))
+    target = F.when(F.col("_full"), F.col("_cap")).otherwise(share_of)
+    return s.select("source", "source_rank", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
+
+
+def schedule(sources: DataFrame, n: int) -> DataFrame:
+    """The n slots of the mix in order: slot, source_rank, r (the slot's rank in its source).
+
+    Point k x golden ratio mod 1 falls into one source's interval of cumulative whole targets; a source's slots
+    are ranked by k. So any run of slots holds the sources in their proportions, up to a few slots.
     """
     spark = sources.sparkSession
-    total = sources.agg(F.sum("target")).first()[0] or 0.0
-    n = int(-(-total // block))
-    upto = Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, 0)
-    line = sources.withColumn("_hi", F.sum("target").over(upto) / F.lit(total or 1.0))
-    line = line.withColumn("_lo", F.coalesce(F.lag("_hi").over(Window.orderBy("source_rank")), F.lit(0.0))).where("_hi > _lo")
-    last = F.least(F.floor(F.col("_hi") * CELLS), F.lit(CELLS - 1))
-    line = line.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * CELLS), F.greatest(last, F.floor(F.col("_lo") * CELLS)))))
-    k = spark.range(n).withColumn("_u", F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN)))
-    k = k.withColumn("_cell", F.floor(F.col("_u") * CELLS)).withColumn("_one", F.lit(1).cast("long"))
-    hit = k.join(line.select("_cell", "_lo", "_hi", "source_rank"), "_cell").where("_u >= _lo and _u < _hi")
+    line = _along(sources.select("source_rank", F.round("target").cast("long").alias("_words")), [F.col("source_rank").asc()], {"_hi": "_words"})
+    line = materialize(line.withColumn("_lo", F.col("_hi") - F.col("_words")).where("_words > 0"), "intervals")
+    total = line.agg(F.sum("_words")).first()[0] or 0
+    cell = lambda words: F.least(F.floor(words / F.lit(float(max(1, total))) * CELLS), F.lit(CELLS - 1))
+    line = line.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
+    k = spark.range(n if total else 0).withColumn("_u", F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN)))
+    k = k.withColumn("_at", F.col("_u") * F.lit(float(total))).withColumn("_cell", cell(F.col("_at"))).withColumn("_one", F.lit(1).cast("long"))
+    hit = k.join(line.select("_cell", "_lo", "_hi", "source_rank"), "_cell").where("_at >= _lo and _at < _hi")
     hit = hit.select(F.col("id").alias("slot"), "source_rank", "_one", F.expr(f"id div {ROWS_PER_BUCKET}").alias("_bucket"))
-    ranked = materialize(running_sum(hit, "source_rank", "_bucket", ["slot"], "_one", "r").select("slot", "source_rank", "r"), "slots")
-    need = sources.select("source_rank", F.ceil(F.round("target") / block).alias("_need"))
-    ranked = ranked.join(F.broadcast(need) if sources.count() <= 100_000 else need, "source_rank").where("r < _need").drop("_need")
-    have = ranked.groupBy("source_rank").agg(F.count("*").alias("_have"))
-    short = need.join(have, "source_rank", "left").withColumn("_have", F.coalesce("_have", F.lit(0).cast("long"))).where("_need > _have")
-    settled = short.select("source_rank", F.explode(F.expr("sequence(_have, _need - 1)")).alias("r"))
-    settled = settled.select((F.lit(n) + F.col("r") * F.lit(1_000_003) + F.col("source_rank")).alias("slot"), "source_rank", "r")
-    return ranked.unionByName(settled)
+    return running_sum(hit, "source_rank", "_bucket", ["slot"], "_one", "r").select("slot", "source_rank", "r")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", seed: str = "") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, id_col: str = "doc_id", seed: str = "", block_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix; docs needs id, source and text.
 
-    documents: one row per row of docs with id, source, size, source_size, target, taken. pieces:
-    one row per slot and document that the slot's block overlaps: slot, id, piece_start,
-    piece_words (of the document), in_pass. Each source's documents are laid on a line in hash
-    order, the line is cut into equal-word blocks and run through twice; slot r of a source
-    takes block r. Texts that are null or without words have size 0 and nothing taken; a table
-    without words has all targets 0. Rows that repeat an id are kept apart by their place.
+    documents: one row per row of docs with id, source, size, source_size, target, taken, first_slot, n_pieces. pieces:
+    one row per slot and pass of a document that the slot's block overlaps: slot, id, source, in_pass, piece_start,
+    piece_words (of the document). Each source's documents are laid on a line in hash order, the line is repeated
+    PASSES times and cut into equal-word blocks; slot r of a source takes block r, which ends where the line does. What
+    a source gives is what its slots take, so it comes within a few blocks of its target and never beyond PASSES
+    times its size. Texts that are null or without words have size 0 and nothing taken (first_slot null); a
+    table without words has all targets 0. Rows that repeat an id are kept apart by their place.
     """
+    line, empty, pieces = _laid(docs, id_col, seed, block_words)
+    got = pieces.groupBy("source_rank", "_start").agg(F.sum("piece_words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_pieces"))
+    zero = F.lit(0).cast("long")
+    cols = [F.col("_id").alias(id_col), "source", "size", "source_size", "target"]
+    empty = empty.select(*cols, zero.alias("taken"), F.lit(None).cast("long").alias("first_slot"), zero.alias("n_pieces"))
+    placed = line.join(got, ["source_rank", "_start"], "left").select(*cols, F.coalesce("taken", zero).alias("taken"), "first_slot", F.coalesce("n_pieces", zero).alias("n_pieces"))
+    return placed.unionByName(empty), pieces.select("slot", F.col("_id").alias(id_col), "source", "in_pass", "piece_start", "piece_words")
+
+
+def _laid(docs: DataFrame, id_col: str, seed: str = "", block_words: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with words, each at its place _start on its source's line; documents without; pieces of the first as slots take them)."""
     order = F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
     narrow = materialize(docs.select(F.col(id_col).alias("_id"), "source", size.alias("size"), hash60(order).alias("_h")), "sizes")
-    sources = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")))
-    sources = materialize(sources.withColumn("target", F.coalesce("target", F.lit(0.0))), "sources")
-    total = sources.agg(F.sum("target")).first()[0] or 0.0
-    block = max(1, min(BLOCK_WORDS, int(total / 2**SLOT_BITS)))
-    n_sources, n = sources.count(), narrow.count()
-    known = F.broadcast(sources) if n_sources <= 100_000 else sources
+    sources = materialize(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size"))), "sources")
+    words_all, n_sources = sources.agg(F.sum(F.round("target").cast("long")), F.count("*")).first()
+    block = block_words or max(1, -(-int(words_all or 0) // SLOTS))
+    n_slots, n = -(-int(words_all or 0) // block), narrow.count()
+    known = F.broadcast(sources) if n_sources <= MOST_BROADCAST else sources
     rows = narrow.join(known, narrow["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     bits = min(30, max(8, (n // ROWS_PER_BUCKET).bit_length() + 2))
     words = rows.where("size > 0").withColumn("_bucket", F.expr(f"shiftright(_h, {60 - bits})"))
     line = materialize(running_sum(words, "source_rank", "_bucket", ["_h", "_id"], "size", "_start").drop("_bucket"), "line")
     passes = line.withColumn("in_pass", F.explode(F.array(*[F.lit(p).cast("long") for p in range(PASSES)])))
     passes = passes.withColumn("_lo", F.col("in_pass") * F.col("source_size") + F.col("_start"))
-    passes = passes.withColumn("_hi", F.least(F.col("_lo") + F.col("size"), F.round("target").cast("long"))).where("_lo < _hi")
+    passes = passes.withColumn("_hi", F.col("_lo") + F.col("size"))
     pieces = passes.withColumn("r", F.explode(F.expr(f"sequence(_lo div {block}, (_hi - 1) div {block})")))
     first = F.greatest(F.col("_lo"), F.col("r") * block)
     pieces = pieces.withColumns({"piece_start": first - F.col("_lo"), "piece_words": F.least(F.col("_hi"), (F.col("r") + 1) * block) - first})
-    pieces = pieces.join(schedule(sources, block), ["source_rank", "r"])
-    taken = pieces.groupBy("source_rank", "_start").agg(F.sum("piece_words").alias("taken"))
-    placed = line.join(taken, ["source_rank", "_start"], "left")
-    cols = [F.col("_id").alias(id_col), "source", "size", "source_size", "target"]
-    empty = rows.where("size = 0").select(*cols, F.lit(0).cast("long").alias("taken"))
-    documents = placed.select(*cols, F.coalesce("taken", F.lit(0).cast("long")).alias("taken")).unionByName(empty)
-    return documents, pieces.select("slot", F.col("_id").alias(id_col), "source", "in_pass", "piece_start", "piece_words")
+    slots = materialize(schedule(sources, n_slots), "slots")
+    pieces = pieces.join(F.broadcast(slots) if n_slots <= MOST_BROADCAST else slots, ["source_rank", "r"])
+    return line, rows.where("size = 0"), pieces
+
+
+def first_words(text: Column, k: Column) -> Column:
+    """text up to the end of its k-th word, for texts with more than k words: the k-th space behind a word is found without an array of words."""
+    plain = F.translate(text, _SPACES, " " * len(_SPACES))
+    marked = F.regexp_replace(plain, "(?<=[^ ]) ", "\n")  # as long as the text; a mark behind each word
+    return F.left(text, F.length(F.call_function("substring_index", marked, F.lit("\n"), k.cast("int"))))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The mix as rows with the columns of docs: a document appears once per full pass, and once cut to its first words for a part."""
-    documents = mix(docs.withColumn("text", F.col(text)), id_col)[0].where("taken > 0")
-    documents = documents.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken")
+    """The mix as rows with the columns of docs, in slot order within each partition.
+
+    A document appears once for every pass in which slots take all of it, and once cut to the words taken for
+    a pass in which they take its beginning alone; only a source's last block cuts a document. All other columns stay as they
+    are. Each partition holds a part of every run of slots, so it is a mix in the schedule's order by itself.
+    """
+    line, _, pieces = _laid(docs.withColumn("text", F.col(text)), id_col)
+    key = ["_id", F.col("source").alias("_source"), F.col("size").alias("_size")]
+    turns = pieces.select(*key, "in_pass", "slot", "piece_words").groupBy("_id", "_source", "_size", "in_pass").agg(F.min("slot").alias("_slot"), F.sum("piece_words").alias("_words"))
+    taken = turns.groupBy("_id", "_source", "_size").agg(F.collect_list(F.struct("_slot", "_words")).alias("_turns"))  # one a pass
+    taken = materialize(taken, "turns")
+    odd = materialize(line.select(*key).groupBy("_id", "_source", "_size").count().where("count > 1").drop("count"), "repeats")
     size = F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), F.col("source").alias("_s"), size.alias("_n"), F.lit(1).alias("_k"))
-    documents = materialize(documents.withColumn("_j", F.lit(1)), "mixed")
-    if not documents.groupBy("_id", "_source", "_size").count().where("count > 1").isEmpty():  # rows that repeat an id: one each
-        rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_i", "_s", "_n").orderBy(F.xxhash64(f"_row.{text}"))))
-        documents = documents.withColumn("_j", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.col("taken").desc())))
-    same = F.col("_i").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_k") == F.col("_j"))
-    both = rows.join(documents, same)
-    both = both.withColumn("_words", F.explode(F.expr("transform(sequence(0L, (taken - 1) div _size), p -> least(_size, taken - p * _size))")))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), F.col("source").alias("_s"), size.alias("_n"), F.lit(0).cast("long").alias("_k"))
+    match = F.col("_i").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
+    if not odd.isEmpty():  # rows that repeat an id, source and size share their words out in the order of their texts' hashes
+        same = Window.partitionBy("_i", "_s", "_n").orderBy(F.xxhash64(f"_row.{text}"))
+        again = rows.join(odd, match, "left_semi").withColumn("_k", F.row_number().over(same).cast("long") - 1)
+        rows = rows.join(odd, match, "left_anti").unionByName(again)
+    both = rows.join(taken, match).withColumn("_t", F.explode("_turns"))
+    left = F.least(F.col("_size"), F.col("_t._words") - F.col("_k") * F.col("_size"))
+    both = both.withColumn("_left", left).where("_left > 0").withColumn("_slot", F.col("_t._slot"))
     whole = F.col(f"_row.{text}")
-    cut = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(f"[{WS}]*{WORD}"), F.lit(0)), 1, F.col("_words").cast("int")), "")
-    new = F.when(F.col("_words") == F.col("_size"), whole).otherwise(cut)
-    out = both.select(*[new.alias(text) if c == text else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_row.{c}").alias(c) for c in docs.columns])
-    return out
+    new = F.when(F.col("_left") == F.col("_size"), whole).otherwise(first_words(whole, F.col("_left")))
+    out = both.select("_slot", *[new.alias(text) if c == text else F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    return out.sortWithinPartitions("_slot").select(*docs.columns)

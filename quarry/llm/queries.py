@@ -51,7 +51,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_pieces")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,11 +109,18 @@ s2 as (select *, sum(source_size) over () * 1.5::double as total, sum(w) over ()
 s3 as (select *, (total - cb) / (wsum - wb) >= cap / w as is_full from s2),
 s4 as (select *, total - sum(case when is_full then cap else 0 end) over () as rest, sum(case when is_full then 0 else w end) over () as unmet from s3),
 s as (select source, source_size, k, coalesce(case when is_full then cap else w * rest / nullif(unmet, 0) end, 0) as target from s4),
+total as (select sum(round(target)::bigint)::bigint as words, greatest(1, (sum(round(target)::bigint)::bigint + {mixing.SLOTS - 1}) // {mixing.SLOTS}) as block from s),
+span as (select *, sum(round(target)::bigint) over (order by k) - round(target)::bigint as lo, sum(round(target)::bigint) over (order by k) as hi from s),
+point as (select i as slot, (i * {mixing.GOLDEN}::double - floor(i * {mixing.GOLDEN}::double)) * words::double as x from total, range((words + block - 1) // block) t(i)),
+slots as (select slot, k, row_number() over (partition by k order by slot) - 1 as r from point join span on lo <= x and x < hi),
 line as (
-  select d.*, s.source_size, s.target, round(s.target)::bigint as want,
-    coalesce(sum(size) over (partition by k order by h, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as lo
-  from d join s on d.source is not distinct from s.source)
+  select d.*, s.k, s.source_size, s.target, block, coalesce(c, 0) * block as lim,
+    coalesce(sum(size) over (partition by s.k order by h, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as lo
+  from d join s on d.source is not distinct from s.source cross join total left join (select k, count(*) as c from slots group by k) n on n.k = s.k)
 select doc_id, size, source_size, target,
-  greatest(least(lo + size, want) - lo, 0) + greatest(least(source_size + lo + size, want) - source_size - lo, 0) as taken
-from line""",
+  greatest(least(lo + size, lim) - lo, 0) + greatest(least(source_size + lo + size, lim) - source_size - lo, 0) as taken,
+  slot as first_slot,
+  case when size > 0 and lo < lim then (least(lo + size, lim) - 1) // block - lo // block + 1 else 0 end
+    + case when size > 0 and source_size + lo < lim then (least(source_size + lo + size, lim) - 1) // block - (source_size + lo) // block + 1 else 0 end as n_pieces
+from line left join slots on slots.k = line.k and r = lo // block and size > 0""",
 }
