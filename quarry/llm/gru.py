@@ -7,12 +7,12 @@ from typing import NamedTuple
 
 import numpy as np
 
-HIDDEN, EMBEDDING = 24, 16
+HIDDEN, EMBEDDING = 16, 12
 #: Units in a class and classes; units are the end, tail buckets and words, by falling count.
-WIDTH, CLASSES = 48, 48
+WIDTH, CLASSES = 32, 32
 UNITS = WIDTH * CLASSES
 #: Steps of a truncated backpropagation and of a scoring window, and streams side by side.
-TRAIN_STEPS, TRAIN_STREAMS, SCORE_STEPS, SCORE_STREAMS = 16, 64, 64, 256
+TRAIN_STEPS, TRAIN_STREAMS, SCORE_STEPS, SCORE_STREAMS = 16, 512, 64, 256
 RATE, CLIP = 0.01, 5.0
 
 
@@ -63,6 +63,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Rows of x turned into probabilities in place; (the same array)."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
 def pack(docs: list[np.ndarray], streams: int) -> tuple[np.ndarray, np.ndarray]:
     """(targets, owner), steps x streams: whole documents one behind another in streams of like length; owner -1 is padding.
 
@@ -125,43 +133,51 @@ def log_likelihoods(p: Params, docs: list[np.ndarray], end: int) -> np.ndarray:
 
 def _log_probs(p: Params, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(class | h) + log P(unit | class, h) of each target."""
-    cls, word = target // WIDTH, target % WIDTH
-    logits = h @ p.wc
-    logits += p.bc
-    out = logits[np.arange(len(h)), cls] - np.log(np.exp(logits, out=logits).sum(1))
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    cls = target // WIDTH
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    h, cls, word = h[order], cls[order], target[order] % WIDTH
+    rows = np.arange(len(h))
+
+    def log_share(logits: np.ndarray, own: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        logits -= logits.max(1, keepdims=True)
+        picked = logits[rows, own]
+        return picked - np.log(np.exp(logits, out=logits).sum(1))
+
+    found = log_share(h @ p.wc + p.bc, cls, rows)
+    bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
     for c in range(CLASSES):
-        rows = order[bounds[c] : bounds[c + 1]]
-        if len(rows):
-            inner = h[rows] @ p.ww[c].T
-            inner += p.bw[c]
-            out[rows] += inner[np.arange(len(rows)), word[rows]] - np.log(np.exp(inner, out=inner).sum(1))
+        a, b = bounds[c], bounds[c + 1]
+        if a < b:
+            found[a:b] += log_share(h[a:b] @ p.ww[c].T + p.bw[c], word[a:b], rows[: b - a])
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
-def train(p: Params, docs: list[np.ndarray], end: int, rate: float = RATE, seed: int = 1) -> tuple[Params, int]:
-    """One pass of truncated backpropagation (Adam) over documents; (new parameters, tokens seen)."""
+def train(p: Params, docs: list[np.ndarray], end: int, rate: float = RATE) -> tuple[Params, int]:
+    """One pass of truncated backpropagation (Adam) over all tokens of documents; (new parameters, tokens seen).
+
+    The documents, each closed by end, are one sequence that is cut into TRAIN_STREAMS streams of equal
+    length. State is carried from window to window and is zero behind an end and at a stream's beginning.
+    """
     if not docs:
         return p, 0
-    rng = np.random.default_rng(seed)
     p = Params(*[x.copy() for x in p])
-    targets, owner = pack([docs[i] for i in rng.permutation(len(docs))], TRAIN_STREAMS)
+    line = np.concatenate(docs).astype(np.int32)
+    seen = len(line)
+    streams = min(TRAIN_STREAMS, -(-seen // TRAIN_STEPS))
+    steps = -(-seen // streams)
+    before = np.concatenate([[end], line[:-1]])
+    pad = steps * streams - seen
+    targets = np.concatenate([line, np.full(pad, end)]).reshape(streams, steps).T
+    inputs = np.concatenate([before, np.full(pad, end)]).reshape(streams, steps).T
+    real = (np.arange(steps * streams) < seen).reshape(streams, steps).T
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    streams = targets.shape[1]
     h = np.zeros((streams, HIDDEN), np.float32)
-    last, before = np.zeros(streams, np.int32), np.full(streams, -1, np.int32)
-    seen, n_updates = 0, 0
-    for at in range(0, len(targets), TRAIN_STEPS):
-        t, o = targets[at : at + TRAIN_STEPS], owner[at : at + TRAIN_STEPS]
-        inputs = np.vstack([last[None], t[:-1]])
-        first = np.vstack([before[None], o[:-1]]) != o
-        inputs[first] = end
-        grads, h = _gradients(p, h, inputs, t, first, o >= 0)
-        last, before = t[-1], o[-1]
-        seen += int((o >= 0).sum())
-        n_updates += 1
-        step = rate * np.sqrt(1 - 0.999**n_updates) / (1 - 0.9**n_updates)
+    for k, at in enumerate(range(0, steps, TRAIN_STEPS), 1):
+        i, t, r = (np.ascontiguousarray(x[at : at + TRAIN_STEPS]) for x in (inputs, targets, real))
+        grads, h = _gradients(p, h, i, t, i == end, r)
+        step = rate * np.sqrt(1 - 0.999**k) / (1 - 0.9**k)
         for x, g, a, b in zip(p, grads, m, v, strict=True):
             np.clip(g, -CLIP, CLIP, out=g)
             a += 0.1 * (g - a)
@@ -173,56 +189,69 @@ def train(p: Params, docs: list[np.ndarray], end: int, rate: float = RATE, seed:
 def _gradients(p: Params, h0: np.ndarray, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray, real: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Gradients of the mean loss over one window (steps x streams), and the state after it."""
     steps, streams = inputs.shape
-    hd = HIDDEN
-    emb = p.e[inputs]
-    x = emb @ p.wx + p.b
-    hs = np.empty((steps + 1, streams, hd), np.float32)
-    z, r, n, un, hin = (np.empty((steps, streams, hd), np.float32) for _ in range(5))
+    hd, kind = HIDDEN, p.e.dtype
+    gates = p.e @ p.wx + p.b
+    x = gates[inputs]
+    hs = np.empty((steps + 1, streams, hd), kind)
+    zr = np.empty((steps, streams, 2 * hd), kind)
+    n, un, hin = (np.empty((steps, streams, hd), kind) for _ in range(3))
     hs[0] = h0
+    keep = (~first)[:, :, None]
+    some = first.any(axis=1)
     for s in range(steps):
-        hin[s] = hs[s] * ~first[s][:, None]
+        if some[s]:
+            np.multiply(hs[s], keep[s], out=hin[s])
+        else:
+            hin[s] = hs[s]
         hu = hin[s] @ p.u
-        zr = _sigmoid(x[s, :, : 2 * hd] + hu[:, : 2 * hd])
-        z[s], r[s], un[s] = zr[:, :hd], zr[:, hd:], hu[:, 2 * hd :]
-        n[s] = np.tanh(x[s, :, 2 * hd :] + r[s] * un[s])
-        hs[s + 1] = n[s] + z[s] * (hin[s] - n[s])
-    h, t, w = hs[1:].reshape(-1, hd), targets.ravel(), real.ravel().astype(np.float32)
+        un[s] = hu[:, 2 * hd :]
+        zr[s] = _sigmoid(x[s, :, : 2 * hd] + hu[:, : 2 * hd])
+        n[s] = np.tanh(x[s, :, 2 * hd :] + zr[s, :, hd:] * un[s])
+        hs[s + 1] = n[s] + zr[s, :, :hd] * (hin[s] - n[s])
+    z, r = zr[:, :, :hd], zr[:, :, hd:]
+    # rows by class, so that a class's rows are one block
+    t, w = targets.ravel(), real.ravel().astype(kind)
     w /= max(1.0, w.sum())
-    cls, word = t // WIDTH, t % WIDTH
+    order = np.argsort((t // WIDTH).astype(np.int16), kind="stable")
+    h, w = hs[1:].reshape(-1, hd)[order], w[order]
+    cls, word = t[order] // WIDTH, t[order] % WIDTH
     rows = np.arange(len(t))
-    pc = h @ p.wc + p.bc
-    pc = np.exp(pc - pc.max(1, keepdims=True))
-    pc /= pc.sum(1, keepdims=True)
+    pc = _softmax(h @ p.wc + p.bc)
     pc[rows, cls] -= 1
     pc *= w[:, None]
     dwc, dbc, dh = h.T @ pc, pc.sum(0), pc @ p.wc.T
     dww, dbw = np.zeros_like(p.ww), np.zeros_like(p.bw)
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
     for c in range(CLASSES):
-        own = order[bounds[c] : bounds[c + 1]]
-        if len(own):
-            q = h[own] @ p.ww[c].T + p.bw[c]
-            q = np.exp(q - q.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(len(own)), word[own]] -= 1
-            q *= w[own][:, None]
-            dww[c], dbw[c] = q.T @ h[own], q.sum(0)
-            dh[own] += q @ p.ww[c]
-    dh = dh.reshape(steps, streams, hd)
-    dx, du = np.empty_like(x), np.zeros_like(p.u)
-    carry = np.zeros((streams, hd), np.float32)
+        a, b = bounds[c], bounds[c + 1]
+        if a < b:
+            q = _softmax(h[a:b] @ p.ww[c].T + p.bw[c])
+            q[rows[: b - a], word[a:b]] -= 1
+            q *= w[a:b, None]
+            dww[c], dbw[c] = q.T @ h[a:b], q.sum(0)
+            dh[a:b] += q @ p.ww[c]
+    back = np.empty_like(dh)
+    back[order] = dh
+    dh = back.reshape(steps, streams, hd)
+    dx, dhu = np.empty_like(x), np.empty_like(x)
+    carry = np.zeros((streams, hd), kind)
     for s in range(steps - 1, -1, -1):
         d = dh[s] + carry
         dn = d * (1 - z[s]) * (1 - n[s] * n[s])
-        dz = d * (hin[s] - n[s]) * z[s] * (1 - z[s])
-        dr = dn * un[s] * r[s] * (1 - r[s])
-        dx[s] = np.hstack([dz, dr, dn])
-        dhu = np.hstack([dz, dr, dn * r[s]])
-        du += hin[s].T @ dhu
-        carry = (d * z[s] + dhu @ p.u.T) * ~first[s][:, None]
-    flat_x = dx.reshape(-1, 3 * hd)
-    flat_e = flat_x @ p.wx.T
-    de = np.zeros_like(p.e)
-    np.add.at(de, inputs.ravel(), flat_e)
-    return [de, emb.reshape(-1, EMBEDDING).T @ flat_x, flat_x.sum(0), du, dwc, dbc, dww, dbw], hs[-1]
+        dx[s, :, :hd] = d * (hin[s] - n[s]) * z[s] * (1 - z[s])
+        dx[s, :, hd : 2 * hd] = dn * un[s] * r[s] * (1 - r[s])
+        dx[s, :, 2 * hd :] = dn
+        dhu[s, :, : 2 * hd] = dx[s, :, : 2 * hd]
+        dhu[s, :, 2 * hd :] = dn * r[s]
+        carry = d * z[s] + dhu[s] @ p.u.T
+        if some[s]:
+            carry *= keep[s]
+    du = hin.reshape(-1, hd).T @ dhu.reshape(-1, 3 * hd)
+    # gradients of the gates by input unit: its rows side by side, then one sum a unit
+    units = inputs.ravel()
+    by_unit = np.argsort(units.astype(np.int16), kind="stable")
+    sorted_units = units[by_unit]
+    starts = np.nonzero(np.concatenate([[True], sorted_units[1:] != sorted_units[:-1]]))[0]
+    dgates = np.zeros_like(gates)
+    dgates[sorted_units[starts]] = np.add.reduceat(dx.reshape(-1, 3 * hd)[by_unit], starts, axis=0)
+    return [dgates @ p.wx.T, p.e.T @ dgates, dgates.sum(0), du, dwc, dbc, dww, dbw], hs[-1]

@@ -24,12 +24,14 @@ END = b" end"
 HEAD, HEAD_STEPS = 200_000, 8
 #: Units for words outside the model's vocabulary, by the word's beginning and closing mark.
 BUCKETS = 128
-#: Documents (about, and twice as many at most) of the driver's training that only initialises the round, picked by a hash of their ids.
+#: Documents (about, and twice as many at most) of the driver's training that only initialises the round, first in hash order of their ids.
 SEED_DOCS = 1500
-#: Rate of the distributed round, in which all training documents take part.
-ROUND_RATE = 0.003
-#: Tokens that a task holds before it trains on or scores them (three times as many of long documents), and words it counts at once.
-MOST_TOKENS, LONG_TOKENS, MOST_WORDS = 500_000, 2048, 500_000
+#: Tokens of a shard of the distributed round, in which all training documents take part, and the round's rate.
+SHARD_TOKENS, ROUND_RATE = 2_000_000, 0.01
+#: Tokens that a task holds before it trains on them, before it scores them (three times as many of long documents), and words it counts at once.
+TRAIN_TOKENS, MOST_TOKENS, LONG_TOKENS, MOST_WORDS = 2_000_000, 500_000, 2048, 500_000
+#: Weights are added up as whole multiples of 2^-32, so that their mean doesn't depend on the order of the sum.
+_FIXED = float(1 << 32)
 
 
 def held_out(id_col: Column) -> Column:
@@ -142,47 +144,85 @@ def _units(lex: Lexicon, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, Co
     return unit.astype(np.int32), index[index >= 0], Counter(words[i] for i in far)
 
 
-def fit(train_docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text: str = "text") -> gru.Params:
-    """Weights that start from a training on whole texts of a bounded sample, then one round of training over all documents, averaged by tokens.
+def encode(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every text as units, tokenised once: _row, _id, held_out, n_tokens, known and base (of head tokens), rest, units (2 bytes each), far.
 
-    The round's tasks train on all of their own documents from the common start; their weights are added
-    up on the executors, so what is gathered grows with the number of tasks, not the driver's share.
+    rest is the log10 of the words' shares in their buckets; far lists words outside the head with their number and bucket mass.
     """
-    # a bound on the hash instead of a sort: no task sends more than its part of the sample
-    n_docs = int(lex.counts[lex.end])
-    h = hash60(F.col(id_col))
-    chosen = train_docs.where(h < int(2**60 * min(1.0, SEED_DOCS / max(1, n_docs)))) if n_docs > SEED_DOCS else train_docs
-    body = text_or_empty(text)
-    seeds = chosen.select(h.alias("_h"), F.xxhash64(body).alias("_x"), body.alias("text")).limit(2 * SEED_DOCS)
+    mass = [float(x) for x in lex.bucket_log]
 
-    def in_units(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"h": batch["_h"], "x": batch["_x"], "u": [_units(lex, tokens(t))[0] for t in batch["text"]]})
+            for at in range(0, batch.num_rows, 256):
+                keys, flags, texts = batch.slice(at, 256).columns
+                rows = [_units(lex, tokens(t.as_py())) for t in texts]
+                far = [w for x in rows for w in x[2]]
+                entry = [pa.array(far, pa.binary()), pa.array([k for x in rows for k in x[2].values()], pa.int64()), pa.array([0.0 if w == END else mass[bucket(w)] for w in far], pa.float64())]
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[2]) for x in rows])]), pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(entry, ["token", "k", "mass"]))
+                sizes = [pa.array([len(x[k]) for x in rows], pa.int64()) for k in (0, 1)]
+                sums = [pa.array([float(of[x[1]].sum()) for x in rows], pa.float64()) for of in (lex.base, lex.rest)]
+                units = pa.array([x[0].astype("<u2").tobytes() for x in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([keys, flags, *sizes, *sums, units, lists], ["_id", "held_out", "n_tokens", "known", "base", "rest", "units", "far"])
+
+    narrow = docs.select(id_as_text(id_col), held_out(F.col(id_col)).alias("held_out"), text_or_empty(text).alias("text"))
+    schema = "_id string, held_out boolean, n_tokens long, known long, base double, rest double, units binary, far array<struct<token:binary,k:long,mass:double>>"
+    return narrow.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
+
+
+def _as_units(cell: bytes) -> np.ndarray:
+    return np.frombuffer(cell, "<u2").astype(np.int32)
+
+
+def fit(coded: DataFrame, lex: Lexicon) -> gru.Params:
+    """Weights that start from a training on whole texts of a bounded sample, then one round of training over all documents (_id, units).
 
-    # whole texts, as units: four bytes a word in the driver
-    found = seeds.mapInPandas(in_units, "h long, x long, u array<int>").toPandas()
-    docs = [np.asarray(u, np.int32) for u in found.sort_values(["h", "x"])["u"]]
-    first, _ = gru.train(gru.start(lex.counts), docs, lex.end)
+    The round deals the documents by a hash of their ids to shards of about SHARD_TOKENS tokens, so their number
+    grows with the corpus. Each shard trains on all of its documents, in hash order, from the common start; the weights'
+    mean over the shards is added up on the executors. Neither depends on how rows lie in partitions.
+    """
+    h, x = hash60(F.col("_id")), F.xxhash64("units")
+    n_docs = int(lex.counts[lex.end])
+    rows = coded.select(h.alias("_h"), x.alias("_x"), "units")
+    # a bound on the hash, so that no task sorts more than about its part of the sample
+    near = rows.where(F.col("_h") < int(2**60 * min(1.0, SEED_DOCS / max(1, n_docs)))) if n_docs > SEED_DOCS else rows
+    seeds = near.orderBy("_h", "_x").limit(2 * SEED_DOCS).toPandas()
+    first, _ = gru.train(gru.start(lex.counts), [_as_units(u) for u in seeds["units"]], lex.end)
     start = gru.flat(first)
+    shards = max(1, round(lex.n / SHARD_TOKENS))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        total, n_shards, shard = np.zeros(len(start), np.int64), 0, None
+        params, held, n = gru.unflat(start), [], 0
+
+        def learn() -> gru.Params:
+            return gru.train(params, held, lex.end, ROUND_RATE)[0]
+
+        def add() -> np.ndarray:
+            return np.round(gru.flat(params).astype(np.float64) * _FIXED).astype(np.int64)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        params, total, held, n = gru.unflat(start), 0, [], 0
         for batch in batches:
-            for t in batch["text"]:
-                held.append(_units(lex, tokens(t))[0])
+            for own, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if own != shard:
+                    if shard is not None:
+                        params = learn()
+                        total, n_shards = total + add(), n_shards + 1
+                    params, held, n, shard = gru.unflat(start), [], 0, own
+                held.append(_as_units(cell.as_py()))
                 n += len(held[-1])
-                if n > MOST_TOKENS:
-                    params, seen = gru.train(params, held, lex.end, ROUND_RATE)
-                    total, held, n = total + seen, [], 0
-        params, seen = gru.train(params, held, lex.end, ROUND_RATE)
-        total += seen
-        if total:
-            yield pd.DataFrame({"i": np.arange(len(start), dtype=np.int32), "w": gru.flat(params).astype(np.float64) * total, "n": np.full(len(start), total)})
-
-    tuned = train_docs.select(text_or_empty(text).alias("text")).mapInPandas(run, "i int, w double, n long")
-    mean = tuned.groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
+                if n > TRAIN_TOKENS:
+                    params, held, n = learn(), [], 0
+        if shard is not None:
+            params = learn()
+            total, n_shards = total + add(), n_shards + 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(start), dtype=np.int32)), pa.array(total), pa.array(np.full(len(start), n_shards))], ["i", "w", "n"])
+
+    dealt = rows.withColumn("_shard", F.pmod("_h", F.lit(shards)).cast("int")).repartition(shards, "_shard").sortWithinPartitions("_shard", "_h", "_x")
+    tuned = dealt.select("_shard", "units").mapInArrow(run, "i int, w long, n long")
+    # decimals, as the sum over the shards of a large corpus may exceed a long
+    mean = tuned.groupBy("i").agg((F.sum(F.col("w").cast("decimal(20,0)")).cast("double") / F.sum("n")).alias("w")).toPandas()
     out = start.astype(np.float64)
-    out[mean["i"]] = mean["w"]
+    out[mean["i"]] = mean["w"] / _FIXED
     return gru.unflat(out)
 
 
@@ -195,47 +235,37 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     and both scores follow from smoothing and untrained weights. Repeated rows are scored alike and
     counted as often as they occur; a null id hashes as the empty string.
     """
-    narrow = docs.select(id_as_text(id_col), held_out(F.col(id_col)).alias("held_out"), text_or_empty(text).alias("text"))
-    learn = narrow.where(~F.col("held_out"))
+    learn = docs.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("text")).where(~held_out(F.col("_id")))
     counts = materialize(count_tokens(learn), "counts")
     lex = lexicon(counts)
-    weights = tuple(fit(learn, lex, "_id"))
-
-    mass = [float(x) for x in lex.bucket_log]
+    coded = materialize(encode(docs, lex, id_col, text), "units")
+    weights = tuple(fit(coded.where(~F.col("held_out")), lex))
+    kept = ["_row", "_id", "held_out", "n_tokens", "known", "base", "rest", "units"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params = gru.Params(*weights)
 
         def done(held: list) -> pa.RecordBatch:
-            ll = gru.log_likelihoods(params, [x[2] for x in held], lex.end) / math.log(10)
-            base = [float(lex.base[x[3]].sum()) for x in held]
-            model = [float(s + lex.rest[x[3]].sum()) for s, x in zip(ll, held, strict=True)]
-            far = [w for x in held for w in x[4]]
-            entry = [pa.array(far, pa.binary()), pa.array([k for x in held for k in x[4].values()], pa.int64()), pa.array([0.0 if w == END else mass[bucket(w)] for w in far], pa.float64())]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[4]) for x in held])]), pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(entry, ["token", "k", "mass"]))
-            sizes = [pa.array([len(x[k]) for x in held], pa.int64()) for k in (2, 3)]
-            columns = [pa.array([x[0] for x in held], pa.string()), pa.array([x[1] for x in held], pa.bool_()), *sizes, pa.array(base, pa.float64()), pa.array(model, pa.float64()), lists]
-            return pa.RecordBatch.from_arrays(columns, ["_id", "held_out", "n_tokens", "known", "base", "model", "far"])
+            ll = gru.log_likelihoods(params, [x[-1] for x in held], lex.end) / math.log(10)
+            columns = [pa.array([x[k] for x in held], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([x[6] + float(s) for x, s in zip(held, ll, strict=True)], pa.float64())], [*kept[:6], "model"])
 
         # long documents wait for each other: beside short ones they would walk on in few streams
         held: dict[bool, list] = {False: [], True: []}
         n = {False: 0, True: 0}
         for batch in batches:
-            for key, flag, t in zip(*(batch.column(k) for k in range(3)), strict=True):
-                row = (key.as_py(), flag.as_py(), *_units(lex, tokens(t.as_py())))
-                long = len(row[2]) > LONG_TOKENS
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), batch.column(7), strict=True):
+                row = (*row[:7], _as_units(row[7].as_py()))
+                long = len(row[7]) > LONG_TOKENS
                 held[long].append(row)
-                n[long] += len(row[2])
+                n[long] += len(row[7])
                 if n[long] > MOST_TOKENS * (3 if long else 1):
                     yield done(held[long])
                     held[long], n[long] = [], 0
         yield from (done(rows) for rows in held.values() if rows)
 
-    schema = "_id string, held_out boolean, n_tokens long, known long, base double, model double, far array<struct<token:binary,k:long,mass:double>>"
-    scored = narrow.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
-    scored = materialize(scored, "scored")
-    far = scored.select("_row", F.explode("far").alias("f")).select("_row", "f.token", "f.k", "f.mass")
+    scored = coded.select(*kept).mapInArrow(run, "_row long, _id string, held_out boolean, n_tokens long, known long, base double, model double")
+    far = coded.select("_row", F.explode("far").alias("f")).select("_row", "f.token", "f.k", "f.mass")
     joined = far.join(counts, "token", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
     log = F.log10(F.col("c") + SMOOTH)
     sums = joined.groupBy("_row").agg(

@@ -49,7 +49,7 @@ def plain_components(fps, ids):
 
 
 def test_fingerprints_and_components(docs, edge_docs, empty_docs):
-    for df in (docs, edge_docs.where("doc_id is null or doc_id not in (106, 108)")):
+    for df in (docs, edge_docs):
         data = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
         fps = [plain_fingerprint(t) for _, t in data]
         want = Counter(zip([d for d, _ in data], [f"{f:016x}" for f in fps], plain_components(fps, [d for d, _ in data]), strict=True))
@@ -75,13 +75,14 @@ def test_keys_meet_within_three_bits():
 
     def keys(v):
         out = [{} for _ in v]
-        for row, key, role in zip(*simhash.fuzzy_keys(v), strict=True):
-            out[row][key] = int(role)
+        for row, key, flips in zip(*simhash.fuzzy_keys(v), strict=True):
+            assert int(key) not in out[row]
+            out[row][int(key)] = int(flips)
         return out
 
     for p, q in zip(keys(x), keys(y), strict=True):
-        assert len(p) <= 74
-        assert any({p[k], q[k]} in ({0}, {0, 1}, {0, 2}, {1, 2}) for k in p.keys() & q.keys())
+        assert len(p) <= 160
+        assert any(p[k] + q[k] <= 3 for k in p.keys() & q.keys())
 
 
 def test_golay_words_decode_to_their_codeword():
@@ -120,13 +121,21 @@ def test_components_of_a_long_path_and_a_hub(spark):
 # language model
 
 
-def plain_base(data):
+def plain_tokens(text):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or "")), None]
+
+
+def plain_counts(data):
     counts, tok = Counter(), {}
     for d, t in data:
-        words = [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")), None]
-        tok[d] = words
+        tok[d] = plain_tokens(t)
         if zlib.crc32(("" if d is None else str(d)).encode()) % 10:
-            counts.update(words)
+            counts.update(tok[d])
+    return counts, tok
+
+
+def plain_base(data):
+    counts, tok = plain_counts(data)
     n, v = sum(counts.values()), len(counts)
     return {d: (len(w), sum(counts[x] > 0 for x in w), n, sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for d, w in tok.items()}
 
@@ -151,14 +160,82 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     assert p.score.sum() / p.n_tokens.sum() > p.base_score.sum() / p.n_tokens.sum() + 0.2
 
 
+def plain_scores(data, params):
+    """log10 probability of each text, word by word, from plain counts and a plain cell."""
+    counts, _ = plain_counts(data)
+    words = sorted((w for w in counts if w is not None), key=lambda w: (-counts[w], w.encode()))
+    room = gru.UNITS - lm_scoring.BUCKETS - 1
+    known = words[:room]
+    mass, kinds = Counter(), Counter()
+    for w in words[room:]:
+        mass[lm_scoring.bucket(w.encode())] += counts[w]
+        kinds[lm_scoring.bucket(w.encode())] += 1
+    size = [counts[None], *[mass[b] for b in range(lm_scoring.BUCKETS)], *[counts[w] for w in known], *[0] * (room - len(known))]
+    place = {k: i for i, k in enumerate(sorted(range(len(size)), key=lambda k: -size[k]))}
+    unit = {w: place[1 + lm_scoring.BUCKETS + i] for i, w in enumerate(known)} | {None: place[0]}
+    params = gru.Params(*[x.astype(np.float64) for x in params])
+    k, sigmoid = gru.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+
+    def log_share(logits, i):
+        return logits[i] - np.log(np.exp(logits).sum())
+
+    out = []
+    for _, t in data:
+        h, before, total = np.zeros(k), place[0], 0.0
+        for w in plain_tokens(t):
+            u = unit.get(w)
+            if u is None:
+                b = lm_scoring.bucket(w.encode())
+                u = place[1 + b]
+                total += math.log10((counts[w] + 0.1) / (mass[b] + 0.1 * (kinds[b] + 1)))
+            x, hu = params.e[before] @ params.wx + params.b, h @ params.u
+            z, r = sigmoid(x[:k] + hu[:k]), sigmoid(x[k : 2 * k] + hu[k : 2 * k])
+            n = np.tanh(x[2 * k :] + r * hu[2 * k :])
+            h = (1 - z) * n + z * h
+            c, i = divmod(u, gru.WIDTH)
+            total += (log_share(h @ params.wc + params.bc, c) + log_share(params.ww[c] @ h + params.bw[c], i)) / math.log(10)
+            before = u
+        out.append(total)
+    return out
+
+
+def test_scores_are_those_of_a_plain_version(docs, edge_docs, monkeypatch):
+    weights = []
+
+    def drawn(coded, lex):
+        r = np.random.default_rng(3)
+        weights.append(gru.Params(*[(x + r.normal(0, 0.4, x.shape)).astype(np.float32) for x in gru.start(lex.counts)]))
+        return weights[-1]
+
+    monkeypatch.setattr(lm_scoring, "fit", drawn)
+    by_id = lambda pairs: sorted(pairs, key=lambda p: (str(p[0]), p[1]))
+    for df in (docs.where("doc_id % 5 = 0"), edge_docs.where("doc_id is null or doc_id <> 106")):  # more words than units, and fewer
+        data = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+        got = lm_scoring.score(df).collect()
+        want = plain_scores(data, weights[-1])
+        for (d, a), (e, b) in zip(by_id((d, s) for (d, _), s in zip(data, want, strict=True)), by_id((r["doc_id"], r["score"]) for r in got), strict=True):
+            assert d == e and a == pytest.approx(b, rel=1e-4)
+
+
+def _coded(df, lex):
+    return lm_scoring.encode(df, lex)
+
+
 def test_every_training_document_takes_part_in_the_round(spark, monkeypatch):
     rows = [(str(i), f"alpha beta{i % 7} gamma delta{i % 5} " * 20) for i in range(40)]
-    frame = lambda data: spark.createDataFrame(data, "doc_id string, text string").coalesce(1)
+    frame = lambda data: spark.createDataFrame(data, "doc_id string, text string")
     lex = lm_scoring.lexicon(lm_scoring.count_tokens(frame(rows)))
-    monkeypatch.setattr(gru, "train", lambda p, docs, end, *_: (p, 0))
-    whole = gru.flat(lm_scoring.fit(frame(rows), lex))
+    monkeypatch.setattr(gru, "train", lambda p, docs, end, *_: (p, 0))  # on the driver only
+    whole = gru.flat(lm_scoring.fit(_coded(frame(rows), lex), lex))
     for k in (0, 13, 39):
-        assert not np.array_equal(whole, gru.flat(lm_scoring.fit(frame(rows[:k] + rows[k + 1 :]), lex)))
+        assert not np.array_equal(whole, gru.flat(lm_scoring.fit(_coded(frame(rows[:k] + rows[k + 1 :]), lex), lex)))
+
+
+def test_weights_do_not_depend_on_partitions(docs, monkeypatch):
+    lex = lm_scoring.lexicon(lm_scoring.count_tokens(docs))
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", lex.n // 5)
+    one, other = (gru.flat(lm_scoring.fit(_coded(df, lex), lex)) for df in (docs.coalesce(1), docs.repartition(9)))
+    assert np.allclose(one, other, atol=1e-6)
 
 
 def test_first_training_reads_whole_texts(spark, monkeypatch):
@@ -166,7 +243,7 @@ def test_first_training_reads_whole_texts(spark, monkeypatch):
     lex = lm_scoring.lexicon(lm_scoring.count_tokens(df))
     seen = []
     monkeypatch.setattr(gru, "train", lambda p, docs, end, *_: (seen.extend(docs), (p, 0))[1])
-    lm_scoring.fit(df, lex)
+    lm_scoring.fit(_coded(df, lex), lex)
     assert sorted(len(d) for d in seen) == [3, 12_001]
 
 
@@ -230,9 +307,9 @@ def test_held_out_toxicity(spark):
     known = docs.join(labels.select("doc_id", "toxic"), "doc_id")
     model = toxicity.train(known, labels)
     p = toxicity.scores(known, model).where("held_out").join(labels, "doc_id").toPandas()
-    assert (p.predicted == p.toxic).mean() > 0.93
+    assert (p.predicted == p.toxic).mean() > 0.95
     caught = p[p.toxic == 1].predicted.mean()
-    assert caught > 0.55 and p[p.toxic == 0].predicted.mean() < 0.03
+    assert caught > 0.75 and p[p.toxic == 0].predicted.mean() < 0.03
     assert p.score.between(0, 1).all() and ((p.score >= 0.5) == (p.predicted == 1)).all()
 
 
@@ -243,8 +320,11 @@ def test_toxicity_of_odd_rows(spark, edge_docs, empty_docs):
     assert toxicity.scores(empty_docs, model).count() == 0
     kept = toxicity.keep_clean(edge_docs, model)
     assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count()
-    texts = ["you total zzzbad thing here " * 3] * 40 + ["a calm and plain text about things " * 3] * 80
-    fitted = toxicity.fit(texts, [1] * 40 + [0] * 80)
+    r = random.Random(2)
+    plain = lambda: " ".join(r.choice("a calm and plain text about things that you total here in there".split()) for _ in range(40))
+    texts = [plain() + " zzzbad " + plain() for _ in range(60)] + [plain() for _ in range(120)]
+    fitted = toxicity.fit(texts, [1] * 60 + [0] * 120)
+    assert b" zzzbad " in fitted.toxic
     out = toxicity.scores(edge_docs, fitted)
     assert out.count() == edge_docs.count() and out.where("score is null").count() == 0
     scorer = toxicity.Scorer(fitted)
