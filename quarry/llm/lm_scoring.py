@@ -27,7 +27,7 @@ BUCKETS = 128
 #: Documents (about, and twice as many at most) of the driver's training that only initialises the round, first in hash order of their ids.
 SEED_DOCS = 1500
 #: Tokens of a shard of the distributed round, in which all training documents take part, and the round's rate.
-SHARD_TOKENS, ROUND_RATE = 2_000_000, 0.01
+SHARD_TOKENS, ROUND_RATE = 1_000_000, 0.01
 #: Tokens that a task holds before it trains on them, before it scores them (three times as many of long documents), and words it counts at once.
 TRAIN_TOKENS, MOST_TOKENS, LONG_TOKENS, MOST_WORDS = 2_000_000, 500_000, 2048, 500_000
 #: Weights are added up as whole multiples of 2^-32, so that their mean doesn't depend on the order of the sum.
@@ -217,7 +217,7 @@ def fit(coded: DataFrame, lex: Lexicon) -> gru.Params:
             total, n_shards = total + add(), n_shards + 1
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(start), dtype=np.int32)), pa.array(total), pa.array(np.full(len(start), n_shards))], ["i", "w", "n"])
 
-    dealt = rows.withColumn("_shard", F.pmod("_h", F.lit(shards)).cast("int")).repartition(shards, "_shard").sortWithinPartitions("_shard", "_h", "_x")
+    dealt = rows.withColumn("_shard", F.pmod("_h", F.lit(shards)).cast("int")).repartitionByRange(shards, "_shard").sortWithinPartitions("_shard", "_h", "_x")
     tuned = dealt.select("_shard", "units").mapInArrow(run, "i int, w long, n long")
     # decimals, as the sum over the shards of a large corpus may exceed a long
     mean = tuned.groupBy("i").agg((F.sum(F.col("w").cast("decimal(20,0)")).cast("double") / F.sum("n")).alias("w")).toPandas()
