@@ -79,13 +79,28 @@ def test_exact_dedup_matches_plain_version(docs, edge_docs, empty_docs):
     assert exact_dedup.decide(empty_docs).count() == 0
 
 
-def test_group_keys_part_exactly_as_texts(spark):
+def test_refining_leaves_the_rows_that_share_length_and_prefix(spark):
     texts = ["a b", "ab", "a  b ", "ba", "abc", "x" * 200 + "1", "x" * 200 + "2", "", " ", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    keys = {r["doc_id"]: r["group_key"] for r in exact_dedup.content_keys(df).collect()}
-    for i, a in enumerate(texts):
-        for j, b in enumerate(texts):
-            assert (keys[i] == keys[j]) == (SPACE.sub("", a or "") == SPACE.sub("", b or ""))
+    left = exact_dedup.refine(exact_dedup.signatures(df), len(texts)).collect()
+    assert {r["_id"] for r in left} == {0, 1, 2, 5, 6, 7, 8, 9}
+
+
+@pytest.mark.parametrize("bits", [None, 4])
+def test_exact_dedup_keeps_the_right_rows(spark, edge_docs, bits, monkeypatch):
+    if bits:  # bitmaps so small that nearly every row is in both
+        monkeypatch.setattr(exact_dedup, "bitmap_bits", lambda n: bits)
+    many = spark.range(400).selectExpr("id as doc_id", "concat('text ', id % 90, if(id % 3 = 0, ' ', '')) as text", "id as extra")
+    for df in (many, edge_docs, edge_docs.unionByName(edge_docs), many.limit(0), many.where("doc_id < 90")):
+        data = df.select("doc_id", "text").collect()
+        best = {}
+        for r in data:
+            t, d = r["text"] or "", r["doc_id"]
+            k = SPACE.sub("", t)
+            best[k] = min(best.get(k, (1, True, 0, "")), (-len(t), d is None, d or 0, t))
+        want = Counter((None if n else d, SPACE.sub("", t), -c) for c, n, d, t in best.values())
+        got = Counter((r["doc_id"], SPACE.sub("", r["text"] or ""), len(r["text"] or "")) for r in exact_dedup.exact_dedup(df).collect())
+        assert got == want
 
 
 # media
