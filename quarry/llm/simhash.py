@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,8 @@ from quarry.llm.common import HEAVY, bitmap, bitmap_bits, id_as_text, id_back, i
 from quarry.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
-#: A bucket with more distinct fingerprints than this is linked by stars instead of pairs.
+#: A bucket with more distinct fingerprints than this is linked by stars instead of pairs. By chance 36-bit keys meet so often
+#: only beyond 1e10 distinct fingerprints; such buckets hold families of near copies.
 DENSE = 64
 #: Generator polynomial of the binary Golay code (23, 12): x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
@@ -48,44 +50,66 @@ def codeword_index(words: np.ndarray) -> np.ndarray:
     return (words ^ _ERROR[syndrome]) >> 11
 
 
-def _new(keys: np.ndarray, not_in: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the distinct keys in each row of a matrix, without the row's own value in not_in."""
-    keys = np.sort(keys, axis=1)
-    fresh = np.column_stack([np.ones(len(keys), bool), keys[:, 1:] != keys[:, :-1]]) & (keys != not_in[:, None])
-    row, col = np.nonzero(fresh)
-    return row, keys[row, col]
+@cache
+def _steps(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each syndrome, the codeword indices (as differences to the word's own) that 1 flip, and only 2 flips, of the lower bits reach; -1 pads.
+
+    The code is linear, so the difference depends on the syndrome and the flipped bits alone.
+    """
+    one = 1 << np.arange(bits)
+    two = np.array([a | b for i, a in enumerate(one) for b in one[:i]])
+    every = np.arange(2048)
+
+    def moved(flips: np.ndarray) -> np.ndarray:
+        syndrome = _REMAINDER[flips >> 11] ^ (flips & 2047)
+        return (flips[None, :] ^ _ERROR[every[:, None] ^ syndrome[None, :]] ^ _ERROR[every][:, None]) >> 11
+
+    def distinct(found: list[set[int]]) -> np.ndarray:
+        out = np.full((2048, max(map(len, found))), -1, np.int64)
+        for s, own in enumerate(found):
+            out[s, : len(own)] = sorted(own)
+        return out
+
+    first = [set(row) - {0} for row in moved(one).tolist()]
+    second = [set(row) - {0} - near for row, near in zip(moved(two).tolist(), first, strict=True)]
+    return distinct(first), distinct(second)
+
+
+#: Most keys of a fingerprint.
+MOST_KEYS = 2081
+_SHIFT = (24, 12, 0)
 
 
 def fuzzy_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, role): keys of each fingerprint such that any two within 3 bits share one, in roles that meet.
+    """(row, key, flips): keys of each fingerprint such that any two within 3 bits share one whose flips add up to at most 3.
 
-    Keys are codeword indices, 12 bits a segment. Three errors either leave two segments with at
-    most one error together: then one fingerprint's own index pair (role 0) is among the other's
-    pairs of vectors within 1 bit (roles 0 and 1). Or each segment has one error: then one
-    fingerprint with its first segment's bit flipped (role 1) equals the other with the two
-    other bits flipped (role 2), in all 36 bits. About 60 keys in all.
+    A key is the codeword indices of all three segments, 36 bits, of the fingerprint or of a vector 1 or 2 flips
+    away from it; flips is the least number that reaches the key. By the pigeonhole principle 3 errors, however they
+    fall on the segments, are at most 1 on one side and at most 2 on the other: there both fingerprints are the same vector. The
+    code gathers neighbouring vectors, so 2,081 vectors have about 140 keys.
     """
+    n = len(fingerprints)
     segment = [(fingerprints >> np.uint64(at)).astype(np.int64) & ((1 << bits) - 1) for at, bits in SEGMENTS]
-    own = [codeword_index(s) for s in segment]
-    ball = [np.column_stack([codeword_index(s ^ (1 << i)) for i in range(bits)]) for s, (_, bits) in zip(segment, SEGMENTS, strict=True)]
-    every = np.arange(len(fingerprints))
-    rows, keys, roles = [], [], []
-
-    def add(kind: int, role: int, row: np.ndarray, key: np.ndarray) -> None:
+    center = np.zeros(n, np.int64)
+    step1, step2 = [], []
+    for word, (_, bits), shift in zip(segment, SEGMENTS, _SHIFT, strict=True):
+        center |= codeword_index(word) << shift
+        syndrome = _REMAINDER[word >> 11] ^ (word & 2047)
+        for steps, of in zip((step1, step2), _steps(bits), strict=True):
+            found = of[syndrome]
+            steps.append(np.where(found < 0, -1, found << shift))
+    far = [*step2]
+    for i in range(3):
+        for j in range(i):
+            both = step1[i][:, :, None] ^ step1[j][:, None, :]
+            far.append(np.where((step1[i] < 0)[:, :, None] | (step1[j] < 0)[:, None, :], -1, both).reshape(n, -1))
+    rows, keys, flips = [np.arange(n)], [center], [np.zeros(n, np.int8)]
+    for k, steps in ((1, np.hstack(step1)), (2, np.hstack(far))):
+        row, col = np.nonzero(steps >= 0)
         rows.append(row)
-        keys.append((kind << 36) | key)
-        roles.append(np.full(len(row), role, np.int8))
-
-    for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        center = (own[i] << 12) | own[j]
-        add(kind, 0, every, center)
-        add(kind, 1, *_new(np.column_stack([(ball[i] << 12) | own[j][:, None], (own[i][:, None] << 12) | ball[j]]), center))
-    center = (own[0] << 24) | (own[1] << 12) | own[2]
-    add(3, 0, every, center)
-    add(3, 1, *_new((ball[0] << 24) | (own[1] << 12)[:, None] | own[2][:, None], center))
-    two = (ball[1][:, :, None] << 12) | ball[2][:, None, :]
-    add(3, 2, *_new((own[0] << 24)[:, None] | two.reshape(len(every), -1), center))
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(roles)
+        keys.append(center[row] ^ steps[row, col])
+        flips.append(np.full(len(row), k, np.int8))
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(flips)
 
 
 def fingerprint(text: str) -> int:
@@ -125,17 +149,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def _keyed(fps: DataFrame) -> DataFrame:
-    """(key, role, fp) for every key of every distinct fingerprint."""
+    """(key, flips, fp) for every key of every distinct fingerprint."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = batch["fp"].to_numpy(np.int64)
             for at in range(0, len(own), 1 << 12):
                 part = own[at : at + (1 << 12)]
-                row, key, role = fuzzy_keys(part.view(np.uint64))
-                yield pd.DataFrame({"key": key, "role": role, "fp": part[row]})
+                row, key, flips = fuzzy_keys(part.view(np.uint64))
+                yield pd.DataFrame({"key": key, "flips": flips, "fp": part[row]})
 
-    return fps.select("fp").mapInPandas(run, "key long, role byte, fp long")
+    return fps.select("fp").mapInPandas(run, "key long, flips byte, fp long")
 
 
 def _ball(fps: DataFrame, radius: int) -> DataFrame:
@@ -187,24 +211,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     rows = materialize(fingerprints(docs, id_col, text), "fingerprints")
     groups = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("_least"), F.count("*").alias("_rows")), "groups")
     keys = materialize(_keyed(groups), "keys")
-    roles = F.expr("bit_or(shiftleft(1, cast(role as int)))").alias("_roles")
-    count = keys.groupBy("key").agg(F.count("*").alias("_n"), roles)
-    # shared by two fingerprints in roles that meet: 0 with any, or 1 with 2
-    count = materialize(count.where("_n > 1 and ((_roles & 1) = 1 or _roles >= 6)").select("key", "_n"), "shared")
+    # shared by two fingerprints, of which one comes to the key with at most 1 flip
+    count = keys.groupBy("key").agg(F.count("*").alias("_n"), F.min("flips").alias("_least"))
+    count = materialize(count.where("_n > 1 and _least < 2").select("key", "_n"), "shared")
     total, n_shared = groups.count(), count.count()
     # a bitmap of the shared keys drops the others, nearly all, before any join shuffles them
-    bits = bitmap_bits(64 * n_shared)
+    bits = bitmap_bits(8 * n_shared)
     pages = materialize(bitmap(count, F.xxhash64("key"), bits), "pages")
-    hits = materialize(in_bitmap(keys.select("key", "fp"), F.xxhash64("key"), pages, bits, "_may").where("_may").drop("_may"), "hits")
+    hits = materialize(in_bitmap(keys, F.xxhash64("key"), pages, bits, "_may").where("_may").drop("_may"), "hits")
     dense = count.where(F.col("_n") > DENSE)
-    # buckets with at least 1/HEAVY of all fingerprints: a fingerprint has at most 74 keys, so there are at most 74 x HEAVY
+    # buckets with at least 1/HEAVY of all fingerprints: a fingerprint has at most MOST_KEYS keys, so there are at most MOST_KEYS x HEAVY
     heavy = materialize(dense.where(F.col("_n") >= max(DENSE + 1, -(-total // HEAVY))).select("key"), "heavykeys")
     few = hits.join(F.broadcast(heavy), "key", "left_anti").join(count.where(F.col("_n") <= DENSE), "key", "left_semi")
     few = materialize(few, "few")
-    a, b = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
-    links = a.join(b, "key").where(f"a < b and bit_count(a ^ b) <= {DISTANCE}").select("a", "b").distinct()
+    a, b = few.where("flips < 2").select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
+    close = a.join(b, "key").where(f"a <> b and bit_count(a ^ b) <= {DISTANCE}")
+    links = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if dense.limit(1).count():
-        links = links.unionByName(_dense_links(hits, dense.select("key"), heavy))
+        links = links.unionByName(_dense_links(hits.select("key", "fp"), dense.select("key"), heavy))
     part = components(links)
     known = groups.join(part, groups["fp"] == part["node"], "left").select("fp", "_least", "_rows", F.coalesce("component", "fp").alias("_part"))
     known = materialize(known, "known")
