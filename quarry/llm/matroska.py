@@ -20,7 +20,9 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, DURATION, MUXER, WRITER = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, AUDIO, RATE, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
+ENCODINGS, ENCODING, COMPRESSION, COMPRESSION_KIND, COMPRESSION_SETTINGS, ENCRYPTION = 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255, 0x5035
+ZLIB, STRIPPED = 0, 3
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 SEEK_HEAD, CHAPTERS, ATTACHMENTS, TAGS = 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367
 #: Elements at the level of a cluster: one of these ends a cluster or segment of unknown size.
@@ -99,23 +101,30 @@ def mux(payload: bytes, lacing: int | None = None) -> bytes:
 
 
 class Packet(NamedTuple):
+    """One frame: its bytes lie at offset; cluster is the number and cluster_offset the first byte of its cluster element, to which cues point."""
+
     track: int
+    codec: str
     timestamp_ns: int
     offset: int
     size: int
     cluster: int
+    cluster_offset: int
+    cluster_time_ns: int
     block: int
     lace: int
     keyframe: bool
+    cued: bool  # a cue of this track points to the cluster
 
 
 class Parsed(NamedTuple):
     packets: list[Packet]
     tracks: dict[int, str]
-    cues: list[tuple[int, int, int]]
-    clusters: list[int]
+    cues: list[tuple[int, int, int]]  # time in timestamp units, track, first byte of the cluster element
+    clusters: list[int]  # first bytes of the cluster elements
     timestamp_scale: int
     error: str | None
+    encodings: dict[int, tuple[int, bytes]]  # by track, where its frames are compressed: ZLIB, or STRIPPED and the bytes left out
 
 
 def _vint(data: bytes, at: int, marker: bool) -> tuple[int, int, bool]:
@@ -131,6 +140,12 @@ def _vint(data: bytes, at: int, marker: bool) -> tuple[int, int, bool]:
 
 def _children(data: bytes, at: int, end: int, unknown: bool = False) -> Iterator[tuple[int, int, int, bool]]:
     """(id, first byte of the body, end, unknown size) of the elements in a range; an unknown range ends before a TOP element."""
+    for _, ident, body, stop, open_ in _placed(data, at, end, unknown):
+        yield ident, body, stop, open_
+
+
+def _placed(data: bytes, at: int, end: int, unknown: bool = False) -> Iterator[tuple[int, int, int, int, bool]]:
+    """The elements as _children has them, each behind the first byte of the element itself."""
     while at < end:
         ident, body, _ = _vint(data, at, True)
         if unknown and ident in TOP:
@@ -139,7 +154,7 @@ def _children(data: bytes, at: int, end: int, unknown: bool = False) -> Iterator
         stop = end if open_ else body + size
         if stop > end and ident not in (SEGMENT, CLUSTER):
             raise ValueError(f"element at {at} runs past its parent")
-        yield ident, body, min(stop, end), open_
+        yield at, ident, body, min(stop, end), open_
         if stop > end:
             raise ValueError(f"element at {at} is cut off")
         if open_:
@@ -186,14 +201,15 @@ def _block(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple[in
 
 
 def parse(data: bytes) -> Parsed:
-    """Packets of every track in file order, tracks' codecs, cues and cluster offsets.
+    """Packets of every track in file order, tracks' codecs and frame encodings, cues and cluster offsets.
 
-    Frames of a laced block are spaced by their number of samples where the track is 8-bit PCM at a known rate, else
+    A frame of a SimpleBlock is a keyframe by its flag, one of a BlockGroup when no other block is referred to. Frames of a laced block are spaced by their number of samples where the track is 8-bit PCM at a known rate, else
     they share the block's time. A damaged file gives what was read up to there, and error.
     """
     packets: list[Packet] = []
     tracks: dict[int, str] = {}
     rates: dict[int, float] = {}
+    encodings: dict[int, tuple[int, bytes]] = {}
     cues, clusters, scale, error = [], [], 1_000_000, None
     number = lambda a, b: int.from_bytes(data[a:b], "big")
     try:
@@ -203,7 +219,7 @@ def parse(data: bytes) -> Parsed:
             if ident != SEGMENT:
                 continue
             first = body
-            for ident, body, end, open_ in _children(data, body, end):
+            for place, ident, body, end, open_ in _placed(data, body, end):
                 if ident == INFO:
                     scale = next((number(a, b) for i, a, b, _ in _children(data, body, end) if i == TIMESTAMP_SCALE), scale)
                 elif ident == TRACKS:
@@ -216,36 +232,60 @@ def parse(data: bytes) -> Parsed:
                                 rate = next((data[c:d] for j, c, d, _ in _children(data, *own[AUDIO]) if j == RATE), b"")
                                 if len(rate) in (4, 8):
                                     rates[track] = struct.unpack(">d" if len(rate) == 8 else ">f", rate)[0]
+                            if ENCODINGS in own:
+                                encodings[track] = _encoding(data, *own[ENCODINGS])
                 elif ident == CUES:
                     for i, a, b, _ in _children(data, body, end):
                         if i == CUE_POINT:
-                            own = {j: (c, d) for j, c, d, _ in _children(data, a, b)}
-                            place = {j: number(c, d) for j, c, d, _ in _children(data, *own[CUE_POSITIONS])}
-                            cues.append((number(*own[CUE_TIME]), place[CUE_TRACK], first + place[CUE_CLUSTER]))
+                            own = list(_children(data, a, b))
+                            time = next(number(c, d) for j, c, d, _ in own if j == CUE_TIME)
+                            for position in [(c, d) for j, c, d, _ in own if j == CUE_POSITIONS]:
+                                to = {j: number(c, d) for j, c, d, _ in _children(data, *position)}
+                                cues.append((time, to[CUE_TRACK], first + to[CUE_CLUSTER]))
                 elif ident == CLUSTER:
-                    clusters.append(body)
+                    clusters.append(place)
                     base, n = 0, 0
                     for i, a, b, _ in _children(data, body, end, unknown=open_):
                         if i == TIMESTAMP:
                             base = number(a, b)
-                        blocks = [(a, b)] if i == SIMPLE_BLOCK else [(c, d) for j, c, d, _ in _children(data, a, b) if j == BLOCK] if i == BLOCK_GROUP else []
-                        for c, d in blocks:
+                        own = [(SIMPLE_BLOCK, a, b, False)] if i == SIMPLE_BLOCK else list(_children(data, a, b)) if i == BLOCK_GROUP else []
+                        alone = all(j != REFERENCE_BLOCK for j, *_ in own)
+                        for c, d in [(c, d) for j, c, d, _ in own if j in (SIMPLE_BLOCK, BLOCK)]:
                             track, time, flags, frames = _block(data, c, d)
                             when = (base + time) * scale
                             spaced = 1e9 / rates[track] if tracks.get(track, "").startswith("A_PCM") and rates.get(track) else 0
                             done = 0
                             for k, (at, size) in enumerate(frames):
-                                packets.append(Packet(track, when + round(done * spaced), at, size, len(clusters) - 1, n, k, bool(flags & 0x80)))
+                                key = bool(flags & 0x80) if i == SIMPLE_BLOCK else alone
+                                packets.append(Packet(track, tracks.get(track, ""), when + round(done * spaced), at, size, len(clusters) - 1, place, base * scale, n, k, key, False))
                                 done += size
                             n += 1
-    except (ValueError, IndexError, KeyError, struct.error) as e:
+    except (ValueError, IndexError, KeyError, StopIteration, struct.error) as e:
         error = str(e) or type(e).__name__
-    return Parsed(packets, tracks, cues, clusters, scale, error)
+    pointed = {(track, at) for _, track, at in cues}
+    packets = [p._replace(cued=True) if (p.track, p.cluster_offset) in pointed else p for p in packets]
+    return Parsed(packets, tracks, cues, clusters, scale, error, encodings)
+
+
+def _encoding(data: bytes, at: int, end: int) -> tuple[int, bytes]:
+    """How a track's frames are compressed; only one layer of zlib or of header stripping can be read."""
+    layers = [list(_children(data, a, b)) for i, a, b, _ in _children(data, at, end) if i == ENCODING]
+    if len(layers) != 1 or any(i == ENCRYPTION for i, *_ in layers[0]):
+        raise ValueError("frames in several encodings or encrypted")
+    own = {j: data[c:d] for i, a, b, _ in layers[0] if i == COMPRESSION for j, c, d, _ in _children(data, a, b)}
+    kind = int.from_bytes(own.get(COMPRESSION_KIND, b"\0"), "big")
+    if kind not in (ZLIB, STRIPPED):
+        raise ValueError(f"frames in unknown compression {kind}")
+    return kind, own.get(COMPRESSION_SETTINGS, b"")
 
 
 def read_back(data: bytes, parsed: Parsed, track: int = 1) -> bytes:
-    """The track's frames in file order, joined."""
-    return b"".join([data[p.offset : p.offset + p.size] for p in parsed.packets if p.track == track])
+    """The track's frames in file order as its codec wrote them, joined: headers that were left out are put back, zlib is undone."""
+    frames = [data[p.offset : p.offset + p.size] for p in parsed.packets if p.track == track]
+    if track in parsed.encodings:
+        kind, settings = parsed.encodings[track]
+        frames = [zlib.decompress(f) if kind == ZLIB else settings + f for f in frames]
+    return b"".join(frames)
 
 
 def feature(payload: bytes, parsed: Parsed) -> str:
@@ -274,11 +314,11 @@ def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     return id_back(narrow.mapInPandas(run, "_id string, media binary"), docs, id_col)
 
 
-PACKETS = "track int, timestamp_ns long, offset long, size long, cluster int, block int, lace int, keyframe boolean"
+PACKETS = "track int, codec string, timestamp_ns long, offset long, size long, cluster int, cluster_offset long, cluster_time_ns long, block int, lace int, keyframe boolean, cued boolean"
 
 
 def packets(media: DataFrame, id_col: str = "doc_id", column: str = "media") -> DataFrame:
-    """Packet table of a binary column: one row per frame with track, time and byte range, in file order within a file.
+    """Packet table of a binary column: one row per frame with track, codec, time, byte range, cluster and cue, in file order within a file.
 
     A damaged file gives its packets up to the damage, then one row with error set and the rest
     null; so does a null or empty value. Other columns are left out.

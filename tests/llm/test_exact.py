@@ -128,6 +128,34 @@ def test_unknown_sizes_and_block_groups():
     assert [(p.timestamp_ns, data[p.offset : p.offset + p.size]) for p in found.packets] == [(15_000_000, frame)] * 2
 
 
+def test_a_file_of_another_writer():
+    """Written here by hand: two tracks, header stripping, void elements, a reference, lacing in three kinds, cues for both tracks."""
+    def element(ident, body):
+        ident = bytes.fromhex(ident)
+        return ident + b"\x10" + len(body).to_bytes(3, "big") + body
+
+    stripped = element("6D80", element("6240", element("5034", element("4254", b"\x03") + element("4255", b"HEAD"))))
+    tracks = element("1654AE6B", element("AE", element("D7", b"\x01") + element("86", b"V_TEST") + stripped) + element("AE", element("D7", b"\x02") + element("86", b"A_TEST")))
+    void = element("EC", b"\xa3\xa3\xa3")
+    one = element("1F43B675", element("E7", b"\x00") + void + element("A3", b"\x81\x00\x00\x80" + b"abc") + element("A0", element("A1", b"\x82\x00\x02\x02\x01\x02" + b"xyZ" + b"more") + element("FB", b"\xff")))
+    ebml_laced = b"\x82\x00\x00\x06\x02" + b"\x83" + b"\xbe" + b"111" + b"22" + b"33333"  # sizes 3, 3 - 1, rest
+    two = element("1F43B675", element("E7", b"\x64") + element("A0", element("A1", b"\x81\xff\xff\x80" + b"def")) + element("A3", ebml_laced))
+    info = element("1549A966", element("2AD7B1", (500_000).to_bytes(3, "big")))
+    at = len(info) + len(tracks)
+    position = lambda track, to: element("B7", element("F7", bytes([track])) + element("F1", to.to_bytes(4, "big")))
+    cues = element("1C53BB6B", element("BB", element("B3", b"\x00") + position(1, at) + position(2, at)) + element("BB", element("B3", b"\x64") + position(2, at + len(one))))
+    head = element("1A45DFA3", element("4282", b"matroska"))
+    data = head + element("18538067", info + tracks + one + two + cues)
+    found = matroska.parse(data)
+    assert found.error is None and found.tracks == {1: "V_TEST", 2: "A_TEST"} and found.encodings == {1: (3, b"HEAD")}
+    assert matroska.read_back(data, found, 1) == b"HEADabcHEADdef" and matroska.read_back(data, found, 2) == b"xyZmore1112233333"
+    assert [(p.track, p.timestamp_ns, p.size, p.keyframe, p.cued) for p in found.packets] == [
+        (1, 0, 3, True, True), (2, 1_000_000, 2, False, True), (2, 1_000_000, 5, False, True),
+        (1, 99 * 500_000, 3, True, False), (2, 50_000_000, 3, False, True), (2, 50_000_000, 2, False, True), (2, 50_000_000, 5, False, True)]
+    assert {c for _, _, c in found.cues} == set(found.clusters) and len(found.cues) == 3
+    assert all(p.cluster_offset == found.clusters[p.cluster] and p.cluster_time_ns == (0, 50_000_000)[p.cluster] for p in found.packets)
+
+
 def test_damaged_files_keep_what_was_read(spark):
     data = matroska.mux(bytes(20_000))
     whole, cut = matroska.parse(data), matroska.parse(data[:15_000])
