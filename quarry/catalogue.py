@@ -69,10 +69,14 @@ def rel_null_safe_filter(spark, d):
     return df.select("id", k(C.eq("optional", None)).alias("is_null"), k(C.ne("optional", 10)).alias("not_ten"), k(C.gt("optional", 50)).alias("big"))
 
 
-@query("select p_partkey, p_size from part where p_name like '%a%' and p_size in (1, 5, 9) and p_retailprice between 900 and 1500 and p_brand is not null")
+_LIKE = """SELECT p_partkey, p_size FROM part WHERE p_name LIKE '%a%' AND p_size IN (1, 5, 9) AND p_retailprice BETWEEN 900 AND 1500 AND p_brand IS NOT NULL AND p_type NOT LIKE 'X%'"""
+
+
+@query(_LIKE)
 def rel_like_in_between(spark, d):
-    df = table(spark, d, "part")
-    return df.where(F.col("p_name").like("%a%") & F.col("p_size").isin(1, 5, 9) & F.col("p_retailprice").between(900, 1500) & F.col("p_brand").isNotNull()).select("p_partkey", "p_size")
+    e = Engine(spark)
+    e.register("part", table(spark, d, "part"))
+    return e.execute(_LIKE)
 
 
 _CASE = """SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'small' END AS class,
@@ -101,13 +105,14 @@ def _join(how: str, sql_how: str, extra: str = ""):
     name = f"rel_join_{how}"
 
     def run(spark, d):
-        a = table(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_nationkey")
-        b = table(spark, d, "orders").where("o_custkey % 3 = 0").select("o_orderkey", "o_custkey")
-        out = R.join(a, b, [("c_custkey", "o_custkey")], how)
+        a = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+        b = table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 25).cast("int").alias("o_nation"))
+        out = R.join(a, b, [("c_custkey", "o_custkey"), ("c_nationkey", "o_nation")], how)  # orders of another nation stay unmatched
         return out.select(*[F.coalesce(c, F.lit(-1)).alias(c) for c in out.columns])
 
     run.__name__ = name
-    sql = f"select coalesce(c_custkey, -1) as c_custkey, coalesce(c_nationkey, -1) as c_nationkey, coalesce(o_orderkey, -1) as o_orderkey, coalesce(o_custkey, -1) as o_custkey from (select * from customer where c_custkey % 2 = 0) {sql_how} join (select * from orders where o_custkey % 3 = 0) on c_custkey is not distinct from o_custkey"
+    columns = ", ".join(f"coalesce({c}, -1) as {c}" for c in ("c_custkey", "c_nationkey", "o_orderkey", "o_custkey", "o_nation"))
+    sql = f"select {columns} from customer {sql_how} join (select *, (o_orderkey % 25)::int as o_nation from orders) on c_custkey is not distinct from o_custkey and c_nationkey is not distinct from o_nation"
     return query(sql)(run)
 
 
@@ -131,14 +136,18 @@ _EXISTS = "SELECT c_custkey FROM customer WHERE {} EXISTS (SELECT 1 FROM orders
 
 @query(_EXISTS.format(""))
 def rel_semi_exists(spark, d):
-    big = table(spark, d, "orders").where("o_totalprice > 150000")
-    return table(spark, d, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    e = Engine(spark)
+    e.register("customer", table(spark, d, "customer"))
+    e.register("orders", table(spark, d, "orders"))
+    return e.execute(_EXISTS.format(""))
 
 
 @query(_EXISTS.format("NOT"))
 def rel_anti_not_exists(spark, d):
-    big = table(spark, d, "orders").where("o_totalprice > 150000")
-    return table(spark, d, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    e = Engine(spark)
+    e.register("customer", table(spark, d, "customer"))
+    e.register("orders", table(spark, d, "orders"))
+    return e.execute(_EXISTS.format("NOT"))
 
 
 _SCALAR = "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > (SELECT AVG(s_acctbal) FROM supplier)"
@@ -286,15 +295,18 @@ def graph_bfs_distance(spark, d):
     return g.distances([start], BOTH, 4).select("id", "depth")
 
 
-@query(f"""with recursive {_E}, s as (select min(src) as s from e), w as (select src, dst, ((src + dst) % 7 + 1)::double as w from u),
-r as (select s as id, 0.0::double as dist, 0 as hop from s union select w.dst, r.dist + w.w, hop + 1 from r join w on w.src = r.id where hop < 6 and r.dist + w.w <= 12)
-select id, min(dist) as distance from r group by id""")
+def _weighted_sql(rounds: int) -> str:
+    parts = [_E, "w as materialized (select src, dst, ((src + dst) % 7 + 1)::double as w from u)", "d0 as materialized (select min(src) as id, 0.0::double as distance from e)"]
+    for k in range(rounds):
+        parts.append(f"d{k + 1} as materialized (select id, min(distance) as distance from (select * from d{k} union all select w.dst, d{k}.distance + w.w from d{k} join w on w.src = d{k}.id) group by id)")
+    return "with " + ", ".join(parts) + f" select id, distance from d{rounds}"
+
+
+@query(_weighted_sql(40))
 def graph_weighted_distance(spark, d):
     g = supplier_graph(spark, d)
     start = g.edges.agg(F.min("src")).first()[0]
-    # weights are at least 1; paths to nodes within 12 that the SQL finds have at most 6 hops, so compare these
-    near = g.distances([start], OUT, 6).select("id")
-    return g.weighted_distances(start).where("distance <= 12").join(near, "id", "left_semi").select("id", "distance")
+    return g.weighted_distances(start).select("id", "distance")
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -362,19 +374,43 @@ def graph_harmonic_within_3(spark, d):
     return rounded(out.agg(F.count(F.lit(1)).alias("reached"), F.sum(F.when(F.col("depth") > 0, 1 / F.col("depth")).otherwise(0.0)).alias("harmonic")), "harmonic")
 
 
-@query()
+#: Distances between all suppliers, by breadth first up to 24 steps; more than the graph's diameter.
+_FAR = """r as (select s_suppkey as source, s_suppkey as id, 0 as depth from supplier union select r.source, u.dst, depth + 1 from r join u on u.src = r.id where depth < 24),
+far as materialized (select source, id, min(depth) as depth from r group by all)"""
+
+
+@query(f"""with recursive {_E}, {_FAR}, n as (select count(*) as n from supplier)
+select source as id, round(coalesce(sum(case when depth > 0 then 1 / depth end), 0) / greatest(1, max(n) - 1), 8) as score from far, n group by source""")
 def graph_closeness(spark, d):
-    return A.closeness(supplier_graph(spark, d))
+    return rounded(A.closeness(supplier_graph(spark, d)), "score", digits=8)
 
 
-@query()
+def _betweenness_sql(levels: int) -> str:
+    parts = [_E, _FAR, "s0 as materialized (select source, id, 1.0::double as n from far where depth = 0)"]
+    for k in range(1, levels + 1):
+        parts.append(f"s{k} as materialized (select p.source, u.dst as id, sum(p.n) as n from s{k - 1} p join u on u.src = p.id join far f on f.source = p.source and f.id = u.dst and f.depth = {k} group by all)")
+    parts.append("sigma as materialized (select f.source, f.id, f.depth, n from far f join (" + " union all ".join(f"select * from s{k}" for k in range(levels + 1)) + ") s on s.source = f.source and s.id = f.id)")
+    # paths from s to t through v: those from s to v times those from v to t, where the distances add up
+    parts.append("b as (select sv.id, sum(sv.n * vt.n / st.n) as twice from sigma sv join sigma vt on vt.source = sv.id and sv.depth > 0 and vt.depth > 0 join sigma st on st.source = sv.source and st.id = vt.id and st.depth = sv.depth + vt.depth group by sv.id)")
+    return "with recursive " + ", ".join(parts) + " select s_suppkey as id, round(coalesce(twice / 2, 0), 6) as score from supplier left join b on b.id = s_suppkey"
+
+
+@query(_betweenness_sql(24))
 def graph_betweenness(spark, d):
-    return A.betweenness(supplier_graph(spark, d))
+    return rounded(A.betweenness(supplier_graph(spark, d)), "score")
 
 
-@query()
+def _eigenvector_sql(rounds: int) -> str:
+    parts = [_E, "v0 as (select s_suppkey as id, 1.0::double / count(*) over () as score from supplier)"]
+    for k in range(rounds):
+        parts.append(f"g{k} as materialized (select v.id, coalesce(g.got, 0) as raw from v{k} v left join (select u.dst as id, sum(q.score) as got from u join v{k} q on q.id = u.src group by u.dst) g on g.id = v.id)")
+        parts.append(f"v{k + 1} as materialized (select id, raw / (select sqrt(sum(raw * raw)) from g{k}) as score from g{k})")
+    return "with " + ", ".join(parts) + f" select id, round(score, 8) as score from v{rounds}"
+
+
+@query(_eigenvector_sql(40))
 def graph_eigenvector(spark, d):
-    return A.eigenvector(supplier_graph(spark, d), rounds=10)
+    return rounded(A.eigenvector(supplier_graph(spark, d), tolerance=0, rounds=40), "score", digits=8)
 
 
 @query()
@@ -387,7 +423,16 @@ def graph_louvain(spark, d):
     return A.louvain(supplier_graph(spark, d), "weight")
 
 
-@query()
+def _cores_sql(rounds: int) -> str:
+    """Core numbers are where h-indices of the neighbours' numbers settle, from the degrees down."""
+    parts = [_E, "c0 as (select s_suppkey as id, coalesce(d, 0) as core from supplier left join deg on deg.id = s_suppkey)"]
+    for k in range(rounds):
+        ranked = f"select u.src as id, least(q.core, row_number() over (partition by u.src order by q.core desc)) as h from u join c{k} q on q.id = u.dst"
+        parts.append(f"c{k + 1} as materialized (select c.id, coalesce(max(h), 0) as core from c{k} c left join ({ranked}) r on r.id = c.id group by c.id)")
+    return "with " + ", ".join(parts) + f" select id, core::int as core from c{rounds}"
+
+
+@query(_cores_sql(20))
 def graph_core_numbers(spark, d):
     return A.core_numbers(supplier_graph(spark, d))
 
@@ -397,9 +442,40 @@ def graph_spanning_forest(spark, d):
     return A.spanning_forest(supplier_graph(spark, d))
 
 
-@query()
+def _around(spark, d) -> Graph:
+    """The directed supplier graph with every third link turned round, so that it has cycles."""
+    g = supplier_graph(spark, d, directed=True)
+    back = (F.col("src") + F.col("dst")) % 3 == 0
+    turned = g.edges.withColumns({"src": F.when(back, F.col("dst")).otherwise(F.col("src")), "dst": F.when(back, F.col("src")).otherwise(F.col("dst"))})
+    return Graph(g.nodes, turned)
+
+
+@query(f"""with recursive {_E}, a as (select case when (src + dst) % 3 = 0 then dst else src end as src, case when (src + dst) % 3 = 0 then src else dst end as dst from e),
+r as (select s_suppkey as source, s_suppkey as id from supplier union select r.source, a.dst from r join a on a.src = r.id)
+select x.source as id, min(x.id) as component from r x join r y on y.source = x.id and y.id = x.source group by x.source""")
 def graph_strongly_connected(spark, d):
-    return A.strongly_connected(supplier_graph(spark, d, directed=True))
+    return A.strongly_connected(_around(spark, d))
+
+
+@query(f"""with recursive {_E}, w as (select src, dst, (src + dst) % 7 + 1 as w from e), cut as (select unnest(range(0, 8)) as c),
+r as (select c, s_suppkey as id, s_suppkey as root from supplier, cut union select r.c, u.dst, r.root from r join u on u.src = r.id where (u.src + u.dst) % 7 + 1 <= r.c),
+parts as (select c, count(distinct root) as n from (select c, id, min(root) as root from r group by all) group by c)
+select (select count(*) from supplier) - (select n from parts where c = 7) as links, sum(a.c * (b.n - a.n))::double as total, (select n from parts where c = 7) as trees
+from parts a join parts b on b.c = a.c - 1""")
+def graph_spanning_forest_total(spark, d):
+    g = supplier_graph(spark, d)
+    forest = A.spanning_forest(g).agg(F.count(F.lit(1)).alias("links"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("total"))
+    return forest.withColumn("trees", F.lit(g.nodes.count()).cast("long") - F.col("links"))
+
+
+@query(f"""with recursive {_E}, r as (select v.s_suppkey as cut, s.s_suppkey as id, s.s_suppkey as root from supplier v, supplier s where v.s_suppkey <> s.s_suppkey
+  union select r.cut, u.dst, r.root from r join u on u.src = r.id where u.dst <> r.cut),
+whole as (select s_suppkey as id, s_suppkey as root from supplier union select u.dst, w.root from whole w join u on u.src = w.id),
+n as (select count(distinct root) as n from (select id, min(root) as root from whole group by id)),
+c as (select cut, count(distinct root) as parts from (select cut, id, min(root) as root from r group by all) group by cut)
+select cut as id from c, n where parts > n""")
+def graph_articulation(spark, d):
+    return A.biconnected(supplier_graph(spark, d)).where("kind = 'articulation'").select(F.col("a").alias("id"))
 
 
 @query()
@@ -454,7 +530,7 @@ def vec_topk_per_label(spark, d):
 
 @query(f"select count(*) as n from embeddings where label in (1, 2)")
 def vec_count_filtered(spark, d):
-    return table(spark, d, "embeddings").where(C.compile_condition(C.is_in("label", [1, 2]), "meta")).agg(F.count(F.lit(1)).alias("n"))
+    return S.count_matching(table(spark, d, "embeddings"), C.is_in("label", [1, 2]))
 
 
 @query("select vec_id, len(list_filter(embedding, lambda x: x = 0)) / len(embedding) as sparsity, round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) as norm from embeddings")
@@ -462,9 +538,9 @@ def vec_sparsity(spark, d):
     return table(spark, d, "embeddings").select("vec_id", V.sparsity(F.col("embedding")).alias("sparsity"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
 
 
-@query("select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.35")
+@query("select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.35")
 def vec_near_duplicates(spark, d):
-    return rounded(S.near_pairs(table(spark, d, "embeddings"), 0.35, key="vec_id", block="label"), "score")
+    return rounded(S.near_pairs(table(spark, d, "embeddings"), 0.35, key="vec_id"), "score")
 
 
 @query("select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double)), 5) as total from embeddings")
@@ -474,7 +550,9 @@ def vec_sparse_round_trip(spark, d):
     return rows.select("vec_id", F.round(V.total(F.col("back")), 5).alias("total"))
 
 
-@query()
+@query("""with q as (select vec_id, embedding::double[] as v, list_min(embedding::double[]) as low, (list_max(embedding::double[]) - list_min(embedding::double[])) / 255 as scale from embeddings),
+b as (select vec_id, v, list_transform(v, lambda x: case when scale = 0 then low else low + round((x - low) / scale) * scale end) as back from q)
+select vec_id, round(list_cosine_similarity(v, back), 3) as kept, list_sum(list_transform(v[2:64], lambda x, i: case when x > 0 then 1::bigint << (63 - i)::int else 0 end))::bigint + case when v[1] > 0 then -9223372036854775808 else 0 end as code from b""")
 def vec_quantized(spark, d):
     rows = table(spark, d, "embeddings")
     back = V.dequantize_u8(V.quantize_u8(F.col("embedding")))
@@ -599,12 +677,18 @@ def svc_blob_dedup(spark, d):
     return services.blob_stats(services.chunked(files, 4096)).select("artifacts", "chunks", "bytes", "stored_chunks")
 
 
-@query("select layer, count(*) as n from (select case when p.text is null then 'miss' else 'exact' end as layer from conversations c left join (select distinct text from conversations where turn = 0) p on p.text = c.text) group by layer")
+@query(f"""with c as (select vec_id as key, 'p' || vec_id % 50 as prompt, label, embedding::double[] as v from embeddings where vec_id % 10 = 0),
+r as (select vec_id as request, 'p' || vec_id % 60 as prompt, label, embedding::double[] as v from embeddings where vec_id % 10 = 5),
+e as (select request, c.key from r join (select prompt, min(key) as key from c group by prompt) c using (prompt)),
+s as (select r.request, arg_max(c.key, (list_cosine_similarity(r.v, c.v), c.key)) as key from r join c on c.label = r.label where r.request not in (select request from e) and list_cosine_similarity(r.v, c.v) >= 0.1 group by r.request)
+select r.request, coalesce(e.key, s.key) as key, case when e.key is not null then 'exact' when s.key is not null then 'semantic' else 'miss' end as layer from r left join e using (request) left join s using (request)""")
 def svc_cache_layers(spark, d):
-    turns = table(spark, d, "conversations")
-    cached = turns.where("turn = 0").select(F.col("text").alias("prompt")).distinct()
-    looked = turns.join(cached, F.col("text") == F.col("prompt"), "left").withColumn("layer", F.when(F.col("prompt").isNull(), "miss").otherwise("exact"))
-    return services.cache_stats(looked)
+    rows = table(spark, d, "embeddings")
+    named = lambda part, n, key: rows.where(part).select(F.col("vec_id").alias(key), F.concat(F.lit("p"), F.col("vec_id") % n).alias("prompt"), F.col("label").alias("model"), "embedding")
+    cached = named("vec_id % 10 = 0", 50, "key").dropDuplicates(["key"])
+    first = cached.groupBy("prompt").agg(F.min("key").alias("key"))
+    entries = cached.join(first.withColumnRenamed("key", "_first"), "prompt").withColumn("prompt", F.when(F.col("key") == F.col("_first"), F.col("prompt"))).drop("_first")
+    return services.cache_get_all(entries, named("vec_id % 10 = 5", 60, "request"), 0.1)
 
 
 def _versions(spark, d):
@@ -662,11 +746,11 @@ def svc_heat_diffusion(spark, d):
     return services.diffusion(g, start, degree=5)
 
 
-@query()
+@query("select o_custkey, sum(greatest(1, ceil(log2(o_orderkey + 1) / 7)))::bigint as bytes, true as same from orders group by o_custkey")
 def enc_varint_round_trip(spark, d):
     ids = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
     coded = ids.withColumn("code", encoding.varint(F.col("ids")))
-    return coded.select("o_custkey", F.octet_length("code").alias("bytes"), (encoding.unvarint(F.col("code")) == F.col("ids")).alias("same"))
+    return coded.select("o_custkey", F.octet_length("code").cast("long").alias("bytes"), (encoding.unvarint(F.col("code")) == F.col("ids")).alias("same"))
 
 
 @query()
@@ -688,10 +772,10 @@ def dis_range_skew(spark, d):
     return partitioning.skew(sharded, 3)
 
 
-@query("select token, count(distinct doc_id) as docs from (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as token from documents) where strlen(token) >= 3 group by token having count(distinct doc_id) >= 20")
+@query("select token, count(distinct doc_id) as docs from (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as token from documents) where strlen(token) >= 2 and token not in ('a', 'an', 'the', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'is', 'it') group by token having count(distinct doc_id) >= 20")
 def text_token_index(spark, d):
     docs = table(spark, d, "documents")
-    return text.token_index(docs, "doc_id", "text", 3).groupBy("token").agg(F.count_distinct("doc_id").alias("docs")).where("docs >= 20")
+    return text.token_index(docs, "doc_id", "text", 2, text.STOP_WORDS).groupBy("token").agg(F.count_distinct("doc_id").alias("docs")).where("docs >= 20")
 
 
 @query(f"""with recursive {_E}, s as (select min(src) as s from e),
@@ -706,26 +790,41 @@ def graph_all_shortest_paths(spark, d):
     return g.shortest_paths(start, goal, BOTH)
 
 
-@query(f"with {_E} select s_suppkey as a, list_sort(list(distinct u.dst)) as neighbours from supplier join u on u.src = s_suppkey group by s_suppkey")
+@query("""with n as (select count(*) as n from embeddings), l as (select vec_id as a, (vec_id * 7 + 3) % n as b from embeddings, n), u as (select a, b from l union select b, a from l)
+select vec_id as key, label, list_sort(list(distinct u.b)) as neighbours, round(embedding[1]::double, 5) as first_value from embeddings join u on u.a = vec_id group by vec_id, label, embedding""")
 def uni_entity_view(spark, d):
-    g = supplier_graph(spark, d)
-    links = g.edges.select(F.col("src").alias("src_key"), F.col("dst").alias("dst_key"))
-    entities = g.nodes.select(F.col("id").alias("key"))
-    view = unified.entity_view(entities, links, entities.withColumn("embedding", F.array(F.lit(0.0))))
-    return view.where("neighbours is not null").select(F.col("key").alias("a"), "neighbours")
+    rows = table(spark, d, "embeddings").withColumnRenamed("vec_id", "key")
+    n = rows.count()
+    links = rows.select(F.col("key").alias("src_key"), ((F.col("key") * 7 + 3) % n).alias("dst_key"))
+    view = unified.entity_view(rows.select("key", "label"), links, rows)
+    return view.select("key", "label", "neighbours", F.round(F.col("embedding")[0].cast("double"), 5).alias("first_value"))
 
 
 _PAIR = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
 
 
-@query(f"""with p as (select a.vec_id as x, b.vec_id as y, {_PAIR} as s from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id),
+@query(f"""with p as (select a.vec_id as x, b.vec_id as y, {_PAIR} as s from embeddings a join embeddings b on a.vec_id <> b.vec_id),
 m as (select x, arg_max(y, s) as y, max(s) as s from p group by x) select distinct least(x, y) as a, greatest(x, y) as b, round(s, 6) as score from m where s >= 0.3""")
 def svc_nearest_other(spark, d):
-    return rounded(services.nearest_other(table(spark, d, "embeddings"), 0.3, "label", "vec_id"), "score")
-
-
-@query(f"""select case when c >= 0.99 then 'Identical' when c <= -0.95 then 'Opposite' when abs(c) < 0.1 and false then 'Orthogonal' when k and abs(c) >= 0.5 then 'Conflicting' when abs(c) >= 0.3 then 'Ambiguous' else 'LowConflict' end as class, count(*) as n
-from (select {_PAIR} as c, a.vec_id % 5 = b.vec_id % 5 as k from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id) group by 1""")
+    return rounded(services.nearest_other(table(spark, d, "embeddings"), 0.3, "vec_id"), "score")
+
+
+@query("""with r as (
+  select vec_id as id, list_transform(embedding::double[], lambda x: case when abs(x) < 0.15 then 0.0::double else x end) as v,
+    list_distinct(case when vec_id % 2 = 0 then [vec_id % 5] else [vec_id % 5, vec_id % 7] end) as k from embeddings),
+d as (select * from r union all select id + 1000000, v, k from r where id % 10 = 0 union all select id + 2000000, list_transform(v, lambda x: -x), k from r where id % 10 = 0),
+m as (select id, v, k, list_transform(v, lambda x: case when x <> 0 then 1.0::double else 0.0::double end) as u from d),
+p as (
+  select coalesce(list_cosine_similarity(a.v, b.v), 0) as c, list_inner_product(a.u, b.u) as com, list_sum(a.u) + list_sum(b.u) as total,
+    len(list_intersect(a.k, b.k)) as shared, len(a.k) as na, len(b.k) as nb from m a join m b on a.id < b.id),
+q as (select *, case when total = com then 1 else com / (total - com) end as j, shared = na and shared = nb as same from p)
+select case when c >= 0.99 and same then 'Identical' when c <= -0.95 and same then 'Opposite' when abs(c) < 0.1 and j < 0.5 then 'Orthogonal'
+  when c >= 0.7 or j >= 0.5 then 'Conflicting' when shared > 0 then 'Ambiguous' else 'LowConflict' end as class, count(*) as n from q group by 1""")
 def svc_conflict_classes(spark, d):
-    deltas = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.array(F.col("vec_id") % 5).alias("keys"))
-    return services.delta_conflicts(deltas, "label").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    near = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.abs(x) < 0.15, F.lit(0.0)).otherwise(x))
+    part = F.when(F.col("vec_id") % 2 == 0, F.array(F.col("vec_id") % 5)).otherwise(F.array(F.col("vec_id") % 5, F.col("vec_id") % 7))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), near.alias("v"), part.alias("keys"))
+    # a copy of each tenth delta with its keys, and its opposite: identical and opposite pairs
+    tenth = rows.where("id % 10 = 0")
+    copies = tenth.withColumn("id", F.col("id") + 1_000_000).unionByName(tenth.select((F.col("id") + 2_000_000).alias("id"), F.transform("v", lambda x: -x).alias("v"), "keys"))
+    return services.conflict_counts(rows.unionByName(copies))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Stop words that the index leaves out.
-STOP_WORDS = "a an and are as at be by for from has he in is it its of on that the to was were will with".split()
+# Stop words that an index may leave out.
+STOP_WORDS = "a an the and or but in on at to for of is it".split()
 
 
 def tokens(text: Column, least_bytes: int = 1, stop_words: list[str] | None = None) -> Column:

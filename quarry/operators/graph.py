@@ -179,21 +179,30 @@ class Graph:
         kept = rows if node_where is None else rows.where((F.col("id") == F.lit(start)) | (node_where if isinstance(node_where, Column) else compile_condition(node_where, "graph")))
         return kept.orderBy("depth", "id")
 
-    def shortest_paths(self, a, b, direction: str = OUT, max_depth: int | None = None, most: int = MOST_PATHS) -> DataFrame:
-        """path (array of ids) of every shortest path from a to b, at most most of them in order; none if b is out of reach."""
+    def shortest_paths(self, a, b, direction: str = OUT, max_depth: int | None = None, most: int | None = None) -> DataFrame:
+        """path (array of ids) of every shortest path from a to b in order, or the first most of them; none if b is out of reach."""
         reached = settle(self.distances([a], direction, max_depth).select("id", "depth"), "depths")
         goal = reached.where(F.col("id") == F.lit(b)).first()
         kind = self.nodes.schema["id"].dataType.simpleString()
         if goal is None:
             return self.nodes.sparkSession.createDataFrame([], f"path array<{kind}>")
         steps = self.arcs(direction).select("src", "dst").distinct()
-        # backwards from b over steps that lead one level up: only shortest paths are built
-        paths = reached.where(F.col("id") == F.lit(b)).select(F.array("id").alias("path"))
+        # backwards from b, the steps of each level that lead to it; every path along them is a shortest one
+        on, levels = reached.where(F.col("id") == F.lit(b)).select(F.col("id").alias("_on")), []
         for depth in range(goal["depth"] - 1, -1, -1):
             level = reached.where(F.col("depth") == depth).select(F.col("id").alias("_up"))
-            back = steps.join(level, steps["src"] == level["_up"], "left_semi")
-            paths = paths.withColumn("_head", F.col("path")[0]).join(back, F.col("_head") == back["dst"]).select(F.concat(F.array("src"), "path").alias("path"))
-        return paths.orderBy("path").limit(most)
+            levels.append(settle(steps.join(level, steps["src"] == level["_up"], "left_semi").join(on, F.col("dst") == F.col("_on"), "left_semi"), "level"))
+            on = levels[-1].select(F.col("src").alias("_on")).distinct()
+        return self._walk(reached.where(F.col("depth") == 0).select(F.array("id").alias("path")), reversed(levels), most).orderBy("path")
+
+    @staticmethod
+    def _walk(paths: DataFrame, levels, most: int | None) -> DataFrame:
+        """paths grown by one step of each level. As every beginning can be completed, the first most beginnings hold the first most paths."""
+        for steps in levels:
+            paths = paths.withColumn("_tail", F.element_at("path", -1)).join(steps, F.col("_tail") == steps["src"]).select(F.concat("path", F.array("dst")).alias("path"))
+            if most is not None:
+                paths = settle(paths.orderBy("path").limit(most), "paths")
+        return paths
 
     def shortest_path(self, a, b, max_depth: int | None = None) -> DataFrame:
         """The least of the shortest paths, over edges in both directions whatever their own."""
@@ -216,24 +225,35 @@ class Graph:
                 return best
             best = settle(best.join(changed.select("id"), "id", "left_anti").unionByName(changed), "best")
 
-    def weighted_paths(self, a, b, weight_column: str | None = "weight", direction: str = OUT, most: int = MOST_PATHS) -> DataFrame:
-        """(path, total) of every path of least total weight from a to b, at most most of them."""
+    def weighted_paths(self, a, b, weight_column: str | None = "weight", direction: str = OUT, most: int | None = None) -> DataFrame:
+        """(path, total) of every path of least total weight from a to b in order, or the first most of them, without repeated nodes."""
         best = settle(self.weighted_distances(a, weight_column, direction).select("id", "distance"), "dist")
+        goal = best.where(F.col("id") == F.lit(b)).first()
         arcs = self.arcs(direction)
         steps = arcs.select("src", "dst", weight(arcs, weight_column).alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w"))
         tight = steps.join(best.select(F.col("id").alias("src"), F.col("distance").alias("_ds")), "src").join(best.select(F.col("id").alias("dst"), F.col("distance").alias("_dd")), "dst")
         tight = settle(tight.where(F.abs(F.col("_ds") + F.col("w") - F.col("_dd")) < 1e-9).select("src", "dst"), "tight")
-        open_ = best.where(F.col("id") == F.lit(b)).select(F.array("id").alias("path"), F.col("distance").alias("total"))
-        done = open_.where(F.col("path")[0] == F.lit(a))
+        # only steps that lead to b, found backwards
+        on = new = best.where(F.col("id") == F.lit(b)).select("id")
+        while not new.isEmpty():
+            before = tight.join(new, tight["dst"] == new["id"], "left_semi").select(F.col("src").alias("id")).distinct()
+            new = settle(before.join(on, "id", "left_anti"), "new")
+            on = settle(on.unionByName(new), "on")
+        tight = settle(tight.join(on, tight["dst"] == on["id"], "left_semi"), "useful")
+        open_ = self.node(a).select(F.array("id").alias("path")) if goal is not None else best.limit(0).select(F.array("id").alias("path"))
+        done = open_.where(F.col("path")[0] == F.lit(b))
+        open_ = open_.where(F.col("path")[0] != F.lit(b))
         while not open_.isEmpty():
-            grown = open_.withColumn("_head", F.col("path")[0]).where(F.col("_head") != F.lit(a))
-            grown = grown.join(tight, F.col("_head") == tight["dst"]).where(~F.array_contains("path", F.col("src")))
-            open_ = settle(grown.select(F.concat(F.array("src"), "path").alias("path"), "total").orderBy("path").limit(most * 100), "paths")
-            done = done.unionByName(open_.where(F.col("path")[0] == F.lit(a)))
-        return done.orderBy("path").limit(most)
-
-    def simple_paths(self, a, b, least: int = 1, most_hops: int = 5, direction: str = OUT, kind: str | None = None, most: int = MOST_PATHS) -> DataFrame:
-        """path of every simple path of least to most_hops hops, shortest first."""
+            grown = open_.withColumn("_tail", F.element_at("path", -1)).join(tight, F.col("_tail") == tight["src"]).where(~F.array_contains("path", F.col("dst")))
+            grown = grown.select(F.concat("path", F.array("dst")).alias("path"))
+            grown = settle(grown.orderBy("path").limit(most) if most is not None else grown, "paths")
+            done = done.unionByName(grown.where(F.element_at("path", -1) == F.lit(b)))
+            open_ = grown.where(F.element_at("path", -1) != F.lit(b))
+        out = done.withColumn("total", F.lit(goal["distance"] if goal else None).cast("double")).orderBy("path")
+        return out if most is None else out.limit(most)
+
+    def simple_paths(self, a, b, least: int = 1, most_hops: int = 5, direction: str = OUT, kind: str | None = None, most: int | None = None) -> DataFrame:
+        """path of every simple path of least to most_hops hops, shortest first, or the first most of them."""
         if most_hops > MOST_HOPS:
             raise ValueError(f"at most {MOST_HOPS} hops")
         steps = self.arcs(direction, kind).select("src", "dst").distinct()
@@ -246,7 +266,8 @@ class Graph:
                 hit = grown.where(F.element_at("path", -1) == F.lit(b))
                 found = hit if found is None else found.unionByName(hit)
             grown = grown.where(F.element_at("path", -1) != F.lit(b))
-        return found.orderBy(F.size("path"), "path").limit(most)
+        found = found.orderBy(F.size("path"), "path")
+        return found if most is None else found.limit(most)
 
     # aggregates over properties
 
@@ -259,7 +280,7 @@ class Graph:
 
     # patterns
 
-    def match(self, pattern: Pattern, limit: int | None = MOST_MATCHES) -> DataFrame:
+    def match(self, pattern: Pattern, limit: int | None = None) -> DataFrame:
         """Bindings of a path pattern: a column per variable, node and edge ids (or paths for variable lengths).
 
         Matching is homomorphic: nodes and edges may repeat. A variable used twice must bind the

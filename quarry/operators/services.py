@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
 from quarry.operators.graph import BOTH, OUT, Graph
 from quarry.operators.graph_algorithms import eigenvector, louvain, pagerank
-from quarry.operators.vector_search import nearest_centroid, search
+from quarry.operators.vector_search import cosines, each_block_pair, nearest_centroid, search
 from quarry.shared import settle
 
 # Prompt cache: key, prompt, response, embedding, created_at, expires_at, hits, last_hit, cost
@@ -227,19 +229,73 @@ def broken_links(blocks: DataFrame) -> DataFrame:
     return blocks.join(before, "height").where(~F.col("prev_hash").eqNullSafe(F.col("_before"))).drop("_before")
 
 
-def conflict_class(cosine: Column, structure: Column, overlap: Column) -> Column:
-    """Identical, Opposite, Orthogonal, Conflicting, Ambiguous or LowConflict, from vector angle, position and key overlap."""
+# The thresholds that tell the classes of two deltas apart.
+IDENTICAL, OPPOSITE, ORTHOGONAL, CONFLICT, STRUCTURAL = 0.99, -0.95, 0.1, 0.7, 0.5
+CLASSES = ("Identical", "Opposite", "Orthogonal", "Conflicting", "Ambiguous", "LowConflict")
+
+
+def conflict_class(cosine: Column, structure: Column, overlap: Column, same_keys: Column, merge_overlap: bool = False) -> Column:
+    """Class of two deltas from their angle, the Jaccard index of the positions they change, and whether they share any or have the same keys.
+
+    merge_overlap lets deltas that share keys without any other conflict be merged.
+    """
     return (
-        F.when(cosine >= 0.99, "Identical").when(cosine <= -0.95, "Opposite")
-        .when((F.abs(cosine) < 0.1) & (structure < 0.5), "Orthogonal").when(overlap & (F.abs(cosine) >= 0.5), "Conflicting").when(F.abs(cosine) >= 0.3, "Ambiguous").otherwise("LowConflict")
+        F.when((cosine >= IDENTICAL) & same_keys, CLASSES[0]).when((cosine <= OPPOSITE) & same_keys, CLASSES[1])
+        .when((F.abs(cosine) < ORTHOGONAL) & (structure < STRUCTURAL), CLASSES[2]).when((cosine >= CONFLICT) | (structure >= STRUCTURAL), CLASSES[3])
+        .when(overlap & F.lit(not merge_overlap), CLASSES[4]).otherwise(CLASSES[5])
     )
 
 
-def delta_conflicts(deltas: DataFrame, block: str) -> DataFrame:
-    """(a, b, class) for pairs of deltas (id, v, keys) in the same block, such as the objects they touch."""
-    a = deltas.select(F.col(block), F.col("id").alias("a"), F.col("v").alias("va"), F.col("keys").alias("ka"))
-    b = deltas.select(F.col(block), F.col("id").alias("b"), F.col("v").alias("vb"), F.col("keys").alias("kb"))
-    return a.join(b, block).where("a < b").select("a", "b", conflict_class(V.cosine(F.col("va"), F.col("vb")), V.jaccard(F.col("va"), F.col("vb")), F.arrays_overlap("ka", "kb")).alias("class"))
+def delta_conflicts(deltas: DataFrame, classes: tuple[str, ...] = CLASSES, merge_overlap: bool = False) -> DataFrame:
+    """(a, b, class) for all pairs a < b of deltas (id, v, keys) that fall into classes, by matrix products of blocks."""
+    kind = deltas.schema["id"].dataType.simpleString()
+
+    def classed(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        at, x, y = _conflicts(left, right, merge_overlap)
+        keep = np.isin(at, [CLASSES.index(c) for c in classes]) & ((x < y) if same else (x != y))
+        i, j = np.nonzero(keep)
+        x, y = x[i, 0], y[0, j]
+        return pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x), "class": np.array(CLASSES)[at[i, j]]})
+
+    return each_block_pair(deltas.select("id", "v", "keys"), classed, f"a {kind}, b {kind}, class string")
+
+
+def conflict_counts(deltas: DataFrame, merge_overlap: bool = False) -> DataFrame:
+    """(class, n) over all pairs of deltas (id, v, keys); pairs are counted where they are compared."""
+
+    def counted(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        at, x, y = _conflicts(left, right, merge_overlap)
+        n = np.bincount(at[(x < y) if same else (x != y)], minlength=len(CLASSES))
+        return pd.DataFrame({"class": CLASSES, "n": n})
+
+    found = each_block_pair(deltas.select("id", "v", "keys"), counted, "class string, n long")
+    return found.groupBy("class").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def _conflicts(left: pd.DataFrame, right: pd.DataFrame, merge_overlap: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the class of each pair, ids of left as a column, ids of right as a row)."""
+    x, y = left["id"].to_numpy()[:, None], right["id"].to_numpy()[None, :]
+    if not x.size or not y.size:
+        return np.empty((len(left), len(right)), int), x, y
+    a, b = (np.stack([np.asarray(v, float) for v in part["v"]]) for part in (left, right))
+    cosine = cosines(a, b)
+    used, more = (a != 0).astype(float), (b != 0).astype(float)
+    both = used @ more.T
+    either = used.sum(1)[:, None] + more.sum(1)[None, :] - both
+    structure = np.divide(both, either, out=np.ones(both.shape), where=either > 0)
+    keys = [[set(k) if k is not None else set() for k in part["keys"]] for part in (left, right)]
+    number = {k: n for n, k in enumerate(dict.fromkeys(k for part in keys for own in part for k in own))}
+    held = [np.zeros((len(part), len(number))) for part in keys]
+    for table, part in zip(held, keys, strict=True):
+        for row, own in enumerate(part):
+            table[row, [number[k] for k in own]] = 1
+    shared = held[0] @ held[1].T
+    same_keys = (shared == held[0].sum(1)[:, None]) & (shared == held[1].sum(1)[None, :])
+    rules = [
+        (cosine >= IDENTICAL) & same_keys, (cosine <= OPPOSITE) & same_keys, (np.abs(cosine) < ORTHOGONAL) & (structure < STRUCTURAL),
+        (cosine >= CONFLICT) | (structure >= STRUCTURAL), (shared > 0) & (not merge_overlap),
+    ]
+    return np.select(rules, list(range(5)), 5), x, y
 
 
 def merged_deltas(deltas: DataFrame, group: str) -> DataFrame:
@@ -260,13 +316,25 @@ def code_transitions(rows: DataFrame, group: str, order: str, code: str = "code"
     return rows.withColumn("before", F.lag(code).over(w)).where("before is not null").groupBy("before", F.col(code).alias("after")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def nearest_other(rows: DataFrame, threshold: float, block: str, key: str = "key", embedding: str = "embedding") -> DataFrame:
-    """(a, b, score): each row's most similar other row of its block at or above threshold, unordered pairs once."""
-    a = rows.select(block, F.col(key).alias("x"), F.col(embedding).alias("vx"))
-    b = rows.select(block, F.col(key).alias("y"), F.col(embedding).alias("vy"))
-    scored = a.join(b, block).where("x <> y").withColumn("score", V.cosine(F.col("vx"), F.col("vy")))
-    best = scored.groupBy("x").agg(F.max(F.struct("score", "y")).alias("m")).select("x", "m.*").where(F.col("score") >= threshold)
-    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score").distinct()
+def nearest_other(rows: DataFrame, threshold: float, key: str = "key", embedding: str = "embedding") -> DataFrame:
+    """(a, b, score): each row's most similar other row at or above threshold, unordered pairs once; all rows are compared, block by block."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def best(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        out = []
+        for own, others in ((left, right),) if same else ((left, right), (right, left)):
+            if len(own) and len(others):
+                others = others.sort_values("k", ascending=False)  # of equal scores the largest key
+                s = cosines(*(np.stack([np.asarray(v, float) for v in part["v"]]) for part in (own, others)))
+                s[own["k"].to_numpy()[:, None] == others["k"].to_numpy()[None, :]] = -np.inf
+                at = s.argmax(1)
+                out.append(pd.DataFrame({"x": own["k"].to_numpy(), "y": others["k"].to_numpy()[at], "score": s[np.arange(len(own)), at]}))
+        found = pd.concat(out) if out else pd.DataFrame({"x": [], "y": [], "score": []})
+        return found[found["score"] >= threshold]
+
+    found = each_block_pair(rows.select(F.col(key).alias("k"), F.col(embedding).alias("v")), best, f"x {kind}, y {kind}, score double")
+    found = found.groupBy("x").agg(F.max(F.struct("score", "y")).alias("m")).select("x", "m.*")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score").distinct()
 
 
 def cold_rows(rows: DataFrame, last_access: str, before: Column) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ collections may share a table with a collection column.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +19,8 @@ from quarry.operators.conditions import TRUE, Condition, compile_condition
 
 #: Nearest-centroid tables (codebooks, coarse centroids) are parameters of at most this many rows.
 MOST_CENTROIDS = 65_536
+#: Rows of a block where all pairs of rows are compared; two blocks and their products are some 50 MB.
+BLOCK_ROWS = 2048
 
 
 def _meta(where: Condition | Column) -> Column:
@@ -94,21 +96,74 @@ def top_per_group(rows: DataFrame, query: list[float], k: int, group: str, metri
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def near_pairs(rows: DataFrame, threshold: float, metric: str = "cosine", key: str = "key", embedding: str = "embedding", block: str | None = None) -> DataFrame:
-    """(a, b, score) of pairs a < b in the same block that reach the threshold.
+def each_block_pair(rows: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """What run(left, right, same) returns for every two blocks of rows, so that any two rows meet in exactly one task.
 
-    Without a block column vectors are blocked by sign codes of random directions, several tables of
-    them; pairs are exact, recall depends on the angle. With a block column it is 1 within blocks.
+    Rows are dealt evenly to blocks of about block_rows by a hash. A task holds two blocks, whatever the rows have in
+    common; each row is sent once for every block, and only what run returns leaves a task. same: both are one block.
+    """
+    blocks = max(1, -(-rows.count() // block_rows))
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")
+    dealt = dealt.select("*", other).select(*rows.columns, "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+
+    def both(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
+        return run(pdf[pdf["_b"] == i], pdf[pdf["_b"] == j], bool(i == j))
+
+    return dealt.groupBy("_i", "_j").applyInPandas(both, schema)
+
+
+def _matrix(rows: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in rows]) if len(rows) else np.empty((0, 1))
+
+
+def cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Cosine of each row of left with each of right; 0 where either is zero."""
+    a, b = (np.linalg.norm(m, axis=1) for m in (left, right))
+    n = a[:, None] * b[None, :]
+    return np.divide(left @ right.T, n, out=np.zeros(n.shape), where=n > 0)
+
+
+def near_pairs(rows: DataFrame, threshold: float, metric: str = "cosine", key: str = "key", embedding: str = "embedding", block: str | None = None, approximate: bool = False) -> DataFrame:
+    """(a, b, score) of pairs of keys a < b that reach the threshold: all of them, by matrix products of blocks of rows.
+
+    block restricts the pairs to rows that share that column. approximate compares only rows that share one of 24 sign codes
+    of 10 random directions each; a pair at angle t is then found with probability 1 - (1 - (1 - t / pi)^10)^24.
+    Metrics other than cosine and the blocked forms score pair by pair.
     """
     own = rows.select(F.col(key).alias("k"), F.col(embedding).alias("v"), *([F.col(block).alias("bl")] if block else []))
+    if not block and not approximate and metric == "cosine":
+        kind = rows.schema[key].dataType.simpleString()
+
+        def products(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+            s = cosines(_matrix(left["v"]), _matrix(right["v"])) if len(left) and len(right) else np.empty((0, 0))
+            i, j = np.nonzero(s >= threshold)
+            x, y = left["k"].to_numpy()[i], right["k"].to_numpy()[j]
+            keep = x < y if same else x != y
+            i, j, x, y = i[keep], j[keep], x[keep], y[keep]
+            return pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x), "score": s[i, j]})
+
+        return each_block_pair(own, products, f"a {kind}, b {kind}, score double")
     if not block:
-        own = own.withColumn("bl", F.explode(sign_codes(F.col("v"), tables=24, bits=10)))
+        codes = sign_codes(F.col("v"), tables=24, bits=10) if approximate else F.array(F.lit(0).cast("long"))
+        own = own.withColumn("bl", F.explode(codes))
     a, b = own.select("bl", F.col("k").alias("a"), F.col("v").alias("va")), own.select("bl", F.col("k").alias("b"), F.col("v").alias("vb"))
     pairs = a.join(b, "bl").where("a < b")
     scored = pairs.withColumn("score", V.score(metric, F.col("va"), F.col("vb"))).where(F.col("score") >= threshold)
     return scored.select("a", "b", "score").distinct()
 
 
+def matching_keys(rows: DataFrame, where: Condition | Column, key: str = "key") -> DataFrame:
+    """Keys of the rows that pass a metadata filter."""
+    return rows.where(_meta(where)).select(key)
+
+
+def count_matching(rows: DataFrame, where: Condition | Column) -> DataFrame:
+    """n, the number of rows that pass a metadata filter."""
+    return rows.where(_meta(where)).agg(F.count(F.lit(1)).alias("n"))
+
+
 def sign_codes(embedding: Column, tables: int, bits: int, seed: int = 5) -> Column:
     """One code per table: the signs of dot products with random directions, as 'table:bits'."""
 
@@ -117,13 +172,12 @@ def sign_codes(embedding: Column, tables: int, bits: int, seed: int = 5) -> Colu
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(bits)
         for batch in batches:
-            out = []
-            for v in batch:
-                v = np.asarray(v, float)
-                p = planes.setdefault(len(v), np.random.default_rng(seed).normal(size=(tables * bits, len(v))))
-                signs = (p @ v > 0).reshape(tables, bits)
-                out.append((signs @ weights) + (np.arange(tables) << bits))
-            yield pd.Series(out)
+            out = pd.Series([None] * len(batch), dtype=object)
+            for n, part in batch.groupby(batch.map(len)):
+                p = planes.setdefault(n, np.random.default_rng(seed).normal(size=(tables * bits, n)))
+                signs = (_matrix(part) @ p.T > 0).reshape(len(part), tables, bits)
+                out.loc[part.index] = list(signs @ weights + (np.arange(tables) << bits))
+            yield out
 
     return codes(embedding)
 
@@ -203,8 +257,9 @@ class ProductQuantizer:
         @F.pandas_udf("array<int>")
         def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                rows_ = [np.asarray(v, float).reshape(parts, width) for v in batch]
-                yield pd.Series([((books - v[:, None, :]) ** 2).sum(2).argmin(1).astype("int32") for v in rows_])
+                m = _matrix(batch).reshape(len(batch), parts, width)
+                near = [((m[:, p] ** 2).sum(1)[:, None] - 2 * m[:, p] @ books[p].T + (books[p] ** 2).sum(1)).argmin(1) for p in range(parts)]
+                yield pd.Series(list(np.stack(near, axis=1).astype("int32")))
 
         return rows.withColumn(out, codes(F.col(embedding)))
 
