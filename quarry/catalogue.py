@@ -483,6 +483,62 @@ def graph_biconnected(spark, d):
     return A.biconnected(supplier_graph(spark, d))
 
 
+# pattern statements over the supplier graph
+
+
+def _pattern_engine(spark, d) -> Engine:
+    e = Engine(spark)
+    g = supplier_graph(spark, d)
+    e.nodes, e.edges = g.nodes, g.edges
+    return e
+
+
+_S = "join supplier {0} on {0}.s_suppkey"
+
+
+def _pattern_query(name: str, statement: str, sql: str):
+    def run(spark, d):
+        return _pattern_engine(spark, d).execute(statement)
+
+    run.__name__ = name
+    query(f"with {_E} {sql}")(run)
+
+
+_pattern_query(
+    "pattern_where", "MATCH (a:supplier)-[r:with]-(b:supplier) WHERE a.balance > 0 AND (b.s_nationkey = a.s_nationkey OR r.weight >= 6) RETURN a.id AS a, b.id AS b, r.weight AS weight",
+    f"select u.src as a, u.dst as b, ((u.src + u.dst) % 7 + 1)::double as weight from u {_S.format('a')} = u.src {_S.format('b')} = u.dst where a.s_acctbal > 0 and (a.s_nationkey = b.s_nationkey or (u.src + u.dst) % 7 + 1 >= 6)",
+)
+_pattern_query(
+    "pattern_grouped", "MATCH (a)-[:with]-(b) RETURN b.s_nationkey AS nation, count(*) AS n, max(a.balance) AS best",
+    f"select b.s_nationkey as nation, count(*) as n, max(a.s_acctbal) as best from u {_S.format('a')} = u.src {_S.format('b')} = u.dst group by 1",
+)
+_pattern_query("pattern_ordered", "MATCH (a)-[:with]-(b) RETURN a.id AS id, count(*) AS n ORDER BY n DESC, id SKIP 3 LIMIT 10", "select id, d as n from deg order by d desc, id limit 10 offset 3")
+_pattern_query(
+    "pattern_distinct", "MATCH (a {s_nationkey: 7})-[:with]-(b)-[:with]->(c) RETURN DISTINCT c.id AS id",
+    f"select distinct y.dst as id from u x {_S.format('a')} = x.src join u y on y.src = x.dst where a.s_nationkey = 7",
+)
+_pattern_query(
+    "pattern_two_paths", "MATCH (a)-[:with]-(b), (b)-[:with]-(c:n7) WHERE a.id < c.id AND NOT a.s_nationkey IN [7, 8] RETURN a.id AS a, c.id AS c, count(*) AS n",
+    f"select x.src as a, y.dst as c, count(*) as n from u x join u y on y.src = x.dst {_S.format('a')} = x.src {_S.format('c')} = y.dst where c.s_nationkey = 7 and a.s_nationkey not in (7, 8) and x.src < y.dst group by all",
+)
+_pattern_query("pattern_variable", "MATCH (a:n7)-[:with*1..2]-(b) RETURN DISTINCT a.id AS a, b.id AS b", f"select distinct src as a, dst as b from (select src, dst from u union select x.src, y.dst from u x join u y on y.src = x.dst where x.src <> y.dst) p {_S.format('a')} = p.src where a.s_nationkey = 7")
+_pattern_query("pattern_count", "GRAPH PATTERN COUNT (a)-[:with]-(b)-[:with]-(c)", "select count(*) as n from u x join u y on y.src = x.dst")
+
+
+@query("select s_suppkey as id, case when s_nationkey = 7 and s_acctbal > 0 then s_acctbal * 2 end as flag, s_acctbal as balance from supplier")
+def pattern_set(spark, d):
+    e = _pattern_engine(spark, d)
+    e.execute("MATCH (a:n7) WHERE a.balance > 0 SET a.flag = a.balance * 2")
+    return e.nodes.select("id", "flag", "balance")
+
+
+@query(f"with {_E}, gone as (select s_suppkey as id from supplier where s_nationkey = 7) select src, dst from e where src not in (select id from gone) and dst not in (select id from gone)")
+def pattern_delete(spark, d):
+    e = _pattern_engine(spark, d)
+    e.execute("MATCH (a:n7) DETACH DELETE a")
+    return e.edges.select("src", "dst")
+
+
 # vectors: the query is the vector of row 1
 
 _Q = "(select embedding from embeddings where vec_id = 1)"

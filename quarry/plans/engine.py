@@ -15,6 +15,7 @@ from quarry.operators import services as B
 from quarry.operators import unified as U
 from quarry.operators import vector_search as S
 from quarry.operators.graph import Graph
+from quarry.plans import patterns
 from quarry.plans.parser import Statement, parse, split_script
 from quarry.session import ship
 from quarry.shared import settle
@@ -263,6 +264,21 @@ class Engine:
         self.edges = settle(self.edges.where(F.col("id") != id), "edges")
         return self._done(1)
 
+    def _pattern(self, clauses: list) -> DataFrame:
+        return patterns.run(self, clauses)
+
+    def _graph_pattern(self, verb: str, clauses: list) -> DataFrame:
+        """Bindings of a pattern as ids, their number, or whether there is one."""
+        named = dict(clauses)
+        used = named.get("WHERE", "")
+        bound = patterns.bindings(self.graph, named["MATCH"], used)
+        if used:
+            bound = bound.where(F.expr(patterns.sql_text(used)))
+        if verb == "match":
+            return bound.limit(int(named["LIMIT"])) if "LIMIT" in named else bound
+        n = bound.count() if verb == "count" else int(not bound.isEmpty())
+        return self.spark.createDataFrame([(n,)], "n long") if verb == "count" else self.spark.createDataFrame([(bool(n),)], "found boolean")
+
     def _neighbors(self, id: Any, direction: str, type_: str | None, similar: Any, limit: int | None) -> DataFrame:
         if similar is not None:
             return U.neighbours_by_similarity(self.embeddings, self.links, str(id), None if similar is True else similar, limit or 10)
@@ -275,15 +291,18 @@ class Engine:
     def _path(self, how: str, from_: Any, to: Any, weight: str | None, hops: tuple[int, int], limit: int | None) -> DataFrame:
         g = self.graph
         if how == "weighted":
-            return g.weighted_paths(from_, to, weight or "weight", most=1)
+            return g.weighted_paths(from_, to, weight or "weight", most=limit or 1)
         if how == "all":
-            return g.shortest_paths(from_, to, most=limit or 1000)
+            return g.shortest_paths(from_, to, most=limit)
         if how == "variable":
-            return g.simple_paths(from_, to, *hops, most=limit or 1000)
+            return g.simple_paths(from_, to, *hops, most=limit)
         return g.shortest_path(from_, to, limit)
 
     def _graph(self, algorithm: str, options: dict) -> DataFrame:
         g = self.graph
+        unknown = set(options) - {"edge_type", "direction", "limit", "iterations", "tolerance", "damping", "sample", "weight", "resolution", "metric"}
+        if unknown:
+            raise CatalogError(f"unknown option {sorted(unknown)[0]}")
         if "edge_type" in options:
             g = Graph(g.nodes, g.edges.where(F.col("type") == options["edge_type"]))
         direction = str(options.get("direction", "")).lower()

@@ -189,3 +189,27 @@ def test_streamed_buckets(spark, tmp_path):
     q = access_counts(stream).writeStream.format("memory").queryName("buckets").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r["n"] for r in spark.table("buckets").collect()) == [1, 2]
+
+
+def test_pattern_statements(spark):
+    e = Engine(spark)
+    one = lambda text: [tuple(r) for r in e.execute(text).collect()]
+    assert one("CREATE (a:person {name: 'Ann', age: 30})-[:knows {since: 2020}]->(b:person {name: 'Bob', age: 40}), (b)<-[:knows]-(c:person {name: \"O'Neil\"})") == [(1,), (2,), (3,), (1,), (2,)]
+    assert one("MATCH (a:person)-[:knows]->(b) RETURN a.name AS x, b.name AS y ORDER BY x") == [("Ann", "Bob"), ("O'Neil", "Bob")]
+    assert one("MATCH (a)<-[r:knows]-(b {name: 'Ann'}) RETURN r.since, type(r), id(a)") == [(2020, "knows", 2)]
+    assert one("MATCH (a:person) WHERE a.name STARTS WITH 'O' OR a.age > 35 RETURN a.name AS n ORDER BY n DESC SKIP 1 LIMIT 1") == [("Bob",)]
+    assert one("MATCH (a)-[]-(b) RETURN a.name AS n, count(*) AS c ORDER BY n") == [("Ann", 1), ("Bob", 2), ("O'Neil", 1)]
+    assert one("MATCH (a {name: 'Ann'})-[p:knows*1..2]-(b) RETURN b.name AS n, size(p) AS k ORDER BY k") == [("Bob", 2), ("O'Neil", 3)]
+    assert one("MATCH (a:person) RETURN a ORDER BY a.id")[0][0] == 1
+    assert one("MATCH (a {name: 'Ann'}), (c {name: \"O'Neil\"}) CREATE (a)-[:likes]->(c)") == [(3,)]
+    assert one("GRAPH PATTERN COUNT (a)-[:likes]->(b)") == [(1,)] and one("GRAPH PATTERN EXISTS (a)-[:hates]->(b)") == [(False,)]
+    assert one("MATCH (a)-[:likes]->(b) SET a.age = a.age + 1, b.age = 9") == [(1,)]
+    assert one("MATCH (a:person) RETURN a.name AS n, a.age AS y ORDER BY n") == [("Ann", 31), ("Bob", 40), ("O'Neil", 9)]
+    assert one("MERGE (a:person {name: 'Ann'}) ON CREATE SET a.age = 1 ON MATCH SET a.age = 50") == [(1,)]
+    assert len(one("MERGE (a:city {name: 'Ulm'}) ON CREATE SET a.age = 1 ON MATCH SET a.age = 50")) == 1
+    assert one("MATCH (a:city) RETURN a.name, a.age") == [("Ulm", 1)] and one("MATCH (a {name: 'Ann'}) RETURN a.age") == [(50,)]
+    assert one("MATCH (a)-[r:likes]->(b) DELETE r") == [(1,)]
+    assert one("MATCH (a:person {name: 'Bob'}) DETACH DELETE a") == [(3,)]
+    assert one("MATCH (a)-[r]-(b) RETURN count(*)") == [(0,)]
+    with pytest.raises(ParseError):
+        e.execute("MATCH (a:person RETURN a")
