@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from quarry.operators import partitioning, services, unified
 from quarry.operators import vector_search as S
 from quarry.operators.graph import BOTH, IN, OUT, EdgePattern, Graph, NodePattern, Pattern
 from quarry.plans.engine import Engine
+from quarry.shared import shared_dir
 from quarry.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -884,3 +886,38 @@ def svc_conflict_classes(spark, d):
     tenth = rows.where("id % 10 = 0")
     copies = tenth.withColumn("id", F.col("id") + 1_000_000).unionByName(tenth.select((F.col("id") + 2_000_000).alias("id"), F.transform("v", lambda x: -x).alias("v"), "keys"))
     return services.conflict_counts(rows.unionByName(copies))
+
+
+# versions, pages, logs, stored index
+
+
+@query("select n_nationkey, n_name from nation where n_regionkey <> 2")
+def rel_transaction(spark, d):
+    e = Engine(spark)
+    e.register("nation_t", table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    e.execute("BEGIN")
+    e.execute("UPDATE nation_t SET n_name = 'gone' WHERE n_regionkey = 1")
+    e.execute("ROLLBACK")
+    e.execute("BEGIN")
+    e.execute("DELETE FROM nation_t WHERE n_regionkey = 2")
+    e.execute("COMMIT")
+    return e.execute("SELECT n_nationkey, n_name FROM nation_t")
+
+
+@query("select s_suppkey as id, s_acctbal as balance, (select count(*) from supplier where s_acctbal > 0) as total from supplier where s_acctbal > 0 order by s_suppkey limit 20 offset 30")
+def graph_nodes_page(spark, d):
+    rows, _, total = supplier_graph(spark, d).nodes_page(30, 20, C.gt("balance", 0.0), "supplier", total=True)
+    return rows.select("id", "balance", F.lit(total).cast("long").alias("total"))
+
+
+@query("select user_id::varchar as key, arg_max(value, event_id)::varchar as value from events group by user_id having arg_max(event_type, event_id) <> 'error'")
+def svc_log_replay(spark, d):
+    log = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), F.col("user_id").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    return store.replay_log(log)
+
+
+@query(f"select vec_id, round({_COS}, 6) as score from (select vec_id, embedding::double[] as v, {_Q}::double[] as q from embeddings) order by {_COS} desc, vec_id limit 20")
+def vec_stored_index(spark, d):
+    rows, q = _vec(spark, d)
+    index = S.build_index(rows, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}", key="vec_id")
+    return rounded(index.search(q, 20, n_probe=len(index.centroids)).select("vec_id", "score"), "score")  # all lists: the exact result

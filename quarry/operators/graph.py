@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.conditions import TRUE, Condition, compile_condition
-from quarry.operators.relational import aggregate_column
+from quarry.operators.relational import aggregate_column, page
 from quarry.shared import settle
 
 OUT, IN, BOTH = "outgoing", "incoming", "both"
@@ -66,6 +66,26 @@ class Graph:
     def find_edges(self, where: Condition | Column = TRUE, kind: str | None = None) -> DataFrame:
         return _where(self.edges.where(F.col("type") == kind) if kind else self.edges, where)
 
+    # pages in id order, with the number of all rows where it is asked for
+
+    def nodes_page(self, offset: int = 0, limit: int = 100, where: Condition | Column = TRUE, label: str | None = None, total: bool = False) -> tuple[DataFrame, bool, int | None]:
+        return self._page(self.find_nodes(where, label), offset, limit, total)
+
+    def edges_page(self, offset: int = 0, limit: int = 100, where: Condition | Column = TRUE, kind: str | None = None, total: bool = False) -> tuple[DataFrame, bool, int | None]:
+        return self._page(self.find_edges(where, kind), offset, limit, total)
+
+    def incident_page(self, ident, offset: int = 0, limit: int = 100, direction: str = BOTH, total: bool = False) -> tuple[DataFrame, bool, int | None]:
+        return self._page(self.incident(ident, direction), offset, limit, total)
+
+    def neighbours_page(self, ident, offset: int = 0, limit: int = 100, direction: str = BOTH, kind: str | None = None, total: bool = False) -> tuple[DataFrame, bool, int | None]:
+        return self._page(self.neighbours(ident, direction, kind), offset, limit, total)
+
+    @staticmethod
+    def _page(df: DataFrame, offset: int, limit: int, total: bool) -> tuple[DataFrame, bool, int | None]:
+        """(rows of the page, whether there are more, number of all rows or None)."""
+        rows, more = page(df, ["id"], offset, limit)
+        return rows, more, df.count() if total else None
+
     # changes, copy on write
 
     def add_nodes(self, rows: DataFrame) -> Graph:

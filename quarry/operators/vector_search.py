@@ -201,6 +201,73 @@ class InvertedFile:
         return search(self.rows.where(F.col("list").isin(*near)), query, k, metric, where, self.key, self.embedding)
 
 
+@dataclass(frozen=True)
+class StoredIndex:
+    """An inverted file written as a folder per list, so that a search reads only the lists it probes."""
+
+    centroids: np.ndarray
+    path: str
+    rows: DataFrame  # of the folders
+    n_probe: int  # lists that reach the recall asked for on the sampled queries
+    recall: float  # measured there
+    key: str = "key"
+    embedding: str = "embedding"
+
+    def search(self, query: list[float], k: int, metric: str = "cosine", where: Condition | Column = TRUE, n_probe: int | None = None, query_key=None) -> DataFrame:
+        """Exact scores over the nearest n_probe lists; all lists give the exact result."""
+        lists = nearest_lists(self.centroids, np.asarray([query], float))[0][: n_probe or self.n_probe].tolist()
+        return search(self.rows.where(F.col("list").isin(*lists)), query, k, metric, where, self.key, self.embedding, query_key=query_key).drop("list")
+
+
+def nearest_lists(centroids: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Lists of each query by falling cosine to their centroids."""
+    return np.argsort(-cosines(queries, centroids), axis=1, kind="stable")
+
+
+def build_index(rows: DataFrame, path: str, n_lists: int | None = None, recall: float = 0.95, k: int = 10, n_queries: int = 50, key: str = "key", embedding: str = "embedding", seed: int = 1) -> StoredIndex:
+    """Write rows by their nearest centroid under path and choose how many lists a search probes.
+
+    The centroids are those of unit vectors; there are about sqrt(rows) lists. n_queries rows, the first in hash order of their keys, are
+    searched exactly against all rows, and n_probe is the least number of lists that hold recall of their k nearest.
+    """
+    n = rows.count()
+    if not n:
+        raise ValueError("no rows to index")
+    n_lists = n_lists or max(1, min(MOST_CENTROIDS, round(n**0.5)))
+    length = V.norm(F.col(embedding))
+    unit = rows.withColumn("_u", F.when(length > 0, F.transform(embedding, lambda x: x / length)).otherwise(F.col(embedding).cast("array<double>")))
+    centroids = kmeans(unit, n_lists, "_u", seed) if n > n_lists else _matrix(unit.toPandas()["_u"])
+    placed = nearest_centroid(unit, centroids, "_u", "cosine").drop("_u", "list_score")
+    placed.repartition("list").write.partitionBy("list").parquet(path)
+    stored = rows.sparkSession.read.schema(placed.schema).parquet(path)
+    sample = rows.orderBy(F.xxhash64(key), key).limit(n_queries).select(F.col(key).alias("k"), F.col(embedding).alias("v")).toPandas()
+    queries = _matrix(sample["v"])
+    kind = rows.schema[key].dataType.simpleString()
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            s = cosines(queries, _matrix(batch[embedding]))
+            at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            yield pd.DataFrame({"q": np.repeat(np.arange(len(queries)), at.shape[1]), "score": np.take_along_axis(s, at, 1).ravel(), "k": batch[key].to_numpy()[at].ravel(), "list": batch["list"].to_numpy()[at].ravel()})
+
+    near = stored.select(key, embedding, "list").mapInPandas(best, f"q int, score double, k {kind}, list int")
+    w = Window.partitionBy("q").orderBy(F.col("score").desc(), "k")
+    top = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("q", "list").toPandas()
+    rank = np.argsort(nearest_lists(centroids, queries), axis=1)
+    needed = np.sort(rank[top["q"].to_numpy(), top["list"].to_numpy()])  # lists to probe before each true neighbour's, less one
+    n_probe = int(needed[max(0, int(np.ceil(recall * len(needed))) - 1)]) + 1
+    return StoredIndex(centroids, path, stored, n_probe, float((needed < n_probe).mean()), key, embedding)
+
+
+def update_centroid(centroid: Column, n: Column, embedding: Column) -> Column:
+    """Mean of n vectors moved by one more."""
+    return F.zip_with(centroid, embedding, lambda c, x: c + (x - c) / (n + 1))
+
+
+def keys_page(rows: DataFrame, offset: int = 0, limit: int = 100, key: str = "key") -> DataFrame:
+    return rows.select(key).orderBy(key).offset(offset).limit(limit)
+
+
 def kmeans(rows: DataFrame, k: int, embedding: str = "embedding", seed: int = 1, rounds: int = 20) -> np.ndarray:
     """Centroids by distributed k-means (k-means|| start)."""
     from pyspark.ml.clustering import KMeans

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import vectors as V
 from quarry.operators import graph_algorithms as A
 from quarry.operators import relational as R
 from quarry.operators import services as B
@@ -18,7 +20,7 @@ from quarry.operators.graph import Graph
 from quarry.plans import patterns
 from quarry.plans.parser import Statement, parse, split_script
 from quarry.session import ship
-from quarry.shared import settle
+from quarry.shared import settle, shared_dir
 from quarry.sources.store import Checkpoints
 
 NODES = "id long, labels array<string>"
@@ -35,6 +37,12 @@ class CatalogError(ValueError):
     pass
 
 
+#: What a transaction keeps to go back to; tables are immutable versions, so references are enough.
+STATE = ("tables", "constraints", "indexes", "nodes", "edges", "links", "embeddings", "entities", "graph_constraints", "graph_indexes", "cache", "artifacts", "chunks", "collections", "vector_indexes", "secrets", "grants")
+SECRETS = "key string, value string, version int"
+GRANTS = "entity string, key string, level string"
+
+
 class Engine:
     """Tables, constraints, graph and embeddings of one session; every change is a new version written once."""
 
@@ -49,6 +57,11 @@ class Engine:
         self.checkpoints = Checkpoints(spark, root) if root else None
         self.graph_constraints: dict[str, tuple] = {}
         self.cache, self.artifacts, self.chunks = empty(CACHE), empty(ARTIFACTS), empty(CHUNKS)
+        self.secrets, self.grants = empty(SECRETS), empty(GRANTS)
+        self.collections: dict[str, tuple[int | None, str]] = {}
+        self.vector_indexes: dict[str | None, tuple[DataFrame, S.StoredIndex]] = {}
+        self.graph_indexes: list[str] = []
+        self._before: dict[str, Any] | None = None
 
     # catalog
 
@@ -124,6 +137,49 @@ class Engine:
     def execute_all(self, script: str) -> list[DataFrame]:
         return [self.execute(s) for s in split_script(script)]
 
+    def to_pandas(self, text: str):
+        """One statement's rows on the driver."""
+        return self.execute(text).toPandas()
+
+    def cached(self, prompt: str, compute, ttl_seconds: int = TTL_SECONDS) -> str:
+        """The cached response to prompt, or the one that compute(prompt) gives, which is cached."""
+        found = self.execute_statement("cache_get", prompt=prompt).first()
+        if found is not None:
+            return found["response"]
+        response = compute(prompt)
+        self.execute_statement("cache_put", prompt=prompt, response=response)
+        return response
+
+    def execute_statement(self, kind: str, **args) -> DataFrame:
+        return self.run(Statement(kind, args))
+
+    # transactions: one at a time, over everything the engine holds
+
+    def _begin(self) -> DataFrame:
+        if self._before is not None:
+            raise CatalogError("a transaction is open")
+        self._before = {k: v.copy() if isinstance(v := getattr(self, k), (dict, list)) else v for k in STATE}
+        return self._done()
+
+    def _commit(self) -> DataFrame:
+        if self._before is None:
+            raise CatalogError("no transaction is open")
+        self._before = None
+        return self._done()
+
+    def _undo(self) -> DataFrame:
+        """ROLLBACK: every table, the graph and all else as they were at BEGIN."""
+        if self._before is None:
+            raise CatalogError("no transaction is open")
+        before, self._before = self._before, None
+        for name in set(self.tables) - set(before["tables"]):
+            self.spark.catalog.dropTempView(name)
+        for k, v in before.items():
+            setattr(self, k, v)
+        for name, df in self.tables.items():
+            self.register(name, df)
+        return self._done()
+
     def stream(self, text: str) -> Iterator[Row]:
         return self.execute(text).toLocalIterator(prefetchPartitions=True)
 
@@ -191,8 +247,15 @@ class Engine:
             raise CatalogError(f"no index {name}")
         return self._done()
 
-    def _add_column(self, table: str, name: str, type_: str) -> DataFrame:
-        self._write(table, self.table(table).withColumn(name, F.lit(None).cast(type_)))
+    def _add_column(self, table: str, name: str, type_: str, nullable: bool = True, default: str | None = None) -> DataFrame:
+        """A NOT NULL column without a default is refused where there are rows."""
+        new = self.table(table).withColumn(name, F.expr(default or "NULL").cast(type_))
+        if not nullable:
+            self._check(table, new, [("not_null", [name])])
+            self.constraints.setdefault(table, []).append(("not_null", [name]))
+        if default is not None:
+            self.constraints.setdefault(table, []).append(("default", name, default))
+        self._write(table, new)
         return self._done()
 
     def _drop_column(self, table: str, name: str) -> DataFrame:
@@ -327,7 +390,16 @@ class Engine:
             out = out.orderBy(F.col("score").desc(), "id")
         return out if limit is None else out.limit(int(limit))
 
-    def _graph_index(self) -> DataFrame:
+    def _graph_index(self, verb: str, name: str) -> DataFrame:
+        """Notes like those of table indexes: scans prune by Parquet statistics, nothing is laid out."""
+        if verb == "show":
+            return self.spark.createDataFrame([(x,) for x in self.graph_indexes], "name string")
+        if verb == "drop":
+            if name not in self.graph_indexes:
+                raise CatalogError(f"no graph index {name}")
+            self.graph_indexes = [x for x in self.graph_indexes if x != name]
+        else:
+            self.graph_indexes = [*self.graph_indexes, name]
         return self._done()
 
     def _aggregate(self, what: str, property: str, call: str, label: str | None, where: str | None) -> DataFrame:
@@ -341,6 +413,9 @@ class Engine:
         return self.embeddings.where(own)
 
     def _embed_store(self, pairs: list, collection: str | None) -> DataFrame:
+        dimension = self.collections.get(collection, (None, ""))[0]
+        if dimension is not None and any(len(v) != dimension for _, v in pairs):
+            raise CatalogError(f"vectors of {collection} have {dimension} dimensions")
         new = self.spark.createDataFrame([(k, [float(x) for x in v], collection) for k, v in pairs], EMBEDDINGS)
         kept = self.embeddings.join(new.select("key", "collection"), self.embeddings["key"].eqNullSafe(new["key"]) & self.embeddings["collection"].eqNullSafe(new["collection"]), "left_anti")
         self.embeddings = settle(kept.unionByName(new), "embeddings")
@@ -354,9 +429,35 @@ class Engine:
         self.embeddings = settle(self.embeddings.where(~gone), "embeddings")
         return self._done(1)
 
-    def _embed_build_index(self) -> DataFrame:
-        """Search is exact; an inverted file is built by operators.vector_search.inverted_file."""
-        return self._done(self.embeddings.count())
+    def _embed_clear(self, collection: str | None) -> DataFrame:
+        n = self._collection(collection).count()
+        own = F.col("collection").isNull() if collection is None else F.col("collection").eqNullSafe(F.lit(collection))
+        self.embeddings = settle(self.embeddings.where(~own), "embeddings")
+        return self._done(n)
+
+    def _collection_create(self, name: str, dimension: int | None, metric: str) -> DataFrame:
+        if name in self.collections:
+            raise CatalogError(f"collection {name} exists")
+        if {"dot": "dot_product"}.get(metric, metric) not in V.METRICS:
+            raise CatalogError(f"unknown metric {metric}")
+        self.collections[name] = (dimension, {"dot": "dot_product"}.get(metric, metric))
+        return self._done()
+
+    def _collection_drop(self, name: str) -> DataFrame:
+        """The collection with its vectors."""
+        if self.collections.pop(name, None) is None:
+            raise CatalogError(f"no collection {name}")
+        return self._embed_clear(name)
+
+    def _show_collections(self) -> DataFrame:
+        return self.spark.createDataFrame([(k, *v) for k, v in sorted(self.collections.items())], "name string, dimension int, metric string")
+
+    def _embed_build_index(self, collection: str | None = None) -> DataFrame:
+        """Write the collection's vectors by list; SIMILAR reads only the lists it needs until the vectors change."""
+        rows = self._collection(collection)
+        index = S.build_index(rows, f"{shared_dir(self.spark)}/{self.spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}")
+        self.vector_indexes[collection] = (self.embeddings, index)
+        return self._done(rows.count())
 
     def _show_embeddings(self, limit: int | None) -> DataFrame:
         df = self.embeddings.select("key", "collection", F.size("embedding").alias("dimension")).orderBy("key")
@@ -381,9 +482,13 @@ class Engine:
         vector = self._vector_of(query, rows)
         if isinstance(query, str):
             rows = rows.where(F.col("key") != query)
-        metric = {"dot": "dot_product"}.get(metric, metric)
+        metric = {"dot": "dot_product"}.get(metric, metric) if metric else self.collections.get(collection, (None, "cosine"))[1]
         if connected_to is not None:
             return U.similar_connected(rows, self.links, vector, connected_to, limit, metric, self._expr(where)).select("key", "score")
+        built = self.vector_indexes.get(collection)
+        if built is not None and built[0] is self.embeddings and metric in ("cosine", "angular", "geodesic"):
+            own = query if isinstance(query, str) else None
+            return built[1].search(vector, limit, metric, self._expr(where), query_key=own).select("key", "score")
         return S.search(rows, vector, limit, metric, self._expr(where)).select("key", "score")
 
     # unified
@@ -489,26 +594,51 @@ class Engine:
     def _constraint_list(self) -> DataFrame:
         return self.spark.createDataFrame([(k, *v) for k, v in self.graph_constraints.items()], "name string, label string, property string, kind string, type string")
 
+    def _frame(self, base: dict[str, str], rows: list[tuple[dict, dict]]) -> DataFrame:
+        """One frame of many rows of fixed columns and properties; a property's type is that of its values, mixed ones are text."""
+        kinds = {bool: "boolean", int: "bigint", float: "double", str: "string"}
+        found: dict[str, set] = {}
+        for _, props in rows:
+            for k, v in props.items():
+                if v is not None:
+                    found.setdefault(k, set()).add(kinds.get(type(v), "string"))
+        types = {k: next(iter(t)) if len(t) == 1 else "double" if t == {"bigint", "double"} else "string" for k, t in found.items()}
+        cast = {"double": float, "string": str}
+        values = [tuple(own[c] for c in base) + tuple(None if (v := props.get(k)) is None else cast.get(t, lambda x: x)(v) for k, t in types.items()) for own, props in rows]
+        return self.spark.createDataFrame(values, ", ".join(f"`{k}` {t}" for k, t in (base | types).items()))
+
     def _batch_nodes(self, rows: list) -> DataFrame:
-        n, made = self._next(self.nodes), None
-        for k, (label, props) in enumerate(rows):
-            one = self._typed({"id": (n + k, "bigint"), "labels": ([label], "array<string>")}, props)
-            made = one if made is None else made.unionByName(one, allowMissingColumns=True)
-        if made is not None:
-            self._put_nodes(made)
+        n = self._next(self.nodes)
+        if rows:
+            self._put_nodes(self._frame({"id": "bigint", "labels": "array<string>"}, [({"id": n + k, "labels": [label]}, props) for k, (label, props) in enumerate(rows)]))
         return self._done(len(rows))
 
     def _batch_edges(self, rows: list) -> DataFrame:
         """Edges with a missing end are left out; the count tells how many were added."""
-        n, made = self._next(self.edges), None
-        for k, (a, b, kind, props) in enumerate(rows):
-            one = self._typed({"id": (n + k, "bigint"), "src": (a, "bigint"), "dst": (b, "bigint"), "type": (kind, "string"), "directed": (True, "boolean")}, props)
-            made = one if made is None else made.unionByName(one, allowMissingColumns=True)
-        before = self.edges.count()
-        if made is not None:
+        n, before = self._next(self.edges), self.edges.count()
+        if rows:
+            own = [({"id": n + k, "src": a, "dst": b, "type": kind, "directed": True}, props) for k, (a, b, kind, props) in enumerate(rows)]
+            made = self._frame({"id": "bigint", "src": "bigint", "dst": "bigint", "type": "string", "directed": "boolean"}, own)
             self.edges = settle(self.graph.add_edges(made).edges, "edges")
         return self._done(self.edges.count() - before)
 
+    def _batch_update(self, rows: list) -> DataFrame:
+        """Properties by node id; ids without a node are left out, and the count tells how many were changed."""
+        if not rows:
+            return self._done()
+        new = self._frame({"_k": "bigint"}, [({"_k": int(i)}, props) for i, props in rows])
+        given = self.spark.createDataFrame([(int(i), sorted(props)) for i, props in rows], "_i bigint, _given array<string>")
+        props = [c for c in new.columns if c != "_k"]
+        both = self.nodes.join(new.select("_k", *[F.col(c).alias(f"_new_{c}") for c in props]).join(given, F.col("_k") == F.col("_i")).drop("_i"), self.nodes["id"] == F.col("_k"), "left")
+        for c in props:
+            old = F.col(c) if c in self.nodes.columns else F.lit(None).cast(dict(new.dtypes)[c])
+            both = both.withColumn(c, F.when(F.array_contains("_given", c), F.col(f"_new_{c}")).otherwise(old))
+        both = settle(both, "updated")
+        changed = both.where("_k is not null").count()
+        self.nodes = self.nodes.limit(0)
+        self._put_nodes(both.select(*[c for c in both.columns if not c.startswith("_")]))
+        return self._done(changed)
+
     def _batch_delete(self, what: str, ids: list[int]) -> DataFrame:
         rows = self.spark.createDataFrame([(i,) for i in ids], "id long")
         before = getattr(self, what).count()
@@ -555,6 +685,41 @@ class Engine:
 
     # blobs
 
+    def _vault_set(self, key: str, value: str, known: bool = False) -> DataFrame:
+        """Keep a value under a key, as it is (nothing is encrypted); ROTATE needs the key to be there and counts its versions up."""
+        old = self.secrets.where(F.col("key") == key).first()
+        if known and old is None:
+            raise CatalogError(f"no secret {key}")
+        row = self.spark.createDataFrame([(key, value, (old["version"] if old else 0) + 1)], SECRETS)
+        self.secrets = settle(S.upsert(self.secrets, row), "secrets")
+        return self._done(1)
+
+    def _vault_get(self, key: str) -> DataFrame:
+        return self.secrets.where(F.col("key") == key)
+
+    def _vault_delete(self, key: str) -> DataFrame:
+        n = self.secrets.where(F.col("key") == key).count()
+        self.secrets = settle(self.secrets.where(F.col("key") != key), "secrets")
+        self.grants = settle(self.grants.where(F.col("key") != key), "grants")
+        return self._done(n)
+
+    def _vault_list(self, pattern: str) -> DataFrame:
+        return B.by_glob(self.secrets, "key", pattern).select("key", "version").orderBy("key")
+
+    def _vault_grant(self, entity: str, key: str, level: str) -> DataFrame:
+        if level not in ("read", "write", "admin"):
+            raise CatalogError(f"unknown level {level}")
+        row = self.spark.createDataFrame([(entity, key, level)], GRANTS)
+        kept = self.grants.where(~((F.col("entity") == entity) & (F.col("key") == key)))
+        self.grants = settle(kept.unionByName(row), "grants")
+        return self._done(1)
+
+    def _vault_revoke(self, entity: str, key: str) -> DataFrame:
+        gone = (F.col("entity") == entity) & (F.col("key") == key)
+        n = self.grants.where(gone).count()
+        self.grants = settle(self.grants.where(~gone), "grants")
+        return self._done(n)
+
     def _blob_init(self) -> DataFrame:
         return self._done()
 

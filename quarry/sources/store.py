@@ -64,6 +64,23 @@ def fields_changed(old: DataFrame, new: DataFrame, key: str = "key") -> DataFram
     return both.select(F.coalesce(F.col(key), F.col("_k")).alias(key), F.inline(each)).where("not (before <=> after)")
 
 
+LOG = "seq long, op string, key string, value string"
+
+
+def append_log(records: DataFrame, path: str) -> None:
+    """Add records (seq, op 'put' or 'delete', key, value) to a log folder; a batch is one atomic write."""
+    records.select("seq", "op", "key", "value").write.mode("append").parquet(path)
+
+
+def replay_log(log: DataFrame, base: DataFrame | None = None, upto: int | None = None) -> DataFrame:
+    """(key, value) after a log in order of seq, on top of a snapshot: each key's last record counts."""
+    if upto is not None:
+        log = log.where(F.col("seq") <= upto)
+    last = log.groupBy("key").agg(F.max_by(F.struct("op", "value"), "seq").alias("_r"))
+    out = last.where("_r.op = 'put'").select("key", F.col("_r.value").alias("value"))
+    return out if base is None else base.join(last.select("key"), "key", "left_anti").select("key", "value").unionByName(out)
+
+
 class Checkpoints:
     """Named versions of tables as Parquet folders under a shared root."""
 

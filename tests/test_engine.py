@@ -213,3 +213,94 @@ def test_pattern_statements(spark):
     assert one("MATCH (a)-[r]-(b) RETURN count(*)") == [(0,)]
     with pytest.raises(ParseError):
         e.execute("MATCH (a:person RETURN a")
+
+
+def test_transactions_go_back_to_their_beginning(engine):
+    one = lambda text: [tuple(r) for r in engine.execute(text).collect()]
+    engine.execute("NODE CREATE city { name: 'Ulm' }")
+    engine.execute("BEGIN TRANSACTION")
+    engine.execute("INSERT INTO users VALUES (4, 'Dora', 50)")
+    engine.execute("CREATE TABLE other (id INT)")
+    engine.execute("MATCH (a:city) SET a.name = 'Bonn'")
+    assert one("SELECT count(*) FROM users") == [(4,)]
+    with pytest.raises(CatalogError):
+        engine.execute("BEGIN")
+    engine.execute("ROLLBACK")
+    assert one("SELECT count(*) FROM users") == [(3,)] and one("SHOW TABLES") == [("users",)]
+    assert one("MATCH (a:city) RETURN a.name") == [("Ulm",)]
+    engine.execute("BEGIN")
+    engine.execute("DELETE FROM users WHERE id = 1")
+    engine.execute("COMMIT")
+    assert one("SELECT count(*) FROM users") == [(2,)]
+    with pytest.raises(CatalogError):
+        engine.execute("ROLLBACK")
+
+
+def test_collections_and_their_index(spark):
+    import numpy as np
+
+    e = Engine(spark)
+    e.execute("EMBED COLLECTION CREATE docs DIMENSION 3 METRIC cosine")
+    with pytest.raises(CatalogError):
+        e.execute("EMBED STORE a [1, 2] INTO docs")
+    r = np.random.default_rng(4)
+    v = r.normal(size=(300, 3)).round(3)
+    e.execute("EMBED BATCH " + ", ".join(f"(k{i}, [{a}, {b}, {c}])" for i, (a, b, c) in enumerate(v.tolist())) + " INTO docs")
+    exact = [tuple(x) for x in e.execute("SIMILAR k7 INTO docs LIMIT 10").collect()]
+    e.execute("EMBED BUILD INDEX INTO docs")
+    index = e.vector_indexes["docs"][1]
+    assert index.recall >= 0.95 and 1 <= index.n_probe <= len(index.centroids)
+    found = [tuple(x) for x in e.execute("SIMILAR k7 INTO docs LIMIT 10").collect()]
+    assert len(set(exact) & set(found)) >= 9 and "k7" not in dict(found)
+    assert [tuple(x) for x in index.search(v[3].tolist(), 5, n_probe=len(index.centroids)).select("key").collect()][0] == ("k3",)
+    e.execute("EMBED DELETE k1 INTO docs")  # the index no longer holds
+    assert dict(map(tuple, e.execute("SIMILAR k7 INTO docs LIMIT 10").collect())).keys() <= {f"k{i}" for i in range(300)} - {"k1", "k7"}
+    assert [tuple(x) for x in e.execute("SHOW COLLECTIONS").collect()] == [("docs", 3, "cosine")]
+    e.execute("EMBED COLLECTION DROP docs")
+    assert e.execute("COUNT EMBEDDINGS INTO docs").first()[0] == 0
+
+
+def test_vault_batches_columns_and_pages(engine):
+    one = lambda text: [tuple(r) for r in engine.execute(text).collect()]
+    engine.execute("VAULT SET api:key 'abc'")
+    engine.execute("VAULT ROTATE api:key 'def'")
+    engine.execute("VAULT GRANT user:1 ON api:key write")
+    assert one("VAULT GET api:key") == [("api:key", "def", 2)] and one("VAULT LIST 'api*'") == [("api:key", 2)]
+    assert [tuple(r) for r in engine.grants.collect()] == [("user:1", "api:key", "write")]
+    assert one("VAULT REVOKE user:1 ON api:key") == [(1,)] and one("VAULT DELETE api:key") == [(1,)]
+    with pytest.raises(CatalogError):
+        engine.execute("VAULT ROTATE api:key 'x'")
+    engine.execute("BATCH CREATE NODES [city { name: 'Ulm', size: 1 }, city { name: 'Bonn', size: 2.5 }, town { name: 'Au' }]")
+    assert one("BATCH UPDATE NODES [1 { size: 9 }, 3 { name: 'Aue', old: true }, 8 { size: 1 }]") == [(2,)]
+    assert one("MATCH (a) RETURN a.name AS n, a.size, a.old ORDER BY n") == [("Aue", None, True), ("Bonn", 2.5, None), ("Ulm", 9.0, None)]
+    page, more, total = engine.graph.nodes_page(1, 1, label="city", total=True)
+    assert [r["name"] for r in page.collect()] == ["Bonn"] and not more and total == 2
+    with pytest.raises(CatalogError):
+        engine.execute("ALTER TABLE users ADD COLUMN town TEXT NOT NULL")
+    engine.execute("ALTER TABLE users ADD COLUMN town TEXT NOT NULL DEFAULT 'Ulm'")
+    engine.execute("INSERT INTO users (id, name) VALUES (9, 'Eve')")
+    assert one("SELECT town, count(*) FROM users GROUP BY town") == [("Ulm", 4)]
+    assert engine.cached("what", lambda p: p + "!") == "what!" == engine.cached("what", lambda p: "other")
+    assert engine.to_pandas("SELECT id FROM users WHERE id = 9").id.tolist() == [9]
+
+
+def test_log_replay(spark, tmp_path):
+    path = str(tmp_path / "log")
+    store.append_log(spark.createDataFrame([(1, "put", "a", "1"), (2, "put", "b", "2")], store.LOG), path)
+    store.append_log(spark.createDataFrame([(3, "delete", "a", None), (4, "put", "c", "3")], store.LOG), path)
+    base = spark.createDataFrame([("a", "0"), ("z", "9")], "key string, value string")
+    assert rows(store.replay_log(spark.read.parquet(path), base)) == [("b", "2"), ("c", "3"), ("z", "9")]
+    assert rows(store.replay_log(spark.read.parquet(path), upto=2)) == [("a", "1"), ("b", "2")]
+
+
+def test_conflict_classes(spark):
+    data = [(1, [1.0, 0.0, 0.0], ["k"]), (2, [1.0, 0.0, 0.0], ["k"]), (3, [-1.0, 0.0, 0.0], ["k"]), (4, [0.0, 1.0, 0.0], ["m"]), (5, [0.9, 0.1, 0.0], ["n"]), (6, [0.2, 0.0, 1.0, ][:3], ["k"])]
+    found = {(r["a"], r["b"]): r["class"] for r in services.delta_conflicts(spark.createDataFrame(data, "id int, v array<double>, keys array<string>")).collect()}
+    assert found[1, 2] == "Identical" and found[1, 3] == "Opposite" and found[1, 4] == "Orthogonal" and found[1, 5] == "Conflicting"
+    assert found[1, 6] == "Conflicting"  # the same positions, although the angle is wide
+    spread = [(1, [1.0, 0.0, 1.0, 0.0, 0.0], ["k"]), (2, [1.0, 2.0, 0.0, 1.0, 0.0], ["k"]), (3, [1.0, 2.0, 0.0, 1.0, 0.0], ["q"])]
+    df = spark.createDataFrame(spread, "id int, v array<double>, keys array<string>")
+    found = {(r["a"], r["b"]): r["class"] for r in services.delta_conflicts(df).collect()}
+    assert found == {(1, 2): "Ambiguous", (1, 3): "LowConflict", (2, 3): "Conflicting"}
+    assert rows(services.conflict_counts(df)) == [("Ambiguous", 1), ("Conflicting", 1), ("LowConflict", 1)]
+    assert rows(services.delta_conflicts(df, merge_overlap=True))[0][2] == "LowConflict"
