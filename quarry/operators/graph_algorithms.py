@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.graph import BOTH, OUT, Graph, weight
+from quarry.operators.skew import components
 from quarry.shared import settle
 
 MOST_ROUNDS = 100
@@ -124,23 +125,9 @@ def betweenness(g: Graph, direction: str = BOTH, sample: int | None = None) -> D
 
 
 def connected_components(g: Graph) -> DataFrame:
-    """(id, component): component is the smallest id that is connected, ignoring direction. Large-star, small-star rounds."""
-    now = settle(_links(g).select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
-    mark = None
-    while True:
-        for small in (False, True):
-            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-            out = both.join(least, "u").where("v <= u" if small else "v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            if small:
-                out = out.unionByName(least.select("u", F.col("m").alias("v")))
-            now = out.where("u <> v").distinct()
-        now = settle(now, "star")
-        seen = tuple(now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
-        if seen == mark:
-            break
-        mark = seen
-    return g.nodes.select("id").join(now, g.nodes["id"] == now["u"], "left").select("id", F.coalesce("v", "id").alias("component"))
+    """(id, component): component is the smallest id that is connected, ignoring direction. Large-star, small-star rounds, hubs dealt out."""
+    found = components(_links(g).select("a", "b"))
+    return g.nodes.select("id").join(found, g.nodes["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def label_propagation(g: Graph, rounds: int = 10) -> DataFrame:
