@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,22 @@ def cost(input_tokens: Column, output_tokens: Column, input_per_1k: float, outpu
     return input_tokens / 1000 * input_per_1k + output_tokens / 1000 * output_per_1k
 
 
+def token_count(c: Column, tokenizer: str) -> Column:
+    """Tokens of a text by a tokenizers file; NULL counts as empty."""
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(tokenizer)
+        made.no_padding()
+        made.no_truncation()
+        for batch in batches:
+            yield pd.Series([len(made.encode(t, add_special_tokens=False).ids) for t in batch], dtype="int64")
+
+    return count(F.coalesce(c, F.lit("")))
+
+
 def content_hash(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c, 256))
 

@@ -96,13 +96,13 @@ def top_per_group(rows: DataFrame, query: list[float], k: int, group: str, metri
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def each_block_pair(rows: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def each_block_pair(rows: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, block_rows: int | None = None) -> DataFrame:
     """What run(left, right, same) returns for every two blocks of rows, so that any two rows meet in exactly one task.
 
-    Rows are dealt evenly to blocks of about block_rows by a hash. A task holds two blocks, whatever the rows have in
+    Rows are dealt evenly to blocks of about block_rows (BLOCK_ROWS) by a hash. A task holds two blocks, whatever the rows have in
     common; each row is sent once for every block, and only what run returns leaves a task. same: both are one block.
     """
-    blocks = max(1, -(-rows.count() // block_rows))
+    blocks = max(1, -(-rows.count() // (block_rows or BLOCK_ROWS)))
     dealt = rows.withColumn("_b", F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")
     dealt = dealt.select("*", other).select(*rows.columns, "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))

@@ -31,6 +31,8 @@ CACHE = "key string, prompt string, response string, embedding array<float>, cre
 ARTIFACTS = "id string, content_type string, created_by string, tags array<string>, links array<string>, chunks array<string>, size long"
 CHUNKS = "hash string, data binary, size long"
 MOST_NAME, CHUNK_BYTES, TTL_SECONDS = 255, 1 << 20, 86_400
+#: Inserts after which a table's parts are written as one.
+MOST_PARTS = 16
 
 
 class CatalogError(ValueError):
@@ -61,6 +63,7 @@ class Engine:
         self.collections: dict[str, tuple[int | None, str]] = {}
         self.vector_indexes: dict[str | None, tuple[DataFrame, S.StoredIndex]] = {}
         self.graph_indexes: list[str] = []
+        self.parts: dict[str, int] = {}  # written since a table was last written as a whole
         self._before: dict[str, Any] | None = None
 
     # catalog
@@ -206,9 +209,24 @@ class Engine:
         kinds = dict(df.dtypes)
         new = new.select(*[(F.col(c) if c in columns else F.expr(defaults.get(c, "NULL"))).cast(kinds[c]).alias(c) for c in df.columns])
         new = settle(new, "new")
-        self._write(table, df.unionByName(new))
+        self._append(table, new)
         return self._done(new.count())
 
+    def _append(self, table: str, new: DataFrame) -> None:
+        """Add rows as one more written part; only they, and the rows that share a unique key with them, are checked."""
+        old = self.table(table)
+        for c in self.constraints.get(table, []):
+            if c[0] in ("primary_key", "unique"):
+                keys = new.select(*c[1]).dropna().distinct()
+                self._check(table, old.join(keys, c[1], "left_semi").select(*new.columns).unionByName(new), [c])
+            else:
+                self._check(table, new, [c])
+        self.parts[table] = self.parts.get(table, 0) + 1
+        both = old.unionByName(new)
+        if self.parts[table] > MOST_PARTS:
+            both, self.parts[table] = settle(both, table), 0
+        self.register(table, both)
+
     def _update(self, table: str, changes: dict[str, str], where: str | None) -> DataFrame:
         df = self.table(table)
         n = df.where(self._expr(where)).count()

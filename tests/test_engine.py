@@ -304,3 +304,14 @@ def test_conflict_classes(spark):
     assert found == {(1, 2): "Ambiguous", (1, 3): "LowConflict", (2, 3): "Conflicting"}
     assert rows(services.conflict_counts(df)) == [("Ambiguous", 1), ("Conflicting", 1), ("LowConflict", 1)]
     assert rows(services.delta_conflicts(df, merge_overlap=True))[0][2] == "LowConflict"
+
+
+def test_many_inserts_are_checked_and_written_together(engine, monkeypatch):
+    monkeypatch.setattr("quarry.plans.engine.MOST_PARTS", 2)
+    for k in range(4, 9):
+        engine.execute(f"INSERT INTO users VALUES ({k}, 'N{k}', {k})")
+    assert engine.execute("SELECT count(*), max(id) FROM users").first()[:] == (8, 8) and engine.parts["users"] < 3
+    for bad in ("(8, 'again', 1)", "(20, NULL, 1)", "(30, 'a', 1), (30, 'b', 2)"):
+        with pytest.raises(CatalogError):
+            engine.execute(f"INSERT INTO users VALUES {bad}")
+    assert engine.execute("SELECT count(*) FROM users").first()[0] == 8

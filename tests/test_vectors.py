@@ -6,6 +6,7 @@ from quarry.functions import encoding as E
 from quarry.functions import geo, text
 from quarry.functions import vectors as V
 from quarry.operators import conditions as C
+from quarry.operators import services
 from quarry.operators import vector_search as S
 from tests.conftest import rows
 
@@ -96,3 +97,36 @@ def test_tensor_train():
     assert np.allclose(E.tt_vector(cores), v)
     assert E.tt_dot(cores, cores) == pytest.approx(v @ v)
     assert E.tt_cosine(cores, cores) == pytest.approx(1)
+
+
+def test_pairs_of_all_rows_block_by_block(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    v = r.normal(size=(120, 6)).round(3)
+    v[7] = 0
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "key long, embedding array<double>")
+    n = np.linalg.norm(v, axis=1)
+    n[7] = 1
+    cos = (v @ v.T) / n[:, None] / n[None, :]
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if cos[i, j] >= 0.8}
+    for size in (2048, 17):
+        monkeypatch.setattr(S, "BLOCK_ROWS", size)
+        found = S.near_pairs(df, 0.8).collect()
+        assert {(r["a"], r["b"]) for r in found} == want and len(found) == len(want)
+        assert all(abs(r["score"] - cos[r["a"], r["b"]]) < 1e-9 for r in found)
+        np.fill_diagonal(cos, -2)
+        best = cos.argmax(1)
+        pairs = {(min(i, b), max(i, b)) for i, b in enumerate(best.tolist()) if cos[i, b] >= 0.5}
+        assert {(r["a"], r["b"]) for r in services.nearest_other(df, 0.5).collect()} == pairs
+        np.fill_diagonal(cos, 1)
+    near = {(r["a"], r["b"]) for r in S.near_pairs(df, 0.8, approximate=True).collect()}
+    assert near <= want and len(near) >= 0.9 * len(want)
+
+
+def test_product_codes_are_the_nearest(spark):
+    r = np.random.default_rng(8)
+    v = r.normal(size=(40, 4))
+    pq = S.ProductQuantizer(r.normal(size=(2, 5, 2)))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "key long, embedding array<double>")
+    for row in pq.encode(df).collect():
+        parts = np.asarray(row["embedding"]).reshape(2, 2)
+        assert row["codes"] == [int(((pq.books[p] - parts[p]) ** 2).sum(1).argmin()) for p in range(2)]
