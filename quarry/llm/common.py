@@ -1,18 +1,17 @@
-"""Helpers shared by the training-data operators: skew-safe lookups, distributed prefix sums, bitmaps; materialize is quarry.shared.settle."""
+"""Helpers shared by the training-data operators: distributed prefix sums and bitmaps; lookup is that of quarry.operators.skew, materialize quarry.shared.settle."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.skew import HEAVY, lookup  # noqa: F401
 from quarry.shared import settle as materialize  # noqa: F401
 
 #: The six ASCII white-space characters that separate words, as a regular-expression class body.
 WS = r"\x20\x09-\x0D"
 WORD = f"[^{WS}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A key is heavy when it holds at least this part of all rows; so there are at most HEAVY heavy keys.
-HEAVY = 1000
 
 
 def ascii_lower(c: Column) -> Column:
@@ -39,26 +38,6 @@ def id_back(df: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
     return df.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), *[c for c in df.columns if c != "_id"])
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], n_rows: str, total: int | None = None) -> DataFrame:
-    """Left join to a table with one row per key, safe for keys that hold a large part of all rows.
-
-    n_rows is right's count of left's rows per key. Keys with at least 1/HEAVY of all rows, of
-    which there are at most HEAVY, are broadcast. Rows they serve take a salt that matches
-    nothing, so the shuffle join that serves the rest deals them out evenly. Keys aren't null.
-    total is the number of left's rows, or somewhat more, where it is known.
-    """
-    values = [c for c in right.columns if c not in keys]
-    if total is None:
-        total = right.agg(F.sum(n_rows)).first()[0] or 0
-    least = max(2, -(-total // HEAVY))
-    heavy = right.where(F.col(n_rows) >= least).select(*keys, F.struct(*values).alias("_heavy"))
-    rest = right.where(F.col(n_rows) < least).select(*keys, F.struct(*values).alias("_rest"), F.lit(0).alias("_salt"))
-    salt = F.when(F.col("_heavy").isNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(4093)).cast("int"))
-    out = left.join(F.broadcast(heavy), keys, "left").withColumn("_salt", salt).join(rest, [*keys, "_salt"], "left")
-    own = [c for c in left.columns if c not in keys]
-    return out.select(*keys, *own, *[F.coalesce(F.col("_heavy")[v], F.col("_rest")[v]).alias(v) for v in values])
-
-
 def running_sum(df: DataFrame, group: str, bucket: str, order: list[str], value: str, out: str) -> DataFrame:
     """Exclusive prefix sum of value within group, ordered by (bucket, *order), with no group in one task.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import HEAVY, bitmap, bitmap_bits, id_as_text, id_back, in_bitmap, lookup, materialize, text_or_empty
-from quarry.llm.components import components
+from quarry.operators.skew import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: A bucket with more distinct fingerprints than this is linked by stars instead of pairs. By chance 36-bit keys meet so often
@@ -58,21 +58,18 @@ def _steps(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """
     one = 1 << np.arange(bits)
     two = np.array([a | b for i, a in enumerate(one) for b in one[:i]])
-    every = np.arange(2048)
 
-    def moved(flips: np.ndarray) -> np.ndarray:
+    def moved(flips: np.ndarray, s: int) -> np.ndarray:
         syndrome = _REMAINDER[flips >> 11] ^ (flips & 2047)
-        return (flips[None, :] ^ _ERROR[every[:, None] ^ syndrome[None, :]] ^ _ERROR[every][:, None]) >> 11
+        return np.unique((flips ^ _ERROR[s ^ syndrome] ^ _ERROR[s]) >> 11)
 
-    def distinct(found: list[set[int]]) -> np.ndarray:
-        out = np.full((2048, max(map(len, found))), -1, np.int64)
+    first = [np.setdiff1d(moved(one, s), [0]) for s in range(2048)]
+    second = [np.setdiff1d(moved(two, s), [0, *near]) for s, near in enumerate(first)]
+    out = tuple(np.full((2048, max(map(len, found))), -1, np.int64) for found in (first, second))
+    for table, found in zip(out, (first, second), strict=True):
         for s, own in enumerate(found):
-            out[s, : len(own)] = sorted(own)
-        return out
-
-    first = [set(row) - {0} for row in moved(one).tolist()]
-    second = [set(row) - {0} - near for row, near in zip(moved(two).tolist(), first, strict=True)]
-    return distinct(first), distinct(second)
+            table[s, : len(own)] = own
+    return out
 
 
 #: Most keys of a fingerprint.
@@ -151,15 +148,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 def _keyed(fps: DataFrame) -> DataFrame:
     """(key, flips, fp) for every key of every distinct fingerprint."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch["fp"].to_numpy(np.int64)
-            for at in range(0, len(own), 1 << 12):
-                part = own[at : at + (1 << 12)]
+            own = batch.column(0).to_numpy()
+            for at in range(0, len(own), 1 << 10):
+                part = own[at : at + (1 << 10)]
                 row, key, flips = fuzzy_keys(part.view(np.uint64))
-                yield pd.DataFrame({"key": key, "flips": flips, "fp": part[row]})
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(flips), pa.array(part[row])], ["key", "flips", "fp"])
 
-    return fps.select("fp").mapInPandas(run, "key long, flips byte, fp long")
+    return fps.select("fp").mapInArrow(run, "key long, flips byte, fp long")
 
 
 def _ball(fps: DataFrame, radius: int) -> DataFrame:
@@ -172,8 +169,10 @@ def _ball(fps: DataFrame, radius: int) -> DataFrame:
     return fps.select(F.explode(masks).alias("_m"), "fp").select(F.expr("fp ^ _m").alias("z"), "fp")
 
 
-def _dense_links(keys: DataFrame, dense: DataFrame, heavy: DataFrame) -> DataFrame:
-    """Links that connect the fingerprints of dense buckets as all their pairs would, in rows linear in the fingerprints.
+def _dense_links(keys: DataFrame, dense: DataFrame, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, parts): links that connect the fingerprints of dense buckets as all their pairs would, in rows linear in the fingerprints.
+
+    parts (fp, part) names for each fingerprint of a dense bucket what is linked by 2 bits or fewer.
 
     Fingerprints within 1 bit of a vector z are within 2 of each other: each takes a link to the
     least of them. Then a pair at distance 3 in different parts has a z within 1 of one end and 2
@@ -187,8 +186,8 @@ def _dense_links(keys: DataFrame, dense: DataFrame, heavy: DataFrame) -> DataFra
     near = materialize(_ball(fps, 1), "ball1")
     least = near.groupBy("z").agg(F.min("fp").alias("b"), F.count("*").alias("_n"))
     links = materialize(near.join(least.where("_n > 1").hint("merge"), "z").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct(), "links2")
-    part = materialize(components(links), "parts")
-    own = fps.join(part, fps["fp"] == part["node"], "left").select("fp", F.coalesce("component", "fp").alias("part"), F.lit(1).alias("_one"))
+    part = components(links)
+    own = materialize(fps.join(part, fps["fp"] == part["node"], "left").select("fp", F.coalesce("component", "fp").alias("part")), "parts")
     times = member.groupBy("fp").agg(F.count("*").alias("_times"))
     placed = materialize(member.join(own.join(times, "fp"), "fp").select("key", "fp", "part"), "placed")
     main = placed.groupBy("key", "part").agg(F.count("*").alias("_c")).groupBy("key").agg(F.max_by("part", F.struct("_c", "part")).alias("_main"), F.sum("_c").alias("_n"))
@@ -197,7 +196,7 @@ def _dense_links(keys: DataFrame, dense: DataFrame, heavy: DataFrame) -> DataFra
     bits = bitmap_bits(16 * 65 * fps.count())
     far = in_bitmap(_ball(materialize(odd, "odd"), 2), F.xxhash64("z"), materialize(bitmap(least, F.xxhash64("z"), bits), "bits"), bits, "_may").where("_may")
     far = far.join(least.select("z", "b").hint("merge"), "z").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return links.unionByName(far.distinct())
+    return links.unionByName(far.distinct()), own
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -224,11 +223,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     heavy = materialize(dense.where(F.col("_n") >= max(DENSE + 1, -(-total // HEAVY))).select("key"), "heavykeys")
     few = hits.join(F.broadcast(heavy), "key", "left_anti").join(count.where(F.col("_n") <= DENSE), "key", "left_semi")
     few = materialize(few, "few")
-    a, b = few.where("flips < 2").select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
-    close = a.join(b, "key").where(f"a <> b and bit_count(a ^ b) <= {DISTANCE}")
-    links = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = None
+    few = few.withColumn("part", F.col("fp"))
     if dense.limit(1).count():
-        links = links.unionByName(_dense_links(hits.select("key", "fp"), dense.select("key"), heavy))
+        links, parts = _dense_links(hits.select("key", "fp"), dense.select("key"), heavy)
+        # what is linked already needs no pairs
+        few = few.drop("part").join(parts, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
+    a, b = (few.where(w).select("key", F.col("fp").alias(x), F.col("part").alias(f"_{x}")) for w, x in (("flips < 2", "a"), ("true", "b")))
+    close = a.join(b, "key").where(f"_a <> _b and bit_count(a ^ b) <= {DISTANCE}")
+    close = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = close if links is None else links.unionByName(close)
     part = components(links)
     known = groups.join(part, groups["fp"] == part["node"], "left").select("fp", "_least", "_rows", F.coalesce("component", "fp").alias("_part"))
     known = materialize(known, "known")
