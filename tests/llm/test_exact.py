@@ -1,6 +1,7 @@
 """Operators whose results a plain version repeats exactly."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -271,6 +272,54 @@ def plain_targets(sizes, weights=(5, 2, 1)):
         full |= over
 
 
+def plain_mix(data):
+    """Words taken of each (id, source, text), ids distinct, slot by slot."""
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, _, t in data}
+    sizes = Counter()
+    for i, source, _ in data:
+        sizes[source] += words[i]
+    want = plain_targets(dict(sizes))
+    names = sorted([x for x in sizes if x is not None]) + ([None] if None in sizes else [])
+    whole = {x: round(want[x]) for x in names}
+    total = sum(whole.values())
+    block = max(1, -(-total // mixing.SLOTS))
+    slots, taken = Counter(), Counter()
+    for k in range(-(-total // block)):
+        at, low = (k * mixing.GOLDEN - math.floor(k * mixing.GOLDEN)) * total, 0
+        for x in names:
+            if low <= at < low + whole[x]:
+                slots[x] += 1
+            low += whole[x]
+    for x in names:
+        line = sorted((int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), i) for i, source, _ in data if source == x)
+        left = min(slots[x] * block, 2 * sizes[x])
+        for _ in range(2):
+            for _, i in line:
+                own = min(words[i], left)
+                taken[i] += own
+                left -= own
+    return {i: taken[i] for i, _, _ in data}
+
+
+def plain_mixed(data):
+    """(id, text) of the rows of the mix."""
+    out = []
+    taken = plain_mix(data)
+    for i, _, t in data:
+        ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        if ends:
+            out += [(i, t)] * (taken[i] // len(ends))
+            if taken[i] % len(ends):
+                out.append((i, t[: ends[taken[i] % len(ends) - 1]]))
+    return out
+
+
+def test_mix_matches_a_plain_version(docs):
+    data = [(r["doc_id"], r["source"], r["text"]) for r in docs.select("doc_id", "source", "text").collect()]
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs)[0].collect()} == plain_mix(data)
+    assert Counter((r["doc_id"], r["text"]) for r in mixing.mixed_rows(docs).collect()) == Counter(plain_mixed(data))
+
+
 def test_mix_reaches_targets(docs, edge_docs, empty_docs):
     for df in (docs, edge_docs):
         p = mixing.mix(df)[0].toPandas().astype({"source": object})

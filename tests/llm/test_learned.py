@@ -315,6 +315,43 @@ def test_held_out_toxicity(spark):
     assert p.score.between(0, 1).all() and ((p.score >= 0.5) == (p.predicted == 1)).all()
 
 
+def plain_toxicity(model, text):
+    """The score of a text from lengths of one-off compressions."""
+    import zstandard as z
+
+    data, at, pieces = text.encode().lower(), 0, []
+    while at < len(data):
+        end = at + 32
+        space = data.rfind(b" ", at + 16, end) if end < len(data) else 0
+        end = space + 1 if space > 0 else end
+        pieces.append(data[at:end])
+        at = end
+    known = len(model.toxic) + len(model.ordinary)
+    params = z.ZstdCompressionParameters.from_level(6, source_size=96, dict_size=known, min_match=4, write_content_size=False, write_dict_id=False, write_checksum=False)
+
+    def size(content, piece):
+        d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=params)
+        return len(z.ZstdCompressor(compression_params=params, dict_data=d).compress(model.ordinary[-64:] + piece))
+
+    gain = sorted((size(model.ordinary, p) - size(model.toxic + model.ordinary, p) for p in pieces or [b""]), reverse=True)
+    up, n = [max(0, g) for g in gain], len(gain)
+    x = [gain[0], math.log1p(sum(up)), sum(up) / n, sum(g >= 3 for g in gain) / n, *[math.log1p(sum(g >= k for g in gain)) for k in (2, 4, 6)], sum(gain[:3]) / len(gain[:3]), math.log1p(n)]
+    u = [max(-6.0, min(6.0, (a - c) / s)) for a, c, s in zip(x, model.center, model.spread, strict=True)]
+    terms = [1.0, *u, *[u[i] * u[j] for i in range(len(u)) for j in range(i + 1)]]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(terms, model.weights, strict=True))))
+
+
+def test_toxicity_scores_are_those_of_a_plain_version(spark):
+    r = random.Random(5)
+    plain = lambda n: " ".join(r.choice("a calm and plain text about things that you total here in there".split()) for _ in range(n))
+    texts = [plain(40) + " zzzbad " + plain(40) for _ in range(60)] + [plain(r.randint(1, 200)) for _ in range(120)]
+    model = toxicity.fit(texts, [1] * 60 + [0] * 120)
+    some = [*texts[::9], "", "x", "é" * 50, "you zzzbad zzzbad " * 3]
+    got = toxicity.scores(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), model).collect()
+    assert [r["score"] for r in sorted(got)] == pytest.approx([plain_toxicity(model, t) for t in some])
+
+
 def test_toxicity_of_odd_rows(spark, edge_docs, empty_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(edge_docs, none)
@@ -408,13 +445,14 @@ def test_pipeline_against_plain_stages(spark, docs):
     import hashlib
 
     import corpus_pipeline
-    from quarry.llm import mixing, queries
-    from tests.llm.test_exact import SPACE
+    from quarry.llm import queries
+    from tests.llm.test_exact import SPACE, plain_mixed
 
     d = "/root/testdata/sf0.001"
     labels = spark.read.parquet(f"{d}/labels.parquet")
-    scorer = toxicity.Scorer(toxicity.train(docs, labels))
-    rows = [r for r in docs.collect() if scorer.score(r["text"]) < 0.5]
+    model = toxicity.train(docs, labels)
+    clean = (lambda t: plain_toxicity(model, t) < 0.5) if len(model.weights) else lambda t: model.prior < 0.5
+    rows = [r for r in docs.collect() if clean(r["text"])]
     best = {}
     for r in rows:
         k = SPACE.sub("", r["text"])
@@ -423,11 +461,11 @@ def test_pipeline_against_plain_stages(spark, docs):
     rows = list(best.values())
     fps = [plain_fingerprint(r["text"]) for r in rows]
     rows = [r for r, c in zip(rows, plain_components(fps, [r["doc_id"] for r in rows]), strict=True) if r["doc_id"] == c]
-    mixed = mixing.mixed_rows(spark.createDataFrame(rows, docs.schema)).collect()
+    mixed = plain_mixed([(r["doc_id"], r["source"], r["text"]) for r in rows])
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    want = Counter((r["doc_id"], len(ids := t.encode(r["text"], add_special_tokens=False).ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()) for r in mixed)
+    want = Counter((d, len(ids := t.encode(text, add_special_tokens=False).ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()) for d, text in mixed)
     got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, d).collect())
     assert got == want
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity"
