@@ -18,6 +18,8 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: A bucket with more distinct fingerprints than this is linked by stars instead of pairs. By chance 36-bit keys meet so often
 #: only beyond 1e10 distinct fingerprints; such buckets hold families of near copies.
 DENSE = 64
+#: Fingerprints of a task that makes keys, about 120 each: a count before the shuffle holds a million keys, however few files hold the fingerprints.
+TASK_FPS = 8192
 #: Generator polynomial of the binary Golay code (23, 12): x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 #: Bits of the fingerprint in each segment; the code's words have 23 bits, missing ones are 0.
@@ -145,8 +147,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return id_back(narrow.mapInArrow(run, "_id string, fp long"), docs, id_col)
 
 
-def _keyed(fps: DataFrame) -> DataFrame:
-    """(key, flips, fp) for every key of every distinct fingerprint."""
+def _keyed(fps: DataFrame, total: int) -> DataFrame:
+    """(key, flips, fp) for every key of every distinct fingerprint, of which there are total; TASK_FPS of them a task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +158,8 @@ def _keyed(fps: DataFrame) -> DataFrame:
                 row, key, flips = fuzzy_keys(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(flips), pa.array(part[row])], ["key", "flips", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "key long, flips byte, fp long")
+    dealt = fps.select("fp").repartition(max(1, -(-total // TASK_FPS)))
+    return dealt.mapInArrow(run, "key long, flips byte, fp long")
 
 
 def _ball(fps: DataFrame, radius: int) -> DataFrame:
@@ -209,11 +212,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """
     rows = materialize(fingerprints(docs, id_col, text), "fingerprints")
     groups = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("_least"), F.count("*").alias("_rows")), "groups")
-    keys = materialize(_keyed(groups), "keys")
+    total = groups.count()
+    # made twice rather than stored: a file's row group of keys would be one task's to count
+    keys = _keyed(groups, total)
     # shared by two fingerprints, of which one comes to the key with at most 1 flip
     count = keys.groupBy("key").agg(F.count("*").alias("_n"), F.min("flips").alias("_least"))
     count = materialize(count.where("_n > 1 and _least < 2").select("key", "_n"), "shared")
-    total, n_shared = groups.count(), count.count()
+    n_shared = count.count()
     # a bitmap of the shared keys drops the others, nearly all, before any join shuffles them
     bits = bitmap_bits(8 * n_shared)
     pages = materialize(bitmap(count, F.xxhash64("key"), bits), "pages")

@@ -111,6 +111,13 @@ def test_dense_families_keep_every_link(spark, monkeypatch):
     assert [got[i] for i in range(len(fps))] == plain_components(own, list(range(len(fps))))
 
 
+def test_keys_are_made_in_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TASK_FPS", 100)
+    fps = spark.range(0, 1000, 1, 1).select(F.xxhash64("id").alias("fp"))  # as one file would hold them
+    tasks = simhash._keyed(fps, 1000).groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("fp").alias("n"))
+    assert sorted(r["n"] for r in tasks.collect()) == [100] * 10
+
+
 @pytest.mark.parametrize("local", [0, 100_000])
 def test_components_of_a_long_path_and_a_hub(spark, local, monkeypatch):
     monkeypatch.setattr("quarry.operators.skew.MOST_LOCAL", local)
