@@ -242,7 +242,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def _create(e: Engine, paths: list[list], bound: DataFrame | None) -> DataFrame:
-    """Nodes and edges of the paths, once for every binding (or once); (id) of the new nodes and edges."""
+    """Nodes and edges of the paths, once for every binding (or once); (id) of the new nodes, then of the new edges, each in order."""
     known = set() if bound is None else set(bound.columns)
     rows = _numbered(e.spark.range(1).drop("id") if bound is None else bound)
     fresh = list({p.var: p for path in paths for p in path[::2] if p.var not in known}.values())
@@ -265,7 +265,7 @@ def _create(e: Engine, paths: list[list], bound: DataFrame | None) -> DataFrame:
             whole = n if whole is None else whole.unionByName(n, allowMissingColumns=True)
         if whole is not None:
             whole = settle(whole, "made")
-            made.append(whole.select(F.col("id").cast("long").alias("id")))
+            made.append(whole.select(F.col("id").cast("long").alias("id")).orderBy("id"))  # files are read back in any order
             if put:
                 put(whole)
             else:

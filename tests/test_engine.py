@@ -191,6 +191,12 @@ def test_streamed_buckets(spark, tmp_path):
     assert sorted(r["n"] for r in spark.table("buckets").collect()) == [1, 2]
 
 
+def test_created_ids_come_in_order(spark):
+    long = "".join(chr(97 + i * i % 23 + i % 3) for i in range(9000))  # the larger file is read first
+    made = Engine(spark).execute(f"CREATE (a:p {{n: 'A'}}), (b:p {{n: '{long}'}}), (a)-[:x]->(b), (b)-[:x {{n: '{long}'}}]->(a)")
+    assert [r["id"] for r in made.collect()] == [1, 2, 1, 2]
+
+
 def test_pattern_statements(spark):
     e = Engine(spark)
     one = lambda text: [tuple(r) for r in e.execute(text).collect()]
