@@ -1,4 +1,8 @@
-"""A gated recurrent unit with class-factored softmax in numpy: truncated backpropagation, state carried across windows."""
+"""A gated recurrent unit with class-factored softmax in numpy: truncated backpropagation, state carried across windows.
+
+Scoring keeps a step's streams, or a class's tokens, side by side in the last axis, so that gates are whole blocks
+and sums over units run along rows of memory. Training keeps rows: its larger arrays gain nothing by that.
+"""
 
 from __future__ import annotations
 
@@ -100,34 +104,39 @@ def log_likelihoods(p: Params, docs: list[np.ndarray], end: int) -> np.ndarray:
     if not docs:
         return out
     gates = p.e @ p.wx + p.b
+    ut = np.ascontiguousarray(p.u.T)
     targets, owner = pack(docs, SCORE_STREAMS)
-    h = np.zeros((targets.shape[1], HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, targets.shape[1]), np.float32)
     last = np.zeros(targets.shape[1], np.int32)
     before = np.full(targets.shape[1], -1, np.int32)
     for at in range(0, len(targets), SCORE_STEPS):
         t, o = targets[at : at + SCORE_STEPS], owner[at : at + SCORE_STEPS]
         active = int((o[0] >= 0).sum())
         t, o = t[:, :active], o[:, :active]
-        h, last, before = h[:active], last[:active], before[:active]
+        h, last, before = h[:, :active], last[:active], before[:active]
         inputs = np.vstack([last[None], t[:-1]])
         first = np.vstack([before[None], o[:-1]]) != o
         inputs[first] = end
-        x = gates[inputs]
-        states = np.empty((len(t), active, HIDDEN), np.float32)
+        x = np.ascontiguousarray(gates[inputs].transpose(0, 2, 1))
+        states = np.empty((len(t), HIDDEN, active), np.float32)
         fresh = first.any(axis=1)
         for s in range(len(t)):
             if fresh[s]:
-                h = h * ~first[s][:, None]
+                h = h * ~first[s]
             g = x[s]
-            hu = h @ p.u
-            zr = _sigmoid(g[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-            z = zr[:, :HIDDEN]
-            n = np.tanh(g[:, 2 * HIDDEN :] + zr[:, HIDDEN:] * hu[:, 2 * HIDDEN :])
-            h = n + z * (h - n)
+            hu = ut @ h
+            g[: 2 * HIDDEN] += hu[: 2 * HIDDEN]
+            zr = _sigmoid(g[: 2 * HIDDEN])
+            n = zr[HIDDEN:] * hu[2 * HIDDEN :]
+            n += g[2 * HIDDEN :]
+            np.tanh(n, out=n)
+            h = h - n
+            h *= zr[:HIDDEN]
+            h += n
             states[s] = h
         last, before = t[-1], o[-1]
         real = o >= 0
-        out += np.bincount(o[real], _log_probs(p, states[real], t[real]), len(docs))
+        out += np.bincount(o[real], _log_probs(p, states.transpose(0, 2, 1)[real], t[real]), len(docs))
     return out
 
 
@@ -139,16 +148,16 @@ def _log_probs(p: Params, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     rows = np.arange(len(h))
 
     def log_share(logits: np.ndarray, own: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        logits -= logits.max(1, keepdims=True)
-        picked = logits[rows, own]
-        return picked - np.log(np.exp(logits, out=logits).sum(1))
+        logits -= logits.max(0)
+        picked = logits[own, rows]
+        return picked - np.log(np.exp(logits, out=logits).sum(0))
 
-    found = log_share(h @ p.wc + p.bc, cls, rows)
+    found = log_share(p.wc.T @ h.T + p.bc[:, None], cls, rows)
     bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
     for c in range(CLASSES):
         a, b = bounds[c], bounds[c + 1]
         if a < b:
-            found[a:b] += log_share(h[a:b] @ p.ww[c].T + p.bw[c], word[a:b], rows[: b - a])
+            found[a:b] += log_share(p.ww[c] @ h[a:b].T + p.bw[c][:, None], word[a:b], rows[: b - a])
     out = np.empty_like(found)
     out[order] = found
     return out

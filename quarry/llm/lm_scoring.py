@@ -6,6 +6,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +31,8 @@ SEED_DOCS = 1500
 SHARD_TOKENS, ROUND_RATE = 1_000_000, 0.01
 #: Tokens that a task holds before it trains on them, before it scores them (three times as many of long documents), and words it counts at once.
 TRAIN_TOKENS, MOST_TOKENS, LONG_TOKENS, MOST_WORDS = 2_000_000, 500_000, 2048, 500_000
+#: Tokens that are looked up at once; a longer document is looked up whole.
+CODED_TOKENS = 100_000
 #: Weights are added up as whole multiples of 2^-32, so that their mean doesn't depend on the order of the sum.
 _FIXED = float(1 << 32)
 
@@ -133,15 +136,24 @@ def lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(dict(zip(words, range(len(words)), strict=True)), unit, logs - base_log, rest, bucket_unit, bucket_log, int(place[0]), size[order], n, v, base_log)
 
 
-def _units(lex: Lexicon, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, Counter]:
-    """(units, head indices, counts of the words outside the head) of a document."""
-    get = lex.index.get
-    index = np.array([get(w, -1) for w in words], np.int64)
-    unit = lex.unit[index] if len(lex.unit) else np.zeros(len(words), np.int32)
-    far = np.nonzero(index < 0)[0]
-    for i in far:
-        unit[i] = lex.end if words[i] == END else lex.bucket_unit[bucket(words[i])]
-    return unit.astype(np.int32), index[index >= 0], Counter(words[i] for i in far)
+def _units(lex: Lexicon, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[Counter]]:
+    """(units of all documents' tokens, ends of the documents, [head tokens, their base, their rest] by document, counts of the words outside the head)."""
+    ends = np.cumsum([len(words) for words in docs])
+    starts = ends - [len(words) for words in docs]
+    index = np.fromiter(map(lex.index.get, chain.from_iterable(docs), repeat(-1)), np.int64, ends[-1])
+    if not len(lex.unit):
+        unit, sums = np.zeros(len(index), np.int32), [np.zeros(len(docs), np.int64), np.zeros(len(docs)), np.zeros(len(docs))]
+    else:
+        unit, head = lex.unit[index], index >= 0
+        sums = [np.add.reduceat(x, starts) for x in (head.astype(np.int64), np.where(head, lex.base[index], 0.0), np.where(head, lex.rest[index], 0.0))]
+    far: list[Counter] = [Counter() for _ in docs]
+    place = np.nonzero(index < 0)[0]
+    owner = np.searchsorted(ends, place, "right")
+    for i, d, k in zip(place.tolist(), owner.tolist(), (place - starts[owner]).tolist(), strict=True):
+        word = docs[d][k]
+        unit[i] = lex.end if word == END else lex.bucket_unit[bucket(word)]
+        far[d][word] += 1
+    return unit, ends, sums, far
 
 
 def encode(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,19 +163,26 @@ def encode(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text: str = "t
     """
     mass = [float(x) for x in lex.bucket_log]
 
+    def table(keys: pa.Array, flags: pa.Array, held: list[list[bytes]]) -> pa.RecordBatch:
+        unit, ends, (known, base, rest), counted = _units(lex, held)
+        far = [w for x in counted for w in x]
+        entry = [pa.array(far, pa.binary()), pa.array([k for x in counted for k in x.values()], pa.int64()), pa.array([0.0 if w == END else mass[bucket(w)] for w in far], pa.float64())]
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in counted])]), pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(entry, ["token", "k", "mass"]))
+        cells = pa.array([x.tobytes() for x in np.split(unit.astype("<u2"), ends[:-1])], pa.binary())
+        sizes = pa.array([len(x) for x in held], pa.int64())
+        return pa.RecordBatch.from_arrays([keys, flags, sizes, pa.array(known), pa.array(base), pa.array(rest), cells, lists], ["_id", "held_out", "n_tokens", "known", "base", "rest", "units", "far"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                keys, flags, texts = batch.slice(at, 256).columns
-                rows = [_units(lex, tokens(t.as_py())) for t in texts]
-                far = [w for x in rows for w in x[2]]
-                entry = [pa.array(far, pa.binary()), pa.array([k for x in rows for k in x[2].values()], pa.int64()), pa.array([0.0 if w == END else mass[bucket(w)] for w in far], pa.float64())]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[2]) for x in rows])]), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(entry, ["token", "k", "mass"]))
-                sizes = [pa.array([len(x[k]) for x in rows], pa.int64()) for k in (0, 1)]
-                sums = [pa.array([float(of[x[1]].sum()) for x in rows], pa.float64()) for of in (lex.base, lex.rest)]
-                units = pa.array([x[0].astype("<u2").tobytes() for x in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([keys, flags, *sizes, *sums, units, lists], ["_id", "held_out", "n_tokens", "known", "base", "rest", "units", "far"])
+            keys, flags, texts = batch.columns
+            at, held, n = 0, [], 0
+            for k, t in enumerate(texts, 1):
+                held.append(tokens(t.as_py()))
+                n += len(held[-1])
+                if n >= CODED_TOKENS or k == len(texts):
+                    yield table(keys[at:k], flags[at:k], held)
+                    at, held, n = k, [], 0
 
     narrow = docs.select(id_as_text(id_col), held_out(F.col(id_col)).alias("held_out"), text_or_empty(text).alias("text"))
     schema = "_id string, held_out boolean, n_tokens long, known long, base double, rest double, units binary, far array<struct<token:binary,k:long,mass:double>>"

@@ -276,6 +276,16 @@ def test_units_have_probabilities_that_add_up():
     assert np.exp(each).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_looking_up_in_groups_changes_nothing(spark, docs, edge_docs, monkeypatch):
+    df = edge_docs.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    lex = lm_scoring.lexicon(lm_scoring.count_tokens(docs))  # without the words of edge_docs
+    found = []
+    for n in (1, 1000, 1 << 30):
+        monkeypatch.setattr(lm_scoring, "CODED_TOKENS", n)
+        found.append(sorted(map(repr, lm_scoring.encode(df, lex).drop("_row", "base", "rest").collect())))
+    assert found[0] == found[1] == found[2]
+
+
 def test_gradients():
     r = np.random.default_rng(5)
     p = gru.Params(*[x.astype(np.float64) for x in gru.start(np.ones(gru.UNITS))])
