@@ -117,3 +117,42 @@ def test_registered_centralities_take_all_sources(spark):
     closeness, between = dict(rows(Q.QUERIES["graph_closeness"](spark, d))), dict(rows(Q.QUERIES["graph_betweenness"](spark, d)))
     assert set(closeness) == set(between) == {r["id"] for r in g.nodes.select("id").collect()}
     assert between == pytest.approx(dict(rows(A.betweenness(g))))
+
+
+def _walked_graph(spark):
+    """Three rings of 40 with chords, apart from each other, a pair and a node alone."""
+    links = [(c * 100 + i, c * 100 + j) for c in range(3) for i in range(40) for j in {(i + 1) % 40, (i * 7 + 3) % 40} if i != j] + [(900, 901)]
+    nodes = spark.createDataFrame([(i,) for i in sorted({x for link in links for x in link} | {999})], "id long")
+    return Graph(nodes, spark.createDataFrame([(a, b, False) for a, b in links], "src long, dst long, directed boolean"))
+
+
+def test_walks_from_all_nodes_store_no_pairs(spark, monkeypatch):
+    from quarry.operators import graph as graph_module
+
+    g, stored, settle = _walked_graph(spark), [], A.settle
+
+    def counted(df, *name):
+        out = settle(df, *name)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(A, "settle", counted)
+    monkeypatch.setattr(graph_module, "settle", counted)
+    n_steps = 2 * A._links(g).count()
+    for walk in (A.betweenness,):
+        assert walk(g).count() == g.nodes.count()
+        assert max(stored) <= n_steps  # pairs are 40 * 40 a ring
+        stored.clear()
+
+
+def test_walks_are_the_same_dealt_to_tasks_and_by_rounds(spark, monkeypatch):
+    g = _walked_graph(spark)
+    whole = {walk: dict(rows(walk(g))) for walk in (A.betweenness, A.closeness)}
+    pairs = {}
+    for s, i, d in g.distances(g.nodes.select("id")).collect():
+        pairs[s] = pairs.get(s, 0) + (1 / d if d else 0)
+    assert whole[A.closeness] == pytest.approx({k: v / (g.nodes.count() - 1) for k, v in pairs.items()})
+    for name, value in (("TASK_STEPS", 1000), ("MOST_KERNEL_EDGES", 50)):
+        monkeypatch.setattr(A, name, value)
+        for walk, want in whole.items():
+            assert dict(rows(walk(g))) == pytest.approx(want)
