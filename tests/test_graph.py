@@ -139,7 +139,7 @@ def test_walks_from_all_nodes_store_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(A, "settle", counted)
     monkeypatch.setattr(graph_module, "settle", counted)
     n_steps = 2 * A._links(g).count()
-    for walk in (A.betweenness,):
+    for walk in (A.betweenness, A.closeness):
         assert walk(g).count() == g.nodes.count()
         assert max(stored) <= n_steps  # pairs are 40 * 40 a ring
         stored.clear()
