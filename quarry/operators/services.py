@@ -334,7 +334,8 @@ def nearest_other(rows: DataFrame, threshold: float, key: str = "key", embedding
 
     found = each_block_pair(rows.select(F.col(key).alias("k"), F.col(embedding).alias("v")), best, f"x {kind}, y {kind}, score double")
     found = found.groupBy("x").agg(F.max(F.struct("score", "y")).alias("m")).select("x", "m.*")
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score").distinct()
+    # two rows that are each other's nearest are one pair, though the products of both directions may differ in the last bit
+    return found.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("score").alias("score"))
 
 
 def cold_rows(rows: DataFrame, last_access: str, before: Column) -> tuple[DataFrame, DataFrame]:

@@ -130,3 +130,23 @@ def test_product_codes_are_the_nearest(spark):
     for row in pq.encode(df).collect():
         parts = np.asarray(row["embedding"]).reshape(2, 2)
         assert row["codes"] == [int(((pq.books[p] - parts[p]) ** 2).sum(1).argmin()) for p in range(2)]
+
+
+def test_nearest_other_lists_a_pair_once(spark, monkeypatch):
+    # the products of blocks of different sizes differ in the last bit by direction
+    exact, calls = S.cosines, []
+
+    def uneven(left, right):
+        calls.append(0)
+        return exact(left, right) + (len(calls) % 2) * 1e-16 * 4
+
+    monkeypatch.setattr(services, "cosines", uneven)
+    monkeypatch.setattr(services, "each_block_pair", _both_blocks_here)
+    df = spark.createDataFrame([(1, [1.0, 0.5]), (2, [1.0, 0.4])], "key long, embedding array<double>")
+    assert [(r["a"], r["b"]) for r in services.nearest_other(df, 0.5).collect()] == [(1, 2)]
+
+
+def _both_blocks_here(rows, run, schema):
+    """each_block_pair with a block for each of two rows, on the driver."""
+    pdf = rows.toPandas()
+    return rows.sparkSession.createDataFrame(run(pdf[:1], pdf[1:], False), schema)
