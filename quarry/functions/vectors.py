@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,7 +99,7 @@ def unit_interval(metric: str, raw: Column) -> Column:
     return (raw + 1) / 2 if metric == "cosine" else raw
 
 
-# Sparse vectors are struct<dim int, pos array<int>, val array<double>>; maps position -> value in between.
+# Sparse vectors are struct<dim int, pos array<int>, val array<double>>; two of them are merged in Arrow batches.
 
 
 def to_sparse(a: Column, threshold: float = 0.0) -> Column:
@@ -102,29 +107,87 @@ def to_sparse(a: Column, threshold: float = 0.0) -> Column:
     return F.struct(F.size(a).alias("dim"), F.transform(kept, lambda e: e["pos"]).alias("pos"), F.transform(kept, lambda e: e["val"]).alias("val"))
 
 
-def as_map(s: Column) -> Column:
-    return F.map_from_arrays(s["pos"], s["val"])
+def _entries(s: Column, f: Callable[[Column], Column] = lambda v: v) -> Column:
+    """(pos, val) with f of the values."""
+    return F.zip_with(s["pos"], s["val"], lambda p, v: F.struct(p.alias("pos"), f(v).alias("val")))
 
 
-def from_map(m: Column, dim: Column) -> Column:
+def _of_entries(kept: Column, dim: Column) -> Column:
     """Positions ascending, zeros dropped."""
-    kept = F.array_sort(F.filter(F.map_entries(m), lambda e: e["value"] != 0))
-    return F.struct(dim.alias("dim"), F.transform(kept, lambda e: e["key"]).alias("pos"), F.transform(kept, lambda e: e["value"]).alias("val"))
+    ordered = F.array_sort(F.filter(kept, lambda e: e["val"] != 0))
+    return F.struct(dim.alias("dim"), F.transform(ordered, lambda e: e["pos"]).alias("pos"), F.transform(ordered, lambda e: e["val"]).alias("val"))
+
+
+def _flat(s: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(dim, -1 for null; rows without values; and of each value its row, position and value, null as 0) of a batch of sparse vectors."""
+    pos, val = s.field("pos"), s.field("val")
+    absent = np.asarray(pc.or_(pc.or_(pos.is_null(), val.is_null()), s.is_null()))
+    n = np.where(absent, 0, np.asarray(pc.fill_null(pc.list_value_length(pos), 0)))
+    if (n != np.where(absent, 0, np.asarray(pc.fill_null(pc.list_value_length(val), 0)))).any():
+        raise ValueError("a sparse vector has as many values as positions")
+    nothing = pa.array(absent)
+    pos, val = (pc.list_flatten(pc.if_else(nothing, pa.scalar(None, x.type), x)) for x in (pos, val))
+    dim = np.where(np.asarray(s.is_null()), -1, np.asarray(pc.fill_null(s.field("dim"), -1)))
+    return dim, absent, np.repeat(np.arange(len(n)), n), np.asarray(pos).astype("int64"), np.asarray(pc.fill_null(val.cast("double"), 0.0))
+
+
+def _lists(rows: np.ndarray, values: np.ndarray, n: int, absent: np.ndarray, kind: str) -> pa.Array:
+    """A list of each of n rows from values in order of their rows, null where absent."""
+    offsets = pa.array(np.r_[0, np.cumsum(np.bincount(rows, minlength=n))].astype("int32"), mask=np.r_[absent, False])
+    return pa.ListArray.from_arrays(offsets, pa.array(values.astype(kind)))
 
 
 def to_dense(s: Column) -> Column:
-    m = as_map(s)
-    return F.when(s["dim"] == 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), s["dim"] - 1), lambda i: F.coalesce(m[i], F.lit(0.0))))
+    @F.arrow_udf("array<double>")
+    def dense(s: pa.Array) -> pa.Array:
+        dim, absent, rows, pos, val = _flat(s)
+        absent = absent & (dim != 0) | (dim < 0)
+        n = np.where(absent, 0, dim)
+        keep = (pos >= 0) & (pos < n[rows])
+        out = np.zeros(n.sum())
+        out[(np.cumsum(n) - n)[rows[keep]] + pos[keep]] = val[keep]
+        return _lists(np.repeat(np.arange(len(n)), n), out, len(n), absent, "double")
+
+    return dense(s)
+
+
+def _matched(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows without values; and of each position of either vector in order its row, position and both values, 0 where there is none)."""
+    (_, gone, ra, pa_, va), (_, away, rb, pb, vb) = _flat(a), _flat(b)
+    absent = gone | away
+    width = 1 + max(pa_.max(initial=0), pb.max(initial=0))
+    keys, at = np.unique(np.r_[ra * width + pa_, rb * width + pb], return_inverse=True)
+    x, y = np.zeros(len(keys)), np.zeros(len(keys))
+    for of, values in ((at[: len(ra)], va), (at[len(ra) :], vb)):
+        if len(of) and np.bincount(of).max() > 1:
+            raise ValueError("a sparse vector has a position twice")
+    x[at[: len(ra)]], y[at[len(ra) :]] = va, vb
+    rows = keys // width
+    kept = ~absent[rows]
+    return absent, rows[kept], (keys % width)[kept], x[kept], y[kept]
 
 
 def sparse_dot(a: Column, b: Column) -> Column:
-    m = as_map(b)
-    return total(F.zip_with(a["pos"], a["val"], lambda p, v: v * F.coalesce(m[p], F.lit(0.0))))
+    @F.arrow_udf("double")
+    def dots(a: pa.Array, b: pa.Array) -> pa.Array:
+        absent, rows, _, x, y = _matched(a, b)
+        return pa.array(np.bincount(rows, x * y, len(absent)), mask=absent)
+
+    return dots(a, b)
+
+
+def _merged(a: Column, b: Column, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Column:
+    """f of the values at each position of either vector, 0 where there is none; positions ascending, zeros dropped."""
 
+    @F.arrow_udf("struct<dim:int,pos:array<int>,val:array<double>>")
+    def merge(a: pa.Array, b: pa.Array) -> pa.Array:
+        absent, rows, pos, x, y = _matched(a, b)
+        v = f(x, y)
+        kept = v != 0
+        lists = [_lists(rows[kept], part[kept], len(absent), absent, kind) for part, kind in ((pos, "int32"), (v, "double"))]
+        return pa.StructArray.from_arrays([a.field("dim"), *lists], ["dim", "pos", "val"])
 
-def _merged(a: Column, b: Column, f) -> Column:
-    zero = F.lit(0.0)
-    return from_map(F.map_zip_with(as_map(a), as_map(b), lambda _, x, y: f(F.coalesce(x, zero), F.coalesce(y, zero))), a["dim"])
+    return merge(a, b)
 
 
 def sparse_add(a: Column, b: Column) -> Column:
@@ -136,7 +199,7 @@ def sparse_subtract(a: Column, b: Column) -> Column:
 
 
 def sparse_scale(a: Column, k: float) -> Column:
-    return from_map(F.transform_values(as_map(a), lambda _, v: v * k), a["dim"])
+    return _of_entries(_entries(a, lambda v: v * k), a["dim"])
 
 
 def sparse_weighted(a: Column, b: Column, wa: float, wb: float) -> Column:
@@ -145,7 +208,7 @@ def sparse_weighted(a: Column, b: Column, wa: float, wb: float) -> Column:
 
 
 def sparse_prune(a: Column, threshold: float) -> Column:
-    return from_map(F.map_filter(as_map(a), lambda _, v: F.abs(v) >= threshold), a["dim"])
+    return _of_entries(F.filter(_entries(a), lambda e: F.abs(e["val"]) >= threshold), a["dim"])
 
 
 def sparse_delta(before: Column, after: Column, threshold: float = 0.0) -> Column:

@@ -150,3 +150,28 @@ def _both_blocks_here(rows, run, schema):
     """each_block_pair with a block for each of two rows, on the driver."""
     pdf = rows.toPandas()
     return rows.sparkSession.createDataFrame(run(pdf[:1], pdf[1:], False), schema)
+
+
+def test_sparse_operations_of_many_rows(spark):
+    r = np.random.default_rng(9)
+    a, b = (np.where(r.random((300, 40)) < 0.3, r.normal(size=(300, 40)).round(2), 0) for _ in range(2))
+    b[:5] = a[:5]
+    a[7] = 0
+    df = spark.createDataFrame([(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, b, strict=True))] + [(300, [], []), (301, None, [1.0])], "key long, a array<double>, b array<double>")
+    s, t = V.to_sparse(F.col("a")), V.to_sparse(F.col("b"))
+    want = {"add": a + b, "sub": a - b, "scale": a * 3.0, "mean": (a * 1.0 + b * 3.0) / 4.0, "prune": np.where(np.abs(a) >= 0.5, a, 0)}
+    found = {"add": V.sparse_add(s, t), "sub": V.sparse_subtract(s, t), "scale": V.sparse_scale(s, 3.0), "mean": V.sparse_weighted(s, t, 1.0, 3.0), "prune": V.sparse_prune(s, 0.5)}
+    out = df.select("key", V.sparse_dot(s, t).alias("dot"), *[c.alias(n) for n, c in found.items()], *[V.to_dense(c).alias(f"{n}_d") for n, c in found.items()]).orderBy("key").collect()
+    for n, w in want.items():
+        assert all(row[f"{n}_d"] == v.tolist() for row, v in zip(out, w, strict=False))
+        assert all(row[n]["pos"] == np.flatnonzero(v).tolist() and row[n]["dim"] == 40 for row, v in zip(out, w, strict=False))
+        assert out[300][f"{n}_d"] == [] and out[301][f"{n}_d"] is None
+    assert [row["dot"] for row in out[:300]] == pytest.approx((a * b).sum(1).tolist()) and out[300]["dot"] == 0 and out[301]["dot"] is None
+
+
+def test_chained_sparse_operations_are_not_repeated(spark):
+    df = spark.createDataFrame([([0.0, 2.0],)], "v array<double>").withColumn("s", V.to_sparse(F.col("v")))
+    back = df.select(V.to_dense(V.sparse_subtract(V.sparse_scale(F.col("s"), 3.0), V.sparse_add(F.col("s"), F.col("s")))).alias("v"))
+    assert back.first()["v"] == [0.0, 2.0]
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "map_zip_with" not in plan and len(plan) < 20_000
