@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -251,51 +252,80 @@ def delta_conflicts(deltas: DataFrame, classes: tuple[str, ...] = CLASSES, merge
     kind = deltas.schema["id"].dataType.simpleString()
 
     def classed(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        at, x, y = _conflicts(left, right, merge_overlap)
-        keep = np.isin(at, [CLASSES.index(c) for c in classes]) & ((x < y) if same else (x != y))
-        i, j = np.nonzero(keep)
-        x, y = x[i, 0], y[0, j]
-        return pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x), "class": np.array(CLASSES)[at[i, j]]})
+        out = [pd.DataFrame({"a": left["id"][:0], "b": left["id"][:0], "class": pd.Series(dtype=str)})]
+        for x, y, of in _conflicts(left, right, same, merge_overlap):
+            for name in classes:
+                i, j = np.nonzero(of[name])
+                out.append(pd.DataFrame({"a": np.where(x[i] < y[j], x[i], y[j]), "b": np.where(x[i] < y[j], y[j], x[i]), "class": name}))
+        return pd.concat([o for o in out if len(o)] or out[:1])
 
-    return each_block_pair(deltas.select("id", "v", "keys"), classed, f"a {kind}, b {kind}, class string")
+    return each_block_pair(deltas.select("id", "v", "keys"), classed, f"a {kind}, b {kind}, class string", CLASSED_ROWS)
 
 
 def conflict_counts(deltas: DataFrame, merge_overlap: bool = False) -> DataFrame:
     """(class, n) over all pairs of deltas (id, v, keys); pairs are counted where they are compared."""
 
     def counted(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        at, x, y = _conflicts(left, right, merge_overlap)
-        n = np.bincount(at[(x < y) if same else (x != y)], minlength=len(CLASSES))
-        return pd.DataFrame({"class": CLASSES, "n": n})
+        n = dict.fromkeys(CLASSES, 0)
+        for _, _, of in _conflicts(left, right, same, merge_overlap):
+            for name, mask in of.items():
+                n[name] += np.count_nonzero(mask)
+        return pd.DataFrame({"class": list(n), "n": list(n.values())})
 
-    found = each_block_pair(deltas.select("id", "v", "keys"), counted, "class string, n long")
+    found = each_block_pair(deltas.select("id", "v", "keys"), counted, "class string, n long", CLASSED_ROWS)
     return found.groupBy("class").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def _conflicts(left: pd.DataFrame, right: pd.DataFrame, merge_overlap: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the class of each pair, ids of left as a column, ids of right as a row)."""
-    x, y = left["id"].to_numpy()[:, None], right["id"].to_numpy()[None, :]
-    if not x.size or not y.size:
-        return np.empty((len(left), len(right)), int), x, y
-    a, b = (np.stack([np.asarray(v, float) for v in part["v"]]) for part in (left, right))
-    cosine = cosines(a, b)
-    used, more = (a != 0).astype(float), (b != 0).astype(float)
-    both = used @ more.T
-    either = used.sum(1)[:, None] + more.sum(1)[None, :] - both
-    structure = np.divide(both, either, out=np.ones(both.shape), where=either > 0)
-    keys = [[set(k) if k is not None else set() for k in part["keys"]] for part in (left, right)]
-    number = {k: n for n, k in enumerate(dict.fromkeys(k for part in keys for own in part for k in own))}
-    held = [np.zeros((len(part), len(number))) for part in keys]
-    for table, part in zip(held, keys, strict=True):
-        for row, own in enumerate(part):
-            table[row, [number[k] for k in own]] = 1
-    shared = held[0] @ held[1].T
-    same_keys = (shared == held[0].sum(1)[:, None]) & (shared == held[1].sum(1)[None, :])
-    rules = [
-        (cosine >= IDENTICAL) & same_keys, (cosine <= OPPOSITE) & same_keys, (np.abs(cosine) < ORTHOGONAL) & (structure < STRUCTURAL),
-        (cosine >= CONFLICT) | (structure >= STRUCTURAL), (shared > 0) & (not merge_overlap),
-    ]
-    return np.select(rules, list(range(5)), 5), x, y
+#: Rows of a part whose numbers are prepared once, and those of them whose pairs are classed at once, in some 10 MB.
+CLASSED_ROWS, STRIP_ROWS = 8192, 64
+
+
+def _conflicts(left: pd.DataFrame, right: pd.DataFrame, same: bool, merge_overlap: bool) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """(ids of some rows of left, ids of right, table of the pairs of each class): unequal ids, of one part each pair once."""
+    if not len(left) or not len(right):
+        return
+    ids, more = left["id"].to_numpy(), right["id"].to_numpy()
+    own, other = (np.stack([np.asarray(v, float) for v in part["v"]]) for part in (left, right))
+    # common positions are at least half of all where three times their number less both numbers isn't negative; exact in these floats
+    kind = "float32" if own.shape[1] < 1 << 22 else "float64"
+    used, also = (own != 0).astype(kind), (other != 0).astype(kind)
+    n_used, n_also = used.sum(1, keepdims=True), also.sum(1, keepdims=True)
+    used, also = np.hstack([3 * used, -n_used, -np.ones_like(n_used)]), np.hstack([also, np.ones_like(n_also), n_also]).T.copy()
+    own, other = _unit(own), _unit(other).T.copy()
+    held, holds, sets, others = _key_tables(left["keys"], right["keys"])
+    shares, holds = not merge_overlap, holds.T.copy()
+    apart = not same and not len(np.intersect1d(ids, more))
+    for k in range(0, len(left), STRIP_ROWS):
+        s = slice(k, k + STRIP_ROWS)
+        cosine = own[s] @ other
+        equal = sets[s, None] == others[None, :]
+        alike = used[s] @ also >= 0
+        shared = (held[s] @ holds > 0) & shares
+        left_over = np.ones(cosine.shape, bool) if apart else ids[s, None] < more[None, :] if same else ids[s, None] != more[None, :]
+        of = {}
+        rules = ((cosine >= IDENTICAL) & equal, (cosine <= OPPOSITE) & equal, (cosine < ORTHOGONAL) & (cosine > -ORTHOGONAL) & ~alike, (cosine >= CONFLICT) | alike, shared)
+        for name, rule in zip(CLASSES, rules, strict=False):
+            of[name] = rule & left_over
+            left_over = left_over & ~rule
+        yield ids[s], more, {**of, CLASSES[5]: left_over}
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay."""
+    n = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, n, out=np.zeros(rows.shape), where=n > 0)
+
+
+def _key_tables(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each side, which keys its rows hold, and the number of each row's set of keys."""
+    keys = [[frozenset(k) if k is not None else frozenset() for k in part] for part in (left, right)]
+    sets = {own: n for n, own in enumerate(dict.fromkeys(own for part in keys for own in part))}
+    number = {k: n for n, k in enumerate(dict.fromkeys(k for own in sets for k in own))}
+    table = np.zeros((len(sets), len(number)), "float32")
+    for own, n in sets.items():
+        table[n, [number[k] for k in own]] = 1
+    at = [np.array([sets[own] for own in part], "int32") for part in keys]
+    return table[at[0]], table[at[1]], at[0], at[1]
 
 
 def merged_deltas(deltas: DataFrame, group: str) -> DataFrame:

@@ -19,8 +19,11 @@ from quarry.operators.conditions import TRUE, Condition, compile_condition
 
 #: Nearest-centroid tables (codebooks, coarse centroids) are parameters of at most this many rows.
 MOST_CENTROIDS = 65_536
-#: Rows of a block where all pairs of rows are compared; two blocks and their products are some 50 MB.
+#: Rows of a part of a block where all pairs of rows are compared at once; two parts and their products are some 50 MB.
 BLOCK_ROWS = 2048
+#: Rows of the two blocks that a task holds (some 10 MB each of 64 numbers a row), and the blocks that smaller tables are cut into, so that all cores have tasks.
+TASK_ROWS, TASK_BLOCKS = 16_384, 10
+MOST_TASKS = 2000
 
 
 def _meta(where: Condition | Column) -> Column:
@@ -97,21 +100,29 @@ def top_per_group(rows: DataFrame, query: list[float], k: int, group: str, metri
 
 
 def each_block_pair(rows: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, block_rows: int | None = None) -> DataFrame:
-    """What run(left, right, same) returns for every two blocks of rows, so that any two rows meet in exactly one task.
+    """What run(left, right, same) returns for every two parts of rows, so that any two rows meet in exactly one task.
 
-    Rows are dealt evenly to blocks of about block_rows (BLOCK_ROWS) by a hash. A task holds two blocks, whatever the rows have in
-    common; each row is sent once for every block, and only what run returns leaves a task. same: both are one block.
+    Rows are dealt evenly to blocks of about TASK_ROWS by a hash, or to more and smaller ones while there are few. A task holds two blocks,
+    whatever the rows have in common, and compares them in parts of block_rows (BLOCK_ROWS); each row is sent once for every block, and only
+    what run returns leaves a task. same: both are one part.
     """
-    blocks = max(1, -(-rows.count() // (block_rows or BLOCK_ROWS)))
+    part_rows, n = block_rows or BLOCK_ROWS, rows.count()
+    blocks = max(1, -(-n // TASK_ROWS), min(TASK_BLOCKS, -(-n // min(part_rows, BLOCK_ROWS))))
     dealt = rows.withColumn("_b", F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")
     dealt = dealt.select("*", other).select(*rows.columns, "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
 
     def both(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
-        return run(pdf[pdf["_b"] == i], pdf[pdf["_b"] == j], bool(i == j))
+        left, right = (_parts(pdf[pdf["_b"] == k], part_rows) for k in (i, j))
+        found = [run(x, y, i == j and at == to) for at, x in enumerate(left) for to, y in enumerate(right) if i != j or at <= to]
+        return pd.concat([f for f in found if len(f)] or found[:1] or [run(pdf[:0], pdf[:0], False)])
 
-    return dealt.groupBy("_i", "_j").applyInPandas(both, schema)
+    return dealt.repartition(min(MOST_TASKS, blocks * (blocks + 1) // 2), "_i", "_j").groupBy("_i", "_j").applyInPandas(both, schema)
+
+
+def _parts(rows: pd.DataFrame, size: int) -> list[pd.DataFrame]:
+    return [rows[k : k + size] for k in range(0, len(rows), size)]
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,28 @@ def test_chained_sparse_operations_are_not_repeated(spark):
     assert back.first()["v"] == [0.0, 2.0]
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "map_zip_with" not in plan and len(plan) < 20_000
+
+
+def test_rows_are_sent_to_few_tasks_and_every_pair_is_classed(spark):
+    r = np.random.default_rng(10)
+    v = r.normal(size=(230, 5)).round(1)
+    v[r.random(v.shape) < 0.5] = 0
+    v[100:120], v[120:140] = v[:20], -v[:20]
+    keys = [None if i % 50 == 49 else sorted({i % 3, i % 4} if i % 20 else {1}) for i in range(230)]
+    df = spark.createDataFrame([(i, x.tolist(), k) for i, (x, k) in enumerate(zip(v, keys, strict=True))], "id long, v array<double>, keys array<long>")
+    n = np.linalg.norm(v, axis=1)
+    want = {}
+    for i in range(230):
+        for j in range(i + 1, 230):
+            c = v[i] @ v[j] / (n[i] * n[j]) if n[i] * n[j] else 0.0
+            both, either = np.count_nonzero((v[i] != 0) & (v[j] != 0)), np.count_nonzero((v[i] != 0) | (v[j] != 0))
+            alike, a, b = not either or both / either >= 0.5, set(keys[i] or ()), set(keys[j] or ())
+            rules = [c >= 0.99 and a == b, c <= -0.95 and a == b, abs(c) < 0.1 and not alike, c >= 0.7 or alike, bool(a & b), True]
+            want[i, j] = services.CLASSES[rules.index(True)]
+    assert {(r["a"], r["b"]): r["class"] for r in services.delta_conflicts(df).collect()} == want
+    counts = {c: list(want.values()).count(c) for c in set(want.values())}
+    assert {r["class"]: r["n"] for r in services.conflict_counts(df).collect()} == counts and len(counts) == 6
+    # cut into parts of 7 rows, but no row is sent to 33 tasks
+    pairs = S.each_block_pair(df.select("id"), lambda x, y, same: pd.DataFrame({"n": [len(x) * (len(x) - 1) // 2 if same else len(x) * len(y)]}), "n long", 7)
+    assert pairs.agg(F.sum("n")).first()[0] == 230 * 229 // 2
+    assert f", {S.TASK_BLOCKS}) as int) AS _b" in pairs._jdf.queryExecution().optimizedPlan().toString()
