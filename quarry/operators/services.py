@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarry.functions import vectors as V
 from quarry.operators.graph import BOTH, OUT, Graph
 from quarry.operators.graph_algorithms import eigenvector, louvain, pagerank
-from quarry.operators.vector_search import cosines, each_block_pair, nearest_centroid, search
+from quarry.operators.vector_search import cosines, each_block_pair, most_similar, nearest_centroid, search
 from quarry.shared import settle
 
 # Prompt cache: key, prompt, response, embedding, created_at, expires_at, hits, last_hit, cost
@@ -40,8 +40,8 @@ def cache_get_all(cache: DataFrame, requests: DataFrame, threshold: float = 0.9)
     """(request, key, layer) of many requests: exact matches by a join, the rest within the same model's block by similarity."""
     exact = requests.join(cache.select("prompt", "key"), "prompt", "left").withColumn("layer", F.when(F.col("key").isNotNull(), "exact"))
     rest = exact.where("key is null").drop("key", "layer")
-    pairs = rest.join(cache.select(F.col("key").alias("_k"), "model", F.col("embedding").alias("_e")), "model").withColumn("_s", V.cosine(F.col("embedding"), F.col("_e")))
-    best = pairs.where(F.col("_s") >= threshold).groupBy("request").agg(F.max_by("_k", F.struct("_s", "_k")).alias("key"))
+    own, entries = (rows.select(F.col(key).alias("k"), "model", F.col("embedding").alias("v")) for rows, key in ((rest, "request"), (cache, "key")))
+    best = most_similar(own, entries, "model", threshold).select(F.col("k").alias("request"), F.col("other").alias("key"))
     missed = rest.select("request").join(best, "request", "left").withColumn("layer", F.when(F.col("key").isNotNull(), "semantic").otherwise("miss"))
     return exact.where("key is not null").select("request", "key", "layer").unionByName(missed)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
 from quarry.operators.conditions import TRUE, Condition, compile_condition
+from quarry.shared import settle
 
 #: Nearest-centroid tables (codebooks, coarse centroids) are parameters of at most this many rows.
 MOST_CENTROIDS = 65_536
@@ -24,6 +25,8 @@ BLOCK_ROWS = 2048
 #: Rows of the two blocks that a task holds (some 10 MB each of 64 numbers a row), and the blocks that smaller tables are cut into, so that all cores have tasks.
 TASK_ROWS, TASK_BLOCKS = 16_384, 10
 MOST_TASKS = 2000
+#: Rows of either side of a task that looks for the most similar rows, and those of them that are compared at once.
+MATCH_ROWS, MATCHED_ROWS = 4096, 512
 
 
 def _meta(where: Condition | Column) -> Column:
@@ -121,6 +124,62 @@ def each_block_pair(rows: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame,
     return dealt.repartition(min(MOST_TASKS, blocks * (blocks + 1) // 2), "_i", "_j").groupBy("_i", "_j").applyInPandas(both, schema)
 
 
+def most_similar(left: DataFrame, right: DataFrame, by: str, threshold: float) -> DataFrame:
+    """(k, other): for each row of left (k, by, v) the key of the row of right (k, by, v) with the same by and the highest cosine, of equal ones the largest key.
+
+    Rows below threshold, of another dimension and without by don't count. Rows of one value of by are dealt to blocks of about MATCH_ROWS,
+    so that a value's rows are compared in as many tasks as they need, by matrix products.
+    """
+    left, right = (rows.where(F.col(by).isNotNull() & F.col("v").isNotNull()).select("k", by, F.col("v").cast("array<double>").alias("v")) for rows in (left, right))
+    kinds = [rows.schema["k"].dataType.simpleString() for rows in (left, right)]
+    sizes = [rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / MATCH_ROWS).cast("int").alias(n)) for rows, n in ((left, "_nl"), (right, "_nr"))]
+    sizes = sizes[0].join(sizes[1], by)
+    many = settle(sizes.where("_nl > 1 or _nr > 1"), "many")  # values of more than MATCH_ROWS rows, so few
+    tasks = sizes.agg(F.sum(F.col("_nl") * F.col("_nr"))).first()[0] or 1
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.join(F.broadcast(many), by, "left")
+        at = F.pmod(F.xxhash64("k"), F.coalesce(own, F.lit(1))).cast("int")
+        return rows.select("k", by, "v", at.alias(own[1:]), F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(other[1:])).repartition(min(tasks, MOST_TASKS), by, "nl", "nr")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"k": left["k"][:0], "other": right["k"][:0], "score": np.empty(0)})]
+        right = right.sort_values("k", ascending=False)  # of equal scores the largest key
+        others = dict(list(right.groupby(right["v"].map(len))))
+        for n, own in left.groupby(left["v"].map(len)):
+            if n and n in others:
+                m = _matrix(others[n]["v"])
+                # of equal vectors the first one stands for all, so near ties are few
+                first = np.sort(np.unique(np.ascontiguousarray(m).view(f"V{8 * n}").ravel(), return_index=True)[1])
+                m, keys = m[first], others[n]["k"].to_numpy()[first]
+                out += [_best_rows(part, m, keys, threshold) for part in _parts(own, MATCHED_ROWS)]
+        return pd.concat([o for o in out if len(o)] or out[:1])
+
+    pairs = dealt(left, "_nl", "_nr").groupBy(by, "nl", "nr").cogroup(dealt(right, "_nr", "_nl").groupBy(by, "nl", "nr"))
+    found = pairs.applyInPandas(best, f"k {kinds[0]}, other {kinds[1]}, score double")
+    return found.groupBy("k").agg(F.max_by("other", F.struct("score", "other")).alias("other"))
+
+
+def _best_rows(own: pd.DataFrame, m: np.ndarray, keys: np.ndarray, threshold: float) -> pd.DataFrame:
+    """(k, other, score) of the best row of m for each row of own. Those within rounding of the best are scored again in order of position, as SQL does."""
+    v = _matrix(own["v"])
+    s = cosines(v, m)
+    s[np.isnan(s)] = -np.inf
+    top = s.max(1)
+    i, j = np.nonzero(s >= np.maximum(top, threshold)[:, None] - 1e-9)
+    exact = np.concatenate([_in_order(v[i[k : k + 8192]], m[j[k : k + 8192]]) for k in range(0, len(i), 8192)] or [np.empty(0)])
+    found = pd.DataFrame({"k": own["k"].to_numpy()[i], "other": keys[j], "score": exact, "at": i})
+    found = found[found["score"] >= threshold].sort_values(["score", "other"], ascending=False, kind="stable")
+    return found.drop_duplicates("at").drop(columns="at")
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of a with that of b, summed from the first position to the last."""
+    total = lambda x: np.cumsum(x, axis=1)[:, -1]
+    n = np.sqrt(total(a * a)) * np.sqrt(total(b * b))
+    return np.clip(np.divide(total(a * b), n, out=np.zeros(len(n)), where=n > 0), -1, 1)
+
+
 def _parts(rows: pd.DataFrame, size: int) -> list[pd.DataFrame]:
     return [rows[k : k + size] for k in range(0, len(rows), size)]
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,3 +322,26 @@ def test_many_inserts_are_checked_and_written_together(engine, monkeypatch):
         with pytest.raises(CatalogError):
             engine.execute(f"INSERT INTO users VALUES {bad}")
     assert engine.execute("SELECT count(*) FROM users").first()[0] == 8
+
+
+def test_cache_look_ups_of_one_model_are_dealt_to_tasks(spark, monkeypatch):
+    from quarry.functions import vectors as V
+    from quarry.operators import vector_search as S
+
+    r = np.random.default_rng(3)
+    v = r.normal(size=(40, 4)).round(1)
+    v[30:] = v[:10]  # equal vectors: the largest key counts
+    v[5] = 0
+    model = lambda k: None if k % 17 == 16 else "n" if k % 9 == 8 else "m"
+    cache = spark.createDataFrame([(k, f"c{k}", model(k), x.tolist() if k % 13 else None) for k, x in enumerate(v)] + [(100, "c100", "m", [1.0])], "key long, prompt string, model string, embedding array<double>")
+    asked = [(k, "c3" if k == 7 else "none", model(k), (x + 0.01).tolist()) for k, x in enumerate(v)] + [(50, "none", "m", [2.0])]
+    requests = spark.createDataFrame(asked, "request long, prompt string, model string, embedding array<double>")
+    a, b = requests.where("prompt <> 'c3'"), cache.withColumnRenamed("embedding", "e").drop("prompt")
+    pairs = a.join(b, "model").where(F.size("embedding") == F.size("e")).withColumn("s", V.cosine(F.col("embedding"), F.col("e"))).where("s >= 0.5").groupBy("request").agg(F.max_by("key", F.struct("s", "key")))
+    want = dict(rows(pairs))
+    for size in (4096, 7):
+        monkeypatch.setattr(S, "MATCH_ROWS", size)
+        out = services.cache_get_all(cache, requests, 0.5)
+        found = {row["request"]: (row["key"], row["layer"]) for row in out.collect()}
+        assert found == {k: (3, "exact") if k == 7 else (want[k], "semantic") if k in want else (None, "miss") for k, *_ in asked}
+    assert "FlatMapCoGroups" in out._jdf.queryExecution().optimizedPlan().toString()  # no pair of rows is joined
